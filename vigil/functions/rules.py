@@ -213,13 +213,13 @@ def days_remaining(rul) -> Column:
 
 
 def rul_band(rul) -> Column:
-    """R15 band: IMMEDIATE when rul <= 0, else by days >30 / >7 / else."""
+    """R15 band: IMMEDIATE when rul <= 0, else green (>30 days) / orange (>7 days) / red."""
     r = _c(rul)
     d = r / 24.0
     return (F.when(r <= 0, F.lit("IMMEDIATE"))
-            .when(d > 30, F.lit("OK"))
-            .when(d > 7, F.lit("SOON"))
-            .otherwise(F.lit("URGENT")))
+            .when(d > 30, F.lit("green"))
+            .when(d > 7, F.lit("orange"))
+            .otherwise(F.lit("red")))
 
 
 def grid_status(health) -> Column:
