@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.ordered import fill_scan, join_on_keys, time_bucket
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import cut_lineage, ensure_checkpoint_dir
 
 # fixed values (must equal the reference's)
 COOLDOWN_DEFAULT_SECONDS = 30 * 24 * 3600
@@ -64,20 +64,20 @@ def cooldown_events(df: DataFrame, trigger: Column, by: str = "equipment_id",
         F.concat(F.lit("s:"), F.col(by).cast("string")).alias("nid"))
     probes = cand.select(by, F.timestamp_micros(F.unix_micros("_t") + F.lit(gap_us)).alias("_t"), "nid") \
         .unionByName(starts)
-    jump = _successors(cand, probes, by, bucket_seconds).checkpoint()
-    reached = starts.select("nid").checkpoint()
-    frontier_src = reached
+    jump = cut_lineage(_successors(cand, probes, by, bucket_seconds).filter(F.col("j").isNotNull()))
+    reached = cut_lineage(starts.select("nid"))
+    size = reached.count()
     for _ in range(max_rounds):
-        new = frontier_src.join(jump, "nid").filter(F.col("j").isNotNull()).select(F.col("j").alias("nid"))
-        new = new.checkpoint()
-        if new.isEmpty():
+        # D(k+1) = D(k) ∪ J(k)(D(k));  J(k+1) = J(k) ∘ J(k)
+        new = reached.join(jump, "nid").select(F.col("j").alias("nid"))
+        reached = cut_lineage(reached.unionByName(new))
+        grown = reached.count()
+        if grown == size:
             break
-        reached = reached.unionByName(new).checkpoint()
-        frontier_src = reached
+        size = grown
         a, b = jump.alias("a"), jump.alias("b")
-        jump = (a.filter(F.col("a.j").isNotNull())
-                .join(b, F.col("a.j") == F.col("b.nid"), "left")
-                .select(F.col("a.nid").alias("nid"), F.col("b.j").alias("j"))).checkpoint()
+        jump = cut_lineage(a.join(b, F.col("a.j") == F.col("b.nid"))
+                           .select(F.col("a.nid").alias("nid"), F.col("b.j").alias("j")))
     else:
         raise RuntimeError("cooldown chain longer than 2**max_rounds")
     emitted = reached.filter(F.col("nid").startswith("c:")).select(

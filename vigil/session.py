@@ -61,3 +61,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="vigil-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and return the re-rooted frame.
+
+    The frame is persisted first so the checkpoint write reads the computed
+    rows instead of recomputing them; the cached copy is released afterwards.
+    Checkpoint files survive executor loss (unlike ``localCheckpoint``).
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
