@@ -66,18 +66,16 @@ def cooldown_events(df: DataFrame, trigger: Column, by: str = "equipment_id",
         .unionByName(starts)
     jump = cut_lineage(_successors(cand, probes, by, bucket_seconds).filter(F.col("j").isNotNull()))
     reached = cut_lineage(starts.select("nid"))
-    size = reached.count()
     for _ in range(max_rounds):
         # D(k+1) = D(k) ∪ J(k)(D(k));  J(k+1) = J(k) ∘ J(k)
         new = reached.join(jump, "nid").select(F.col("j").alias("nid"))
         reached = cut_lineage(reached.unionByName(new))
-        grown = reached.count()
-        if grown == size:
-            break
-        size = grown
         a, b = jump.alias("a"), jump.alias("b")
         jump = cut_lineage(a.join(b, F.col("a.j") == F.col("b.nid"))
                            .select(F.col("a.nid").alias("nid"), F.col("b.j").alias("j")))
+        # no node has a 2^(k+1)-step successor: every chain is shorter, D(k+1) holds it all
+        if jump.isEmpty():
+            break
     else:
         raise RuntimeError("cooldown chain longer than 2**max_rounds")
     emitted = reached.filter(F.col("nid").startswith("c:")).select(
@@ -136,23 +134,32 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
 def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """A17 (W10 with ``by``): Pearson matrix, pairwise-complete, long form (a, b, corr).
 
-    All pairs in one aggregate.  A constant column gives NULL (no division
-    error); values are clamped to [-1, 1].
+    Each row is exploded into its (a <= b) column pairs and one small grouped
+    aggregate runs per pair (partial aggregation before the shuffle, so only
+    pairs x partitions rows move).  A value is used only where both columns are
+    non-NULL.  A constant column gives NULL instead of a division error; values
+    are clamped to [-1, 1]; the lower triangle mirrors the upper one.
     """
     cols = list(columns)
-    rows = []
-    for a in cols:
-        for b in cols:
-            xa, xb = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-            both = xa.isNotNull() & xb.isNotNull()
-            pa, pb = F.when(both, xa), F.when(both, xb)
-            r = F.try_divide(F.covar_samp(pa, pb), F.stddev_samp(pa) * F.stddev_samp(pb))
-            r = F.when(r.isNotNull() & ~F.isnan(r), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
-            rows.append(F.struct(F.lit(a).alias("sensor_a"), F.lit(b).alias("sensor_b"),
-                                 r.alias("corr")))
     keys = [by] if by else []
-    g = df.groupBy(*keys) if keys else df
-    return g.agg(F.array(*rows).alias("_r")).select(*keys, F.inline("_r"))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    items = []
+    for a, b in pairs:
+        xa, xb = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        both = xa.isNotNull() & xb.isNotNull()
+        items.append(F.struct(F.lit(a).alias("sensor_a"), F.lit(b).alias("sensor_b"),
+                              F.when(both, xa).alias("x"), F.when(both, xb).alias("y")))
+    long = df.select(*keys, F.inline(F.array(*items)))
+    r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+    r = F.when(r.isNotNull() & ~F.isnan(r), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    upper = long.groupBy(*keys, "sensor_a", "sensor_b").agg(r.alias("corr"))
+    both_ways = F.when(
+        F.col("sensor_a") == F.col("sensor_b"),
+        F.array(F.struct(F.col("sensor_a").alias("a"), F.col("sensor_b").alias("b"))),
+    ).otherwise(F.array(F.struct(F.col("sensor_a").alias("a"), F.col("sensor_b").alias("b")),
+                        F.struct(F.col("sensor_b").alias("a"), F.col("sensor_a").alias("b"))))
+    return upper.select(*keys, F.explode(both_ways).alias("_p"), "corr").select(
+        *keys, F.col("_p.a").alias("sensor_a"), F.col("_p.b").alias("sensor_b"), "corr")
 
 
 def urgent_top(scored: DataFrame, n: int = 20, id_col: str = "equipment_id",
