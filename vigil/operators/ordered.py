@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_obkt"
+# order value standing in for a NULL bucket (NULL times sort first); far from real buckets
+_NULL_BUCKET = -(2 ** 62)
 
 # Default order-bucket width for timestamp keys: one day.
 DEFAULT_BUCKET_SECONDS = 86400
@@ -59,79 +61,76 @@ def with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
     return df.withColumn(BUCKET, bucket)
 
 
-def positions(df: DataFrame, by, order: Sequence[Column], bucket: Column,
-              out: str = "_pos") -> DataFrame:
-    """0-based row position inside each ``by`` group in ``order``.
+def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
+                 forward: dict[str, Column] | None = None,
+                 backward: dict[str, Column] | None = None,
+                 position: str | None = None) -> DataFrame:
+    """One skew-safe ordered pass: positions, forward fills and backward fills.
 
-    ``bucket`` must be monotone in ``order`` (e.g. a time bucket of the leading
-    order column).  Rows whose bucket is NULL sort first, as NULL timestamps do.
-    """
-    keys = _keys(by)
-    b = with_bucket(df, bucket)
-    local = b.withColumn(
-        "_lpos", F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order)) - 1)
-    counts = b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    wk = Window.partitionBy(*keys).orderBy(F.col(BUCKET).asc_nulls_first())
-    offsets = counts.select(
-        *keys, BUCKET,
-        F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    res = join_on_keys(local, offsets, [*keys, BUCKET], "left")
-    return res.withColumn(out, F.col("_off") + F.col("_lpos")).drop("_off", "_lpos", BUCKET)
+    * ``position``: name of a 0-based row-position column inside each ``by`` group;
+    * ``forward[name] = expr``: value of ``expr`` on the last row at or before the
+      current one whose ``expr`` is not NULL;
+    * ``backward[name] = expr``: the same for the first row at or after it.
 
-
-def fill_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
-              forward: dict[str, Column] | None = None,
-              backward: dict[str, Column] | None = None,
-              inclusive: bool = True) -> DataFrame:
-    """Add, per output name, the last (forward) / next (backward) non-NULL value.
-
-    ``forward[name] = expr`` gives ``name`` = value of ``expr`` on the last row at
-    or before the current one (``inclusive``) in ``order`` within ``by`` whose
-    ``expr`` is not NULL; ``backward`` the first such row at or after.  Wrap
-    several columns in a ``struct`` to carry a whole row.  ``order`` holds plain
-    ascending expressions (NULLs first), which must end in a unique tiebreak.
+    ``order`` holds plain ascending expressions (NULLs first) ending in a unique
+    tiebreak; ``bucket`` must be monotone in ``order``.  The bucket summary is
+    read off the in-bucket window (its last / first row per bucket), so the
+    input is scanned and shuffled once and no aggregate has to sort.
     """
     forward = forward or {}
     backward = backward or {}
     keys = _keys(by)
     b = with_bucket(df, bucket)
-    # one ordering struct, used both inside buckets and for bucket summaries
-    ord_struct = F.struct(*order)
-    wloc = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    hi = 0 if inclusive else -1
-    lo = 0 if inclusive else 1
-    cols = {}
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    cols = {"_rn": F.row_number().over(w), "_nx": F.lead(F.lit(1)).over(w)}
     for name, expr in forward.items():
         cols[f"_lf_{name}"] = F.last(expr, ignorenulls=True).over(
-            wloc.rowsBetween(Window.unboundedPreceding, hi))
+            w.rowsBetween(Window.unboundedPreceding, 0))
     for name, expr in backward.items():
         cols[f"_lb_{name}"] = F.first(expr, ignorenulls=True).over(
-            wloc.rowsBetween(lo, Window.unboundedFollowing))
+            w.rowsBetween(0, Window.unboundedFollowing))
     local = b.withColumns(cols)
 
-    # per-bucket summary: last / first non-null value of each expression
-    aggs = []
-    for name, expr in forward.items():
-        aggs.append(F.max_by(expr, F.when(expr.isNotNull(), ord_struct)).alias(f"_sf_{name}"))
-    for name, expr in backward.items():
-        aggs.append(F.min_by(expr, F.when(expr.isNotNull(), ord_struct)).alias(f"_sb_{name}"))
-    summary = b.groupBy(*keys, BUCKET).agg(*aggs)
-    wk = Window.partitionBy(*keys).orderBy(F.col(BUCKET).asc_nulls_first())
+    # summary: last and first row of every bucket (one or two rows per bucket)
+    is_last, is_first = F.col("_nx").isNull(), F.col("_rn") == 1
+    ob = F.coalesce(F.col(BUCKET), F.lit(_NULL_BUCKET))
+    summ = local.filter(is_last | is_first).select(
+        *keys, BUCKET, ob.alias("_ob"), "_rn", is_last.alias("_il"), is_first.alias("_if"),
+        *[f"_lf_{n}" for n in forward], *[f"_lb_{n}" for n in backward])
+    wk = Window.partitionBy(*keys).orderBy("_ob")
+    before = wk.rangeBetween(Window.unboundedPreceding, -1)
+    after = wk.rangeBetween(1, Window.unboundedFollowing)
     carry = {}
-    for name in forward:
-        carry[f"_cf_{name}"] = F.last(f"_sf_{name}", ignorenulls=True).over(
-            wk.rowsBetween(Window.unboundedPreceding, -1))
-    for name in backward:
-        carry[f"_cb_{name}"] = F.first(f"_sb_{name}", ignorenulls=True).over(
-            wk.rowsBetween(1, Window.unboundedFollowing))
-    summary = summary.select(*keys, BUCKET, *[v.alias(k) for k, v in carry.items()])
+    if position:
+        carry["_off"] = F.coalesce(F.sum(F.when(F.col("_il"), F.col("_rn"))).over(before), F.lit(0))
+    for n in forward:
+        carry[f"_cf_{n}"] = F.last(F.when(F.col("_il"), F.col(f"_lf_{n}")), ignorenulls=True).over(before)
+    for n in backward:
+        carry[f"_cb_{n}"] = F.first(F.when(F.col("_if"), F.col(f"_lb_{n}")), ignorenulls=True).over(after)
+    if not carry:
+        return local.drop("_rn", "_nx", BUCKET)
+    summary = summ.withColumns(carry).filter(F.col("_il")).select(*keys, BUCKET, *carry.keys())
 
     res = join_on_keys(local, summary, [*keys, BUCKET], "left")
     outs = {}
-    for name in forward:
-        outs[name] = F.coalesce(F.col(f"_lf_{name}"), F.col(f"_cf_{name}"))
-    for name in backward:
-        outs[name] = F.coalesce(F.col(f"_lb_{name}"), F.col(f"_cb_{name}"))
+    if position:
+        outs[position] = F.col("_off") + F.col("_rn") - 1
+    for n in forward:
+        outs[n] = F.coalesce(F.col(f"_lf_{n}"), F.col(f"_cf_{n}"))
+    for n in backward:
+        outs[n] = F.coalesce(F.col(f"_lb_{n}"), F.col(f"_cb_{n}"))
     drop = [c for c in res.columns if c.startswith(("_lf_", "_lb_", "_cf_", "_cb_"))]
-    return res.withColumns(outs).drop(*drop, BUCKET)
+    return res.withColumns(outs).drop(*drop, "_off", "_rn", "_nx", BUCKET)
+
+
+def positions(df: DataFrame, by, order: Sequence[Column], bucket: Column,
+              out: str = "_pos") -> DataFrame:
+    """0-based row position inside each ``by`` group in ``order`` (see ``ordered_scan``)."""
+    return ordered_scan(df, by, order, bucket, position=out)
+
+
+def fill_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
+              forward: dict[str, Column] | None = None,
+              backward: dict[str, Column] | None = None) -> DataFrame:
+    """Forward / backward fill of non-NULL values per ``by`` group (see ``ordered_scan``)."""
+    return ordered_scan(df, by, order, bucket, forward=forward, backward=backward)
