@@ -213,3 +213,29 @@ def test_weighted_ensemble(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "a double, b double, c double, d double")
     v = df.select(ml.weighted_ensemble(["a", "b", "c", "d"]).alias("e")).first()["e"]
     assert v == pytest.approx((0.35 + 0.6 + 0.75 + 0.4) / 1.0)
+
+
+def test_critical_readings(spark):
+    rows = [(k, *[float(x) for x in v[:6]]) for k, v in READINGS.items()]
+    df = spark.createDataFrame(rows, "equipment_id string, vibration double, temperature double, "
+                                     "pressure double, current double, rpm double, tool_wear double")
+    got = sorted((r["equipment_id"], r["sensor"]) for r in quality.critical_readings(df, ["equipment_id"]).collect())
+    assert ("machine_2", "vibration") in got and ("machine_2", "temperature") in got
+    assert ("out_of_range", "rpm") in got
+    assert not any(k == "critical" for k, _ in got)      # 3.06 / 314 / ... are not above
+
+
+def test_aggregate_scoring_and_retrain(spark, tmp_dir):
+    from vigil.plans import jobs
+    rows = [(f"e{i % 12}", float(i % 12), float(i % 5), float(i)) for i in range(240)]
+    req = spark.createDataFrame(rows, "equipment_id string, vibration double, temperature double, noise double")
+    feats = __import__("vigil.operators.features", fromlist=["x"]).equipment_features(req)
+    labels = feats.select("equipment_id", (1000.0 - F.col("vibration_mean") * 50).alias("rul"))
+    fp, lp = os.path.join(tmp_dir, "f"), os.path.join(tmp_dir, "l")
+    feats.write.parquet(fp)
+    labels.write.parquet(lp)
+    res = jobs.retrain_job(spark, fp, lp, os.path.join(tmp_dir, "out"),
+                           jobs.JobConfig(trees=10, depth=4))
+    assert set(res.metrics) == {"mae", "rmse", "r2"}
+    scored = ml.score_request_aggregate(res.model, req).collect()
+    assert len(scored) == 12 and all(r["predicted_rul_hours"] >= 0 for r in scored)

@@ -180,6 +180,19 @@ def prediction_result(df: DataFrame, rul: str = "prediction", as_of: str | Colum
     })
 
 
+def score_request_aggregate(tm: "TrainedModel", requests: DataFrame, by: str | None = "equipment_id",
+                            as_of: str | Column = "2024-01-01 00:00:00") -> DataFrame:
+    """Features aggregated over the incoming request rows (per equipment, or
+    the whole batch when ``by`` is None), aligned to the training features and scored."""
+    from vigil.operators.features import equipment_features
+    feats = equipment_features(requests, by)
+    missing = [c for c in tm.feature_columns if c not in feats.columns]
+    feats = feats.withColumns({c: F.lit(0.0) for c in missing}) if missing else feats
+    res = prediction_result(predict(tm, feats), "prediction", as_of=as_of,
+                            id_col=by or "equipment_id")
+    return res
+
+
 def weighted_ensemble(columns: Sequence[str], weights: Sequence[float] = ENSEMBLE_WEIGHTS) -> Column:
     """Σ wᵢ·pᵢ / Σ wᵢ (weights by position)."""
     num = None

@@ -141,3 +141,26 @@ def schema_drift(expected: Sequence[str], df: DataFrame) -> SchemaDrift:
     common_have = [c for c in have if c in exp]
     common_exp = [c for c in exp if c in have]
     return SchemaDrift(missing, extra, common_have != common_exp)
+
+
+def threshold_table(spark, thresholds: Mapping[str, float] | None = None) -> DataFrame:
+    """The per-sensor critical-threshold dimension (one row per sensor)."""
+    from vigil.functions.rules import CRITICAL_THRESHOLDS
+    t = thresholds or CRITICAL_THRESHOLDS
+    return spark.createDataFrame([(k, float(v)) for k, v in t.items()], "sensor string, threshold double")
+
+
+def critical_readings(df: DataFrame, ids: Sequence[str], thresholds: Mapping[str, float] | None = None
+                      ) -> DataFrame:
+    """R20 + J05: one row per (reading, sensor) above its critical threshold.
+
+    The threshold table has one row per sensor (bounded by the schema), so it
+    is broadcast; the readings are unpivoted to long form and equi-joined on
+    the sensor name.
+    """
+    from vigil.functions.rules import CRITICAL_THRESHOLDS
+    t = thresholds or CRITICAL_THRESHOLDS
+    dim = threshold_table(df.sparkSession, t)
+    sensors = [s for s in t if s in df.columns]
+    long = unpivot_sensors(df, ids, sensors)
+    return long.join(F.broadcast(dim), "sensor").filter(F.col("value") > F.col("threshold"))

@@ -84,6 +84,18 @@ def q_range_warnings(spark, sf_dir):
                              F.concat_ws(": ", "equipment_id", "warning").alias("flat_warning")))
 
 
+def q_critical_readings(spark, sf_dir):
+    """R20 + J05: readings above the per-sensor critical thresholds (long form)."""
+    rd = event_readings(spark, sf_dir, with_degradation=False)
+    return finish(quality.critical_readings(rd, ["event_id", "equipment_id"]))
+
+
+def q_failure_maintenance(spark, sf_dir):
+    """F02 + P07: one corrective maintenance row per failing reading."""
+    rd = event_readings(spark, sf_dir, with_degradation=False)
+    return finish(normalize.failure_maintenance(rd))
+
+
 # --- J01, W01/W02, F01, A14: cleaning ----------------------------------------
 
 def q_asof_enrich(spark, sf_dir):
@@ -366,6 +378,8 @@ def queries() -> dict[str, Query]:
         "simple_features": q_simple_features,
         "expected_ranges": q_expected_ranges,
         "range_warnings": q_range_warnings,
+        "critical_readings": q_critical_readings,
+        "failure_maintenance": q_failure_maintenance,
         "asof_enrich": q_asof_enrich,
         "interpolate_gaps": q_interpolate_gaps,
         "zscore_filter": q_zscore_filter,

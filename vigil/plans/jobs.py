@@ -110,6 +110,19 @@ def simple_job(spark: SparkSession, readings: DataFrame, out: str | None = None,
     return {"r2": r2}
 
 
+def retrain_job(spark: SparkSession, features_path: str, labels_path: str, out: str | None,
+                cfg: JobConfig = JobConfig()) -> TrainResult:
+    """Retrain from stored feature and label tables (parquet or CSV with header)."""
+    def load(p: str) -> DataFrame:
+        if p.endswith(".csv"):
+            return files.read_csv(spark, p, timestamp=None)
+        return spark.read.parquet(p)
+    res = train_and_validate(load(features_path), load(labels_path), cfg)
+    if out:
+        res.model.save(f"{out}/model")
+    return res
+
+
 def fleet_report(scored: DataFrame, out: str | None = None) -> dict[str, DataFrame]:
     """Every report of the batch page from one scored (cached) table."""
     sc = scored.persist()

@@ -535,6 +535,25 @@ def template_align() -> str:
     return "WITH " + _ev() + "\nSELECT event_id,\n  " + ",\n  ".join(cols) + "\nFROM rd"
 
 
+def critical_readings() -> str:
+    th = (("vibration", 3.06), ("temperature", 314.0), ("pressure", 207.0), ("current", 69.0),
+          ("rpm", 2076.0), ("tool_wear", 298.0))
+    longs = "\nUNION ALL\n".join(
+        f"SELECT event_id, equipment_id, '{c}' AS sensor, {c} AS value, CAST({t} AS DOUBLE) AS threshold FROM rd"
+        for c, t in th)
+    return "WITH " + _ev() + f""",
+lg AS ({longs})
+SELECT sensor, event_id, equipment_id, round(value, 6) AS value, round(threshold, 6) AS threshold
+FROM lg WHERE value > threshold"""
+
+
+def failure_maintenance() -> str:
+    return "WITH " + _ev() + """
+SELECT "timestamp", equipment_id, 'corrective' AS maintenance_type, 'Machine failure detected' AS description,
+       'tool, bearings' AS parts_replaced, 'Tech_01' AS technician, CAST(8.0 AS DOUBLE) AS downtime_hours
+FROM rd WHERE failure_imminent"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "equipment_features": equipment_features(),
@@ -544,6 +563,8 @@ def oracle_sql() -> dict[str, str]:
         "simple_features": simple_features(),
         "expected_ranges": expected_ranges(),
         "range_warnings": range_warnings(),
+        "critical_readings": critical_readings(),
+        "failure_maintenance": failure_maintenance(),
         "asof_enrich": asof_enrich(),
         "interpolate_gaps": interpolate_gaps(),
         "zscore_filter": zscore_filter(),
