@@ -114,3 +114,15 @@ def test_daily_spine(spark):
                                "equipment_id string, timestamp timestamp")
     got = [r["timestamp"] for r in series.daily_spine(df).orderBy("timestamp").collect()]
     assert got == [D(2024, 1, 1, 5), D(2024, 1, 2, 5)]
+
+
+def test_packed_order_sorts_like_struct(spark):
+    from vigil.operators.ordered import packed_order
+    rnd = random.Random(2)
+    big = 2 ** 62
+    rows = [(D(1960, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 10 ** 9), microseconds=rnd.randint(0, 999999)),
+             rnd.choice([-big, -1, 0, 1, big, rnd.randint(-10 ** 12, 10 ** 12)])) for _ in range(300)]
+    rows += [(rows[0][0], -5), (rows[0][0], 7)]
+    df = spark.createDataFrame(rows, "t timestamp, tb long")
+    got = [(r["t"], r["tb"]) for r in df.orderBy(packed_order(F.col("t"), F.col("tb"))).collect()]
+    assert got == sorted(rows)

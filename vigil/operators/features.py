@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, positions, time_bucket
+from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, packed_order, positions, time_bucket
 
 # fixed values (must equal the reference's)
 TARGET_COLUMNS = ("degradation_level", "failure_imminent", "rul")
@@ -86,7 +86,7 @@ def equipment_labels(df: DataFrame, by: str = "equipment_id",
         base = df.select(by).distinct()
         return base.select(by, rul.alias("rul"),
                            F.least(rul / LABEL_RUL_SCALE, F.lit(LABEL_PROB_CAP)).alias("failure_probability"))
-    last = F.max_by(F.col(degradation).cast("double"), F.struct(*[F.col(o) for o in order]))
+    last = F.max_by(F.col(degradation).cast("double"), _order_key(df, order))
     g = df.groupBy(by).agg(last.alias("_d"))
     rul = F.greatest(F.lit(0.0), (1.0 - F.col("_d")) * LABEL_RUL_SCALE)
     return g.select(by, rul.alias("rul"),
@@ -186,7 +186,17 @@ def group_max_over(df: DataFrame, by: str, col: str, out: str) -> DataFrame:
     return join_on_keys(df, m, [by], "left")
 
 
+def _order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """Hash-aggregatable ordering key: packed (timestamp, integral tiebreak) when the
+    order has that shape, else a struct (sort-based aggregate)."""
+    types = [df.schema[o].dataType for o in order]
+    if (len(order) in (1, 2) and isinstance(types[0], T.TimestampType)
+            and (len(order) == 1 or isinstance(types[1], T.IntegralType))):
+        return packed_order(F.col(order[0]), F.col(order[1]) if len(order) == 2 else None)
+    return F.struct(*[F.col(o) for o in order])
+
+
 def last_row_per_group(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Values of the last row per group via ``max_by`` (aggregate, no sort)."""
-    ordc = F.struct(*[F.col(o) for o in order])
+    ordc = _order_key(df, order)
     return df.groupBy(by).agg(*[F.max_by(F.col(c), ordc).alias(c) for c in cols])

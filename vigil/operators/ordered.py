@@ -18,6 +18,7 @@ The answer is exactly the one of the single-partition window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,3 +135,21 @@ def fill_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
               backward: dict[str, Column] | None = None) -> DataFrame:
     """Forward / backward fill of non-NULL values per ``by`` group (see ``ordered_scan``)."""
     return ordered_scan(df, by, order, bucket, forward=forward, backward=backward)
+
+
+_DEC = "decimal(38,0)"
+
+
+def packed_order(ts: Column, tiebreak: Column | None = None) -> Column:
+    """(timestamp, integral tiebreak) as one DECIMAL(38,0) that sorts the same way.
+
+    ``max_by(x, struct(ts, tb))`` needs a struct aggregation buffer, which Spark
+    can only run as a sort-based aggregate (a full map-side sort).  One decimal
+    key keeps ``max_by`` / ``min_by`` in the hash aggregate:
+    key = micros(ts) * 2^64 + (tb + 2^63), |key| < 10^35.
+    """
+    t = F.unix_micros(ts).cast(_DEC)
+    if tiebreak is None:
+        return t
+    shifted = tiebreak.cast(_DEC) + F.lit(Decimal(2 ** 63)).cast(_DEC)
+    return (t * F.lit(Decimal(2 ** 64)).cast(_DEC) + shifted).cast(_DEC)
