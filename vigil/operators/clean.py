@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.features import numeric_columns
-from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, fill_scan, positions, time_bucket
+from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, ordered_scan, time_bucket
 
 # fixed values (must equal the reference's)
 ZSCORE_THRESHOLD = 3.0
@@ -51,15 +51,12 @@ def interpolate_linear(df: DataFrame, columns: Sequence[str] | None = None,
     keys = [by] if by else []
     order = _order(ts, tiebreak)
     bucket = time_bucket(F.col(ts), bucket_seconds)
-    fw = {}
-    bw = {}
-    for i, c in enumerate(cols):
-        pt = F.when(F.col(c).isNotNull(),
-                    F.struct(F.col("_ipos").alias("p"), F.col(c).cast("double").alias("v")))
-        fw[f"_ip{i}"] = pt
-        bw[f"_in{i}"] = pt
-    pos = positions(df, keys, order, bucket, out="_ipos")
-    s = fill_scan(pos, keys, order, bucket, forward=fw, backward=bw)
+    vals = {f"_iv{i}": F.col(c).cast("double") for i, c in enumerate(cols)}
+    # one ordered pass: global position of each row and of the previous / next non-NULL value
+    s = ordered_scan(df, keys, order, bucket,
+                     forward={f"_ip{i}": v for i, v in enumerate(vals.values())},
+                     backward={f"_in{i}": v for i, v in enumerate(vals.values())},
+                     position="_ipos", with_positions=True)
     out = {}
     for i, c in enumerate(cols):
         prev, nxt = F.col(f"_ip{i}"), F.col(f"_in{i}")
@@ -71,7 +68,8 @@ def interpolate_linear(df: DataFrame, columns: Sequence[str] | None = None,
         if backfill:
             parts.append(nxt.getField("v"))
         out[c] = F.coalesce(*parts)
-    return s.withColumns(out).drop("_ipos", *fw.keys(), *bw.keys())
+    drop = ["_ipos", *[f"_ip{i}" for i in range(len(cols))], *[f"_in{i}" for i in range(len(cols))]]
+    return s.withColumns(out).drop(*drop)
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

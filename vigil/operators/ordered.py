@@ -65,34 +65,43 @@ def with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
 def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
                  forward: dict[str, Column] | None = None,
                  backward: dict[str, Column] | None = None,
-                 position: str | None = None) -> DataFrame:
+                 position: str | None = None, with_positions: bool = False) -> DataFrame:
     """One skew-safe ordered pass: positions, forward fills and backward fills.
 
     * ``position``: name of a 0-based row-position column inside each ``by`` group;
     * ``forward[name] = expr``: value of ``expr`` on the last row at or before the
       current one whose ``expr`` is not NULL;
-    * ``backward[name] = expr``: the same for the first row at or after it.
+    * ``backward[name] = expr``: the same for the first row at or after it;
+    * ``with_positions``: fills become ``struct(p, v)`` with ``p`` the global
+      position of the row the value came from.
 
     ``order`` holds plain ascending expressions (NULLs first) ending in a unique
-    tiebreak; ``bucket`` must be monotone in ``order``.  The bucket summary is
-    read off the in-bucket window (its last / first row per bucket), so the
-    input is scanned and shuffled once and no aggregate has to sort.
+    tiebreak; ``bucket`` must be monotone in ``order``.  One shuffle and sort on
+    ``(by, bucket)``; the bucket summary (last / first row of every bucket) turns
+    bucket-local row numbers into global positions and carries values across
+    buckets; it is joined back on ``(by, bucket)``.
     """
     forward = forward or {}
     backward = backward or {}
     keys = _keys(by)
     b = with_bucket(df, bucket)
     w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    cols = {"_rn": F.row_number().over(w), "_nx": F.lead(F.lit(1)).over(w)}
+    l1 = b.withColumns({"_rn": F.row_number().over(w), "_nx": F.lead(F.lit(1)).over(w)})
+
+    def payload(expr: Column) -> Column:
+        val = F.struct(F.col("_rn").alias("p"), expr.alias("v")) if with_positions else expr
+        return F.when(expr.isNotNull(), val)
+
+    cols = {}
     for name, expr in forward.items():
-        cols[f"_lf_{name}"] = F.last(expr, ignorenulls=True).over(
+        cols[f"_lf_{name}"] = F.last(payload(expr), ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, 0))
     for name, expr in backward.items():
-        cols[f"_lb_{name}"] = F.first(expr, ignorenulls=True).over(
+        cols[f"_lb_{name}"] = F.first(payload(expr), ignorenulls=True).over(
             w.rowsBetween(0, Window.unboundedFollowing))
-    local = b.withColumns(cols)
+    local = l1.withColumns(cols) if cols else l1   # same window spec: no extra shuffle or sort
 
-    # summary: last and first row of every bucket (one or two rows per bucket)
+    need_off = bool(position) or with_positions
     is_last, is_first = F.col("_nx").isNull(), F.col("_rn") == 1
     ob = F.coalesce(F.col(BUCKET), F.lit(_NULL_BUCKET))
     summ = local.filter(is_last | is_first).select(
@@ -101,25 +110,38 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
     wk = Window.partitionBy(*keys).orderBy("_ob")
     before = wk.rangeBetween(Window.unboundedPreceding, -1)
     after = wk.rangeBetween(1, Window.unboundedFollowing)
+    if need_off:
+        summ = summ.withColumn(
+            "_off", F.coalesce(F.sum(F.when(F.col("_il"), F.col("_rn"))).over(before), F.lit(0)))
+
+    def globalize(c: Column) -> Column:
+        # bucket-local (p, v) → global (p, v) using this bucket's offset
+        if not with_positions:
+            return c
+        return F.when(c.isNotNull(), F.struct((F.col("_off") + c.getField("p") - 1).alias("p"),
+                                              c.getField("v").alias("v")))
+
     carry = {}
-    if position:
-        carry["_off"] = F.coalesce(F.sum(F.when(F.col("_il"), F.col("_rn"))).over(before), F.lit(0))
     for n in forward:
-        carry[f"_cf_{n}"] = F.last(F.when(F.col("_il"), F.col(f"_lf_{n}")), ignorenulls=True).over(before)
+        carry[f"_cf_{n}"] = F.last(F.when(F.col("_il"), globalize(F.col(f"_lf_{n}"))),
+                                   ignorenulls=True).over(before)
     for n in backward:
-        carry[f"_cb_{n}"] = F.first(F.when(F.col("_if"), F.col(f"_lb_{n}")), ignorenulls=True).over(after)
-    if not carry:
+        carry[f"_cb_{n}"] = F.first(F.when(F.col("_if"), globalize(F.col(f"_lb_{n}"))),
+                                    ignorenulls=True).over(after)
+    if not carry and not need_off:
         return local.drop("_rn", "_nx", BUCKET)
-    summary = summ.withColumns(carry).filter(F.col("_il")).select(*keys, BUCKET, *carry.keys())
+    keep = ["_off"] if need_off else []
+    summary = (summ.withColumns(carry) if carry else summ).filter(F.col("_il")).select(
+        *keys, BUCKET, *keep, *carry.keys())
 
     res = join_on_keys(local, summary, [*keys, BUCKET], "left")
     outs = {}
     if position:
         outs[position] = F.col("_off") + F.col("_rn") - 1
     for n in forward:
-        outs[n] = F.coalesce(F.col(f"_lf_{n}"), F.col(f"_cf_{n}"))
+        outs[n] = F.coalesce(globalize(F.col(f"_lf_{n}")), F.col(f"_cf_{n}"))
     for n in backward:
-        outs[n] = F.coalesce(F.col(f"_lb_{n}"), F.col(f"_cb_{n}"))
+        outs[n] = F.coalesce(globalize(F.col(f"_lb_{n}")), F.col(f"_cb_{n}"))
     drop = [c for c in res.columns if c.startswith(("_lf_", "_lb_", "_cf_", "_cb_"))]
     return res.withColumns(outs).drop(*drop, "_off", "_rn", "_nx", BUCKET)
 
