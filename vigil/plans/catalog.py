@@ -105,8 +105,11 @@ def q_asof_enrich(spark, sf_dir):
     right = ev.filter(F.col("event_type") == "view").select(
         F.col("event_id").alias("view_event_id"), "ts", F.col("ts").alias("view_ts"), "user_id",
         F.col("value").alias("view_value"))
-    return finish(asof_join(left, right, on="ts", by="user_id", left_tiebreak="event_id",
-                            right_tiebreak="view_event_id"))
+    out = asof_join(left, right, on="ts", by="user_id", left_tiebreak="event_id",
+                    right_tiebreak="view_event_id")
+    # the matched id is NULL for unmatched rows: returned as text so that no
+    # engine's nullable-integer conversion (float vs Int64) changes its value
+    return finish(out.withColumn("view_event_id", F.col("view_event_id").cast("string")))
 
 
 def q_interpolate_gaps(spark, sf_dir):

@@ -85,7 +85,8 @@ def asof_enrich() -> str:
 WITH p AS (SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'purchase'),
      v AS (SELECT event_id AS view_event_id, ts AS view_ts, user_id, value AS view_value
            FROM events WHERE event_type = 'view')
-SELECT p.event_id, p.ts, p.user_id, round(p.value, 6) AS value, v.view_event_id, v.view_ts,
+SELECT p.event_id, p.ts, p.user_id, round(p.value, 6) AS value, CAST(v.view_event_id AS VARCHAR) AS view_event_id,
+       v.view_ts,
        round(v.view_value, 6) AS view_value
 FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.view_ts"""
 
