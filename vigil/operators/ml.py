@@ -62,6 +62,7 @@ class ScalerParams:
     columns: list[str]
     mean: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
+    rows: int | None = None
 
     def to_json(self) -> str:
         return json.dumps({"columns": self.columns, "mean": self.mean, "scale": self.scale})
@@ -73,13 +74,14 @@ class ScalerParams:
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> ScalerParams:
-    """One aggregate; population std; zero or undefined std → 1."""
-    aggs = []
+    """One aggregate; population std; zero or undefined std → 1 (also counts the rows)."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     p = ScalerParams(list(columns))
+    p.rows = row["_rows"]
     for i, c in enumerate(columns):
         m, s = row[f"m{i}"], row[f"s{i}"]
         p.mean[c] = 0.0 if m is None else m
@@ -133,11 +135,23 @@ class TrainedModel:
                             meta["feature_columns"], meta.get("label", "rul"))
 
 
+TRAIN_ROWS_PER_PARTITION = 100_000
+
+
 def train(df: DataFrame, feature_cols: Sequence[str], label: str = "rul",
-          estimator=None) -> TrainedModel:
-    """Fit the scaler on ``df`` (the training rows) and the forest on the scaled vector."""
+          estimator=None, rows_per_partition: int = TRAIN_ROWS_PER_PARTITION) -> TrainedModel:
+    """Fit the scaler on ``df`` (the training rows) and the forest on the scaled vector.
+
+    Tree induction runs one distributed pass per tree level, so the training
+    table is repartitioned to a size-proportional partition count (its row
+    count comes from the scaler aggregate): no swarm of near-empty tasks for a
+    small table, full parallelism for a large one.
+    """
     params = fit_scaler(df, feature_cols)
     scaled = apply_scaler(df, params, suffix="__s")
+    if params.rows is not None:
+        n = max(1, -(-params.rows // rows_per_partition))
+        scaled = scaled.repartition(n)
     asm = VectorAssembler(inputCols=[f"{c}__s" for c in feature_cols], outputCol="features",
                           handleInvalid="keep")
     est = estimator or forest(label=label)
