@@ -143,13 +143,21 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) ->
     cols = list(columns)
     keys = [by] if by else []
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+
+    def q(c: str) -> str:
+        return "`" + c.replace("`", "``") + "`"
+
+    def lit(c: str) -> str:
+        return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    # one SQL expression for all pairs (a single plan call instead of one per column)
     items = []
     for a, b in pairs:
-        xa, xb = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-        both = xa.isNotNull() & xb.isNotNull()
-        items.append(F.struct(F.lit(a).alias("sensor_a"), F.lit(b).alias("sensor_b"),
-                              F.when(both, xa).alias("x"), F.when(both, xb).alias("y")))
-    long = df.select(*keys, F.inline(F.array(*items)))
+        both = f"{q(a)} IS NOT NULL AND {q(b)} IS NOT NULL"
+        items.append(f"named_struct('sensor_a', {lit(a)}, 'sensor_b', {lit(b)}, "
+                     f"'x', CASE WHEN {both} THEN CAST({q(a)} AS DOUBLE) END, "
+                     f"'y', CASE WHEN {both} THEN CAST({q(b)} AS DOUBLE) END)")
+    long = df.select(*keys, F.expr(f"inline(array({', '.join(items)}))"))
     r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
     r = F.when(r.isNotNull() & ~F.isnan(r), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
     upper = long.groupBy(*keys, "sensor_a", "sensor_b").agg(r.alias("corr"))

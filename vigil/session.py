@@ -21,6 +21,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Python call-site capture for error messages costs several JVM round trips
+    # per Column call while plans are built; off for jobs and benches.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
