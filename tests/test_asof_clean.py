@@ -126,3 +126,19 @@ def test_null_counts(spark):
     df = spark.createDataFrame([(1.0, None), (None, None)], "a double, b double")
     r = clean.null_counts(df).first()
     assert (r["a"], r["b"], r["total_missing"]) == (1, 2, 3)
+
+
+def test_ingest_nan_becomes_null(spark, tmp_dir):
+    import os
+    from vigil.sources.tables import read_table
+    spark.createDataFrame([(1, float("nan")), (2, 3.0)], "id long, x double") \
+        .write.parquet(os.path.join(tmp_dir, "t.parquet"))
+    got = {r["id"]: r["x"] for r in read_table(spark, tmp_dir, "t").collect()}
+    assert got == {1: None, 2: 3.0}
+
+
+def test_asof_null_keys_match_each_other(spark):
+    l = spark.createDataFrame([(None, D(2024, 1, 2), 1)], "id string, timestamp timestamp, lid long")
+    r = spark.createDataFrame([(None, D(2024, 1, 1), 1, 7.0)], "id string, timestamp timestamp, rid long, p double")
+    out = asof_join(l, r, on="timestamp", by="id", left_tiebreak="lid", right_tiebreak="rid").collect()
+    assert [x["p"] for x in out] == [7.0]

@@ -69,6 +69,16 @@ def q_simple_features(spark, sf_dir):
     return finish(features.simple_features(rd, "equipment_id", "timestamp", ["event_id"]))
 
 
+def q_temperature_trend(spark, sf_dir):
+    """Least-squares slope of temperature on row position per equipment."""
+    rd = event_readings(spark, sf_dir, with_degradation=False).select(
+        "equipment_id", "timestamp", "event_id", "temperature")
+    pos = features.with_positions(rd, "equipment_id", "timestamp", ["event_id"], out="position")
+    return finish(pos.groupBy("equipment_id").agg(
+        features.trend_expr("temperature", "position").alias("temperature_trend"),
+        F.count(F.lit(1)).alias("n")))
+
+
 def q_expected_ranges(spark, sf_dir):
     """A07 on lineitem's four measures (mean ± 3 sample σ, floor 0)."""
     li = lineitem_readings(spark, sf_dir)
@@ -379,6 +389,7 @@ def queries() -> dict[str, Query]:
         "equipment_labels": q_equipment_labels,
         "heuristic_labels": q_heuristic_labels,
         "simple_features": q_simple_features,
+        "temperature_trend": q_temperature_trend,
         "expected_ranges": q_expected_ranges,
         "range_warnings": q_range_warnings,
         "critical_readings": q_critical_readings,

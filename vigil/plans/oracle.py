@@ -137,6 +137,17 @@ SELECT equipment_id,
 FROM p GROUP BY equipment_id"""
 
 
+def temperature_trend() -> str:
+    return "WITH " + _ev() + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY "timestamp", event_id) - 1 AS pos
+      FROM rd)
+SELECT equipment_id,
+  round(CASE WHEN count(temperature) < count(*) OR count(*) < 2 THEN NULL
+             ELSE regr_slope(temperature, CAST(pos AS DOUBLE)) END, 6) AS temperature_trend,
+  CAST(count(*) AS BIGINT) AS n
+FROM p GROUP BY equipment_id"""
+
+
 def _ranges_union(src: str, cols, sigmas: float) -> str:
     parts = []
     for c in cols:
@@ -562,6 +573,7 @@ def oracle_sql() -> dict[str, str]:
         "equipment_labels": equipment_labels(),
         "heuristic_labels": heuristic_labels(),
         "simple_features": simple_features(),
+        "temperature_trend": temperature_trend(),
         "expected_ranges": expected_ranges(),
         "range_warnings": range_warnings(),
         "critical_readings": critical_readings(),
