@@ -131,10 +131,11 @@ def heuristic_labels(df: DataFrame, by: str = "equipment_id") -> DataFrame:
 
 def with_positions(df: DataFrame, by: str = "equipment_id", ts: str = "timestamp",
                    tiebreak: Sequence[str] = (), out: str = "position",
-                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """0-based row position inside each equipment, ordered by (ts, tiebreak)."""
+                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS, count: str | None = None) -> DataFrame:
+    """0-based row position inside each equipment, ordered by (ts, tiebreak);
+    ``count`` also adds the equipment's row count."""
     order = [F.col(ts), *[F.col(t) for t in tiebreak]]
-    return positions(df, by, order, time_bucket(F.col(ts), bucket_seconds), out=out)
+    return positions(df, by, order, time_bucket(F.col(ts), bucket_seconds), out=out, count=count)
 
 
 def trend_expr(y: str, x: str = "position") -> Column:
@@ -169,10 +170,7 @@ def degradation_curve(df: DataFrame, by: str = "equipment_id", ts: str = "timest
                       failing_above: float = 0.85,
                       bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Progress p = i/n per equipment; d = min((p/horizon)^2, 1); failing when d > .85."""
-    pos = with_positions(df, by, ts, tiebreak, "_i", bucket_seconds)
-    n = pos.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    from vigil.operators.ordered import join_on_keys
-    j = join_on_keys(pos, n, [by], "left")
+    j = with_positions(df, by, ts, tiebreak, "_i", bucket_seconds, count="_n")
     p = F.col("_i") / F.col("_n")
     d = F.least(F.pow(p / horizon, 2.0), F.lit(1.0))
     return j.withColumn("progress", p).withColumn("degradation_curve", d) \

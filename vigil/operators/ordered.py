@@ -65,7 +65,8 @@ def with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
 def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
                  forward: dict[str, Column] | None = None,
                  backward: dict[str, Column] | None = None,
-                 position: str | None = None, with_positions: bool = False) -> DataFrame:
+                 position: str | None = None, with_positions: bool = False,
+                 group_count: str | None = None) -> DataFrame:
     """One skew-safe ordered pass: positions, forward fills and backward fills.
 
     * ``position``: name of a 0-based row-position column inside each ``by`` group;
@@ -73,7 +74,9 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
       current one whose ``expr`` is not NULL;
     * ``backward[name] = expr``: the same for the first row at or after it;
     * ``with_positions``: fills become ``struct(p, v)`` with ``p`` the global
-      position of the row the value came from.
+      position of the row the value came from;
+    * ``group_count``: name of a column with the row count of the row's ``by``
+      group (read off the bucket summary: no aggregate joined back on a hot key).
 
     ``order`` holds plain ascending expressions (NULLs first) ending in a unique
     tiebreak; ``bucket`` must be monotone in ``order``.  One shuffle and sort on
@@ -101,7 +104,7 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
             w.rowsBetween(0, Window.unboundedFollowing))
     local = l1.withColumns(cols) if cols else l1   # same window spec: no extra shuffle or sort
 
-    need_off = bool(position) or with_positions
+    need_off = bool(position) or with_positions or bool(group_count)
     is_last, is_first = F.col("_nx").isNull(), F.col("_rn") == 1
     ob = F.coalesce(F.col(BUCKET), F.lit(_NULL_BUCKET))
     summ = local.filter(is_last | is_first).select(
@@ -113,6 +116,9 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
     if need_off:
         summ = summ.withColumn(
             "_off", F.coalesce(F.sum(F.when(F.col("_il"), F.col("_rn"))).over(before), F.lit(0)))
+    if group_count:
+        summ = summ.withColumn("_gcnt", F.sum(F.when(F.col("_il"), F.col("_rn"))).over(
+            Window.partitionBy(*keys)))
 
     def globalize(c: Column) -> Column:
         # bucket-local (p, v) → global (p, v) using this bucket's offset
@@ -130,7 +136,7 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
                                     ignorenulls=True).over(after)
     if not carry and not need_off:
         return local.drop("_rn", "_nx", BUCKET)
-    keep = ["_off"] if need_off else []
+    keep = (["_off"] if need_off else []) + (["_gcnt"] if group_count else [])
     summary = (summ.withColumns(carry) if carry else summ).filter(F.col("_il")).select(
         *keys, BUCKET, *keep, *carry.keys())
 
@@ -138,18 +144,21 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
     outs = {}
     if position:
         outs[position] = F.col("_off") + F.col("_rn") - 1
+    if group_count:
+        outs[group_count] = F.col("_gcnt")
     for n in forward:
         outs[n] = F.coalesce(globalize(F.col(f"_lf_{n}")), F.col(f"_cf_{n}"))
     for n in backward:
         outs[n] = F.coalesce(globalize(F.col(f"_lb_{n}")), F.col(f"_cb_{n}"))
     drop = [c for c in res.columns if c.startswith(("_lf_", "_lb_", "_cf_", "_cb_"))]
-    return res.withColumns(outs).drop(*drop, "_off", "_rn", "_nx", BUCKET)
+    return res.withColumns(outs).drop(*drop, "_off", "_gcnt", "_rn", "_nx", BUCKET)
 
 
 def positions(df: DataFrame, by, order: Sequence[Column], bucket: Column,
-              out: str = "_pos") -> DataFrame:
-    """0-based row position inside each ``by`` group in ``order`` (see ``ordered_scan``)."""
-    return ordered_scan(df, by, order, bucket, position=out)
+              out: str = "_pos", count: str | None = None) -> DataFrame:
+    """0-based row position inside each ``by`` group in ``order`` (see ``ordered_scan``);
+    ``count`` also adds the group's row count."""
+    return ordered_scan(df, by, order, bucket, position=out, group_count=count)
 
 
 def fill_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,

@@ -109,7 +109,7 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
     """
     width_us = window_seconds * 1_000_000 // copies
     b = F.floor(F.unix_micros(F.col(ts)) / F.lit(width_us)).cast("long")
-    src = df.withColumn("_own", b).withColumn("_rid", F.monotonically_increasing_id())
+    src = df.withColumn("_own", b)
     rep = src.withColumn("_shift", F.explode(F.sequence(F.lit(0), F.lit(copies)))) \
         .withColumn("_bk", F.col("_own") + F.col("_shift"))
     w = (Window.partitionBy(by, "_bk").orderBy(F.unix_micros(F.col(ts)))
@@ -128,7 +128,7 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
         if "std" in stats:
             aggs[f"{c}_roll_std"] = F.stddev_samp(x).over(w)
     out = rep.withColumns(aggs).filter(F.col("_shift") == 0)
-    return out.drop("_own", "_rid", "_shift", "_bk")
+    return out.drop("_own", "_shift", "_bk")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:

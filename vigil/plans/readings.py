@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators.features import with_positions
-from vigil.operators.ordered import join_on_keys
 from vigil.sources.tables import read_table
 
 EVENT_SENSORS = ("vibration", "temperature", "pressure", "current", "rpm", "tool_wear")
@@ -65,9 +64,7 @@ def event_readings(spark: SparkSession, sf_dir: str, with_degradation: bool = Tr
         "k")
     ev = ev.withColumns(sensor_columns(ev)).withColumn("failure_imminent", F.col("event_type") == "error")
     if with_degradation:
-        pos = with_positions(ev, "equipment_id", "timestamp", ["event_id"], out="_pos")
-        n = ev.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("_n"))
-        ev = join_on_keys(pos, n, ["equipment_id"], "left")
+        ev = with_positions(ev, "equipment_id", "timestamp", ["event_id"], out="_pos", count="_n")
         ev = ev.withColumn("degradation_level", (F.col("_pos") + 1) / F.col("_n")).drop("_pos", "_n")
     return ev.drop("user_id")
 
