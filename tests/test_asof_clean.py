@@ -142,3 +142,25 @@ def test_asof_null_keys_match_each_other(spark):
     r = spark.createDataFrame([(None, D(2024, 1, 1), 1, 7.0)], "id string, timestamp timestamp, rid long, p double")
     out = asof_join(l, r, on="timestamp", by="id", left_tiebreak="lid", right_tiebreak="rid").collect()
     assert [x["p"] for x in out] == [7.0]
+
+
+def test_fill_scan_matches_brute_force(spark):
+    from vigil.operators.ordered import ordered_scan, time_bucket
+    rnd = random.Random(17)
+    rows = []
+    for i in range(400):
+        k = rnd.choice(["a", "b", None])
+        t = D(2024, 1, 1) + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 30))
+        v = float(i) if rnd.random() < 0.1 else None
+        rows.append((k, t, i, v))
+    df = spark.createDataFrame(rows, "k string, t timestamp, i long, v double")
+    out = ordered_scan(df, "k", [F.col("t"), F.col("i")], time_bucket(F.col("t"), 6 * 3600),
+                       forward={"f": F.col("v")}, backward={"b": F.col("v")}, position="pos",
+                       group_count="n").collect()
+    got = {r["i"]: (r["f"], r["b"], r["pos"], r["n"]) for r in out}
+    for key in ("a", "b", None):
+        sub = sorted([r for r in rows if r[0] == key], key=lambda r: (r[1], r[2]))
+        for p, r in enumerate(sub):
+            prev = [x[3] for x in sub[:p + 1] if x[3] is not None]
+            nxt = [x[3] for x in sub[p:] if x[3] is not None]
+            assert got[r[2]] == (prev[-1] if prev else None, nxt[0] if nxt else None, p, len(sub))

@@ -95,14 +95,19 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
         val = F.struct(F.col("_rn").alias("p"), expr.alias("v")) if with_positions else expr
         return F.when(expr.isNotNull(), val)
 
+    # Frames always run "unbounded preceding .. current row", which Spark evaluates
+    # incrementally; a frame reaching to "unbounded following" is re-aggregated for
+    # every row (quadratic in the partition).  Backward fills therefore run as
+    # forward fills over the reversed order (same partitioning: one more sort, no shuffle).
+    w_rev = Window.partitionBy(*keys, BUCKET).orderBy(*[o.desc_nulls_last() for o in order])
     cols = {}
     for name, expr in forward.items():
         cols[f"_lf_{name}"] = F.last(payload(expr), ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, 0))
     for name, expr in backward.items():
-        cols[f"_lb_{name}"] = F.first(payload(expr), ignorenulls=True).over(
-            w.rowsBetween(0, Window.unboundedFollowing))
-    local = l1.withColumns(cols) if cols else l1   # same window spec: no extra shuffle or sort
+        cols[f"_lb_{name}"] = F.last(payload(expr), ignorenulls=True).over(
+            w_rev.rowsBetween(Window.unboundedPreceding, 0))
+    local = l1.withColumns(cols) if cols else l1
 
     need_off = bool(position) or with_positions or bool(group_count)
     is_last, is_first = F.col("_nx").isNull(), F.col("_rn") == 1
@@ -112,7 +117,8 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
         *[f"_lf_{n}" for n in forward], *[f"_lb_{n}" for n in backward])
     wk = Window.partitionBy(*keys).orderBy("_ob")
     before = wk.rangeBetween(Window.unboundedPreceding, -1)
-    after = wk.rangeBetween(1, Window.unboundedFollowing)
+    # later buckets, as a "preceding" frame of the descending order (linear, see above)
+    after = Window.partitionBy(*keys).orderBy(F.col("_ob").desc()).rangeBetween(Window.unboundedPreceding, -1)
     if need_off:
         summ = summ.withColumn(
             "_off", F.coalesce(F.sum(F.when(F.col("_il"), F.col("_rn"))).over(before), F.lit(0)))
@@ -132,8 +138,8 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
         carry[f"_cf_{n}"] = F.last(F.when(F.col("_il"), globalize(F.col(f"_lf_{n}"))),
                                    ignorenulls=True).over(before)
     for n in backward:
-        carry[f"_cb_{n}"] = F.first(F.when(F.col("_if"), globalize(F.col(f"_lb_{n}"))),
-                                    ignorenulls=True).over(after)
+        carry[f"_cb_{n}"] = F.last(F.when(F.col("_if"), globalize(F.col(f"_lb_{n}"))),
+                                   ignorenulls=True).over(after)
     if not carry and not need_off:
         return local.drop("_rn", "_nx", BUCKET)
     keep = (["_off"] if need_off else []) + (["_gcnt"] if group_count else [])

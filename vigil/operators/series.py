@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,33 +56,40 @@ def cooldown_events(df: DataFrame, trigger: Column, by: str = "equipment_id",
     ensure_checkpoint_dir(spark)
     bucket_seconds = bucket_seconds or max(gap_seconds, 3600)
     gap_us = gap_seconds * 1_000_000
-    base = df.withColumn("_t", F.col(ts))
-    cand = base.filter(trigger).select(
-        by, "_t", F.col(tiebreak).cast("long").alias("_tb"),
-        F.concat(F.lit("c:"), F.col(tiebreak).cast("string")).alias("nid"))
-    starts = base.groupBy(by).agg(F.min("_t").alias("_t0")).select(
+    # narrow projection used by every branch below: computed once, kept (recomputable) in cache
+    narrow = df.select(by, F.col(ts).alias("_t"), F.col(tiebreak).cast("long").alias("_tb"),
+                       trigger.alias("_trig")).persist(StorageLevel.MEMORY_AND_DISK)
+    cand = narrow.filter(F.col("_trig")).select(
+        by, "_t", "_tb", F.concat(F.lit("c:"), F.col("_tb").cast("string")).alias("nid"))
+    starts = narrow.groupBy(by).agg(F.min("_t").alias("_t0")).select(
         by, F.timestamp_micros(F.unix_micros("_t0") + F.lit(gap_us)).alias("_t"),
         F.concat(F.lit("s:"), F.col(by).cast("string")).alias("nid"))
     probes = cand.select(by, F.timestamp_micros(F.unix_micros("_t") + F.lit(gap_us)).alias("_t"), "nid") \
         .unionByName(starts)
-    jump = cut_lineage(_successors(cand, probes, by, bucket_seconds).filter(F.col("j").isNotNull()))
-    reached = cut_lineage(starts.select("nid"))
+    # node table: (nid, j = J_k(nid), d = nid ∈ D_k); D_0 = the series starts
+    succ = _successors(cand, probes, by, bucket_seconds)
+    nodes = cut_lineage(succ.withColumn("d", F.col("nid").startswith("s:")))
     for _ in range(max_rounds):
-        # D(k+1) = D(k) ∪ J(k)(D(k));  J(k+1) = J(k) ∘ J(k)
-        new = reached.join(jump, "nid").select(F.col("j").alias("nid"))
-        reached = cut_lineage(reached.unionByName(new))
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = cut_lineage(a.join(b, F.col("a.j") == F.col("b.nid"))
-                           .select(F.col("a.nid").alias("nid"), F.col("b.j").alias("j")))
+        # one pass per round: J(k+1) = J(k) ∘ J(k) and D(k+1) = D(k) ∪ J(k)(D(k))
+        a, b = nodes.alias("a"), nodes.alias("b")
+        marks = nodes.filter(F.col("d") & F.col("j").isNotNull()).select(
+            F.col("j").alias("m_nid"), F.lit(True).alias("m"))
+        nxt = (a.join(b, F.col("a.j") == F.col("b.nid"), "left")
+               .join(marks, F.col("a.nid") == F.col("m_nid"), "left")
+               .select(F.col("a.nid").alias("nid"), F.col("b.j").alias("j"),
+                       (F.col("a.d") | F.coalesce(F.col("m"), F.lit(False))).alias("d")))
+        nodes = cut_lineage(nxt)
         # no node has a 2^(k+1)-step successor: every chain is shorter, D(k+1) holds it all
-        if jump.isEmpty():
+        if nodes.filter(F.col("j").isNotNull()).isEmpty():
             break
     else:
         raise RuntimeError("cooldown chain longer than 2**max_rounds")
+    reached = nodes.filter(F.col("d")).select("nid")
+    # ``nodes`` is a checkpoint: nothing below depends on the cached projection
     emitted = reached.filter(F.col("nid").startswith("c:")).select(
         F.substring("nid", 3, 64).cast("long").alias("_tb"))
-    out = base.join(emitted, F.col(tiebreak).cast("long") == F.col("_tb"), "left_semi")
-    return out.drop("_t")
+    narrow.unpersist()
+    return df.join(emitted, F.col(tiebreak).cast("long") == F.col("_tb"), "left_semi")
 
 
 def maintenance_from_cooldown(emitted: DataFrame, flag: str = "failure_imminent",
