@@ -90,16 +90,26 @@ def test_cooldown_matches_loop(spark):
 def test_rolling_matches_brute_force(spark):
     rnd = random.Random(9)
     rows = [(rnd.choice("ab"), D(2024, 1, 1) + dt.timedelta(minutes=30 * rnd.randint(0, 300)), i,
-             float(rnd.randint(0, 100))) for i in range(250)]
+             None if rnd.random() < 0.15 else float(rnd.randint(0, 100))) for i in range(250)]
     df = spark.createDataFrame(rows, "equipment_id string, timestamp timestamp, n long, v double")
     w = 6 * 3600
-    for copies in (1, 3):
-        got = {r["n"]: r for r in series.rolling_features(df, ["v"], w, copies=copies).collect()}
+    for m in (1, 3, 6, 24):
+        out = series.rolling_features(df, ["v"], w, tiebreak="n", sub_buckets=m,
+                                      stats=("mean", "max", "min", "count", "sum"))
+        assert set(out.columns) >= set(df.columns)
+        got = {r["n"]: r for r in out.collect()}
         for k, t, n, v in rows:
-            win = [r[3] for r in rows if r[0] == k and t - dt.timedelta(seconds=w) < r[1] <= t]
-            assert got[n]["v_roll_count"] == len(win)
-            assert got[n]["v_roll_max"] == max(win)
-            assert got[n]["v_roll_mean"] == pytest.approx(sum(win) / len(win))
+            win = [r[3] for r in rows if r[0] == k and t - dt.timedelta(seconds=w) < r[1] <= t
+                   and r[3] is not None]
+            g = got[n]
+            assert g["v_roll_count"] == len(win), (m, n)
+            assert g["v_roll_max"] == (max(win) if win else None)
+            assert g["v_roll_min"] == (min(win) if win else None)
+            if win:
+                assert g["v_roll_mean"] == pytest.approx(sum(win) / len(win))
+                assert g["v_roll_sum"] == pytest.approx(sum(win))
+            else:
+                assert g["v_roll_mean"] is None
 
 
 def test_corr_constant_is_null(spark):

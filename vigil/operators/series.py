@@ -106,37 +106,107 @@ def daily_spine(df: DataFrame, by: str = "equipment_id", ts: str = "timestamp",
     return rng.select(by, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {step}"))).alias(ts))
 
 
+ROLLING_STATS = ("mean", "max", "min", "count", "sum")
+
+
 def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
-                     by: str = "equipment_id", ts: str = "timestamp",
-                     copies: int = 1, stats: Sequence[str] = ("mean", "max", "count")) -> DataFrame:
+                     by: str = "equipment_id", ts: str = "timestamp", tiebreak: str = "event_id",
+                     sub_buckets: int = 24, stats: Sequence[str] = ("mean", "max", "count")) -> DataFrame:
     """Per row, stats of each column over the right-closed window (t - w, t] of its equipment.
 
-    Buckets are ``w / copies`` wide and each row is also placed in the next
-    ``copies`` buckets, so a row's whole window lies inside its own bucket's
-    partition.  Exact; the data volume grows by (copies + 1).
+    Exact and O(n log n) with no frame that slides over raw rows (Spark's
+    sliding frames re-aggregate the whole frame per row).  Time is cut into
+    sub-buckets of width w / m; a window (t - w, t] whose row lies in sub-bucket
+    c is exactly
+
+    * A: rows of sub-bucket c up to t          (running aggregate, incremental),
+    * B: whole sub-buckets c-m+1 .. c-1        (per-sub-bucket totals, a small table),
+    * C: rows of sub-bucket c-m after t - w    (suffix aggregate of that sub-bucket, read at
+      its first row after t - w: a forward lookup through the ordered union of rows and probes).
+
+    Partitions are (equipment, sub-bucket), so a hot equipment spreads out.
+    ``tiebreak`` must identify rows uniquely (probe results are joined back on it).
     """
-    width_us = window_seconds * 1_000_000 // copies
-    b = F.floor(F.unix_micros(F.col(ts)) / F.lit(width_us)).cast("long")
-    src = df.withColumn("_own", b)
-    rep = src.withColumn("_shift", F.explode(F.sequence(F.lit(0), F.lit(copies)))) \
-        .withColumn("_bk", F.col("_own") + F.col("_shift"))
-    w = (Window.partitionBy(by, "_bk").orderBy(F.unix_micros(F.col(ts)))
-         .rangeBetween(-(window_seconds * 1_000_000) + 1, 0))
-    aggs = {}
-    for c in columns:
-        x = F.col(c).cast("double")
+    bad = [x for x in stats if x not in ROLLING_STATS]
+    if bad:
+        raise ValueError(f"unsupported rolling stats {bad}; supported: {ROLLING_STATS}")
+    w_us = int(window_seconds) * 1_000_000
+    m = max(1, int(sub_buckets))
+    while w_us % m:
+        m -= 1
+    d_us = w_us // m
+    cols = list(columns)
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    base = df.withColumns({"_tu": F.unix_micros(F.col(ts)),
+                           "_sb": F.floor(F.unix_micros(F.col(ts)) / F.lit(d_us)).cast("long")})
+
+    def aggs(prefix: str, frame_x) -> dict:
+        out = {}
+        for i, c in enumerate(cols):
+            v = frame_x(c)
+            out[f"{prefix}n{i}"] = v(F.count(x[c]))
+            out[f"{prefix}s{i}"] = v(F.sum(x[c]))
+            out[f"{prefix}x{i}"] = v(F.max(x[c]))
+            out[f"{prefix}i{i}"] = v(F.min(x[c]))
+        return out
+
+    # A (prefix up to t, peers included) and the suffix aggregates used by C, one partitioning
+    wa = Window.partitionBy(by, "_sb").orderBy("_tu").rangeBetween(Window.unboundedPreceding, 0)
+    ws = Window.partitionBy(by, "_sb").orderBy(F.col("_tu").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    rows = base.withColumns(aggs("_a", lambda c: (lambda e: e.over(wa))))
+    rows = rows.withColumns(aggs("_z", lambda c: (lambda e: e.over(ws))))
+
+    # B: totals per sub-bucket, then over the m-1 sub-buckets before each one (small table)
+    tot = base.groupBy(by, "_sb").agg(*[e.alias(k) for k, e in aggs("_t", lambda c: (lambda e: e)).items()])
+    wb = Window.partitionBy(by).orderBy("_sb").rangeBetween(-(m - 1), -1)
+    bcols = {}
+    for i in range(len(cols)):
+        bcols[f"_bn{i}"] = F.sum(f"_tn{i}").over(wb)
+        bcols[f"_bs{i}"] = F.sum(f"_ts{i}").over(wb)
+        bcols[f"_bx{i}"] = F.max(f"_tx{i}").over(wb)
+        bcols[f"_bi{i}"] = F.min(f"_ti{i}").over(wb)
+    btab = tot.select(by, "_sb", *[v.alias(k) for k, v in bcols.items()]) if m > 1 else None
+
+    # C: for each row, the suffix aggregate of sub-bucket c-m at its first row with time > t - w
+    zfields = [F.col(f"_z{k}{i}").alias(f"{k}{i}") for i in range(len(cols)) for k in "nsxi"]
+    points = rows.select(by, "_sb", "_tu", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_pid"),
+                         F.struct(*zfields).alias("_pay"))
+    probes = base.select(by, (F.col("_sb") - m).alias("_sb"), (F.col("_tu") - F.lit(w_us)).alias("_tu"),
+                         F.lit(1).alias("_side"), F.col(tiebreak).cast("long").alias("_pid"),
+                         F.lit(None).cast(points.schema["_pay"].dataType).alias("_pay"))
+    # reversed order, "unbounded preceding .. current": the first point after each probe
+    wc = Window.partitionBy(by, "_sb").orderBy(F.col("_tu").desc(), F.col("_side").desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    looked = points.unionByName(probes).withColumn("_c", F.last("_pay", ignorenulls=True).over(wc))
+    ctab = looked.filter(F.col("_side") == 1).select(F.col("_pid").alias("_cid"), "_c")
+
+    out = rows.join(ctab, F.col(tiebreak).cast("long") == F.col("_cid"), "left")
+    if btab is not None:
+        out = join_on_keys(out, btab, [by, "_sb"], "left")
+
+    def part(col: str):
+        return F.col(col)
+
+    res = {}
+    for i, c in enumerate(cols):
+        parts_n = [part(f"_an{i}"), F.col(f"_c.n{i}")] + ([part(f"_bn{i}")] if btab is not None else [])
+        parts_s = [part(f"_as{i}"), F.col(f"_c.s{i}")] + ([part(f"_bs{i}")] if btab is not None else [])
+        parts_M = [part(f"_ax{i}"), F.col(f"_c.x{i}")] + ([part(f"_bx{i}")] if btab is not None else [])
+        parts_m = [part(f"_ai{i}"), F.col(f"_c.i{i}")] + ([part(f"_bi{i}")] if btab is not None else [])
+        n = sum((F.coalesce(p, F.lit(0)) for p in parts_n[1:]), parts_n[0])
+        tot_s = sum((F.coalesce(p, F.lit(0.0)) for p in parts_s[1:]), F.coalesce(parts_s[0], F.lit(0.0)))
+        if "count" in stats:
+            res[f"{c}_roll_count"] = n
+        if "sum" in stats:
+            res[f"{c}_roll_sum"] = F.when(n > 0, tot_s)
         if "mean" in stats:
-            aggs[f"{c}_roll_mean"] = F.avg(x).over(w)
+            res[f"{c}_roll_mean"] = F.when(n > 0, tot_s / n)
         if "max" in stats:
-            aggs[f"{c}_roll_max"] = F.max(x).over(w)
+            res[f"{c}_roll_max"] = F.greatest(*parts_M)
         if "min" in stats:
-            aggs[f"{c}_roll_min"] = F.min(x).over(w)
-        if "count" in stats:
-            aggs[f"{c}_roll_count"] = F.count(x).over(w)
-        if "std" in stats:
-            aggs[f"{c}_roll_std"] = F.stddev_samp(x).over(w)
-    out = rep.withColumns(aggs).filter(F.col("_shift") == 0)
-    return out.drop("_own", "_shift", "_bk")
+            res[f"{c}_roll_min"] = F.least(*parts_m)
+    drop = [k for k in out.columns if k.startswith(("_a", "_z", "_b", "_c", "_t", "_s"))]
+    return out.withColumns(res).drop(*[d for d in drop if d not in df.columns])
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:

@@ -310,7 +310,7 @@ def q_rolling_features(spark, sf_dir):
     rd = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"]).select(
         "event_id", F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("equipment_id"),
         "value")
-    out = series.rolling_features(rd, ["value"], 24 * 3600, "equipment_id", "timestamp")
+    out = series.rolling_features(rd, ["value"], 24 * 3600, "equipment_id", "timestamp", "event_id")
     return finish(out.select("event_id", "equipment_id", "value_roll_mean", "value_roll_max",
                              "value_roll_count"))
 
