@@ -103,3 +103,12 @@ def test_failure_keyword(spark):
                                "t string")
     got = [r[0] for r in df.select(R.failure_keyword("t")).collect()]
     assert got == [True, False, True, False, None]
+
+
+def test_sensor_bands_and_response_targets(spark):
+    df = spark.createDataFrame([(3.0,), (3.02,), (3.05,), (3.07,), (None,)], "v double")
+    got = [r[0] for r in df.select(R.sensor_band("v", "vibration")).collect()]
+    assert got == ["normal", "warning", "normal", "critical", None]
+    sev = spark.createDataFrame([("critical",), ("High",), ("medium",), ("low",), ("x",)], "s string")
+    got = [r[0] for r in sev.select(R.response_target("s")).collect()]
+    assert got == ["24 hours", "1 week", "2-4 weeks", "Next scheduled maintenance", None]

@@ -70,6 +70,15 @@ ALERT_THRESHOLDS = {"temperature": 314.0, "vibration": 3.06, "tool_wear": 250.0}
 HEALTH_SCALE_6 = ((90.0, "Excellent"), (80.0, "Good"), (70.0, "Fair"), (60.0, "Watch"),
                   (40.0, "Poor"))
 HEALTH_SCALE_6_FLOOR = "Critical"
+# documented bands per sensor: (warning low, warning high, critical above)
+SENSOR_BANDS = {
+    "vibration": (3.01, 3.04, 3.06),
+    "temperature": (312.0, 314.0, 314.0),
+    "pressure": (180.0, 207.0, 207.0),
+    "current": (55.0, 69.0, 69.0),
+    "rpm": (1800.0, 2076.0, 2076.0),
+    "tool_wear": (200.0, 250.0, 250.0),
+}
 # response-time targets per alert severity
 RESPONSE_TARGETS = (("critical", "24 hours"), ("high", "1 week"), ("medium", "2-4 weeks"),
                     ("low", "Next scheduled maintenance"))
@@ -270,6 +279,20 @@ def health_scale_6(health) -> Column:
     return expr.otherwise(F.lit(HEALTH_SCALE_6_FLOOR))
 
 
+def sensor_band(value, sensor: str) -> Column:
+    """R21: 'critical' above the critical level, 'warning' inside the warning band, else 'normal'."""
+    lo, hi, crit = SENSOR_BANDS[sensor]
+    v = _c(value)
+    return (F.when(v > crit, F.lit("critical")).when((v >= lo) & (v <= hi), F.lit("warning"))
+            .when(v.isNotNull(), F.lit("normal")))
+
+
+def response_target(severity) -> Column:
+    """Response-time target of an alert severity (critical / high / medium / low)."""
+    m = F.create_map(*[x for k, t in RESPONSE_TARGETS for x in (F.lit(k), F.lit(t))])
+    return F.element_at(m, F.lower(_c(severity)))
+
+
 def relu(pred) -> Column:
     """Non-negative output."""
     return F.greatest(_c(pred), F.lit(0.0))

@@ -100,6 +100,19 @@ def q_critical_readings(spark, sf_dir):
     return finish(quality.critical_readings(rd, ["event_id", "equipment_id"]))
 
 
+def q_sensor_bands(spark, sf_dir):
+    """R21 + R24: documented warning / critical band per reading and sensor, with the response target."""
+    rd = event_readings(spark, sf_dir, with_degradation=False)
+    long = quality.unpivot_sensors(rd, ["event_id", "equipment_id"], list(R.SENSOR_BANDS))
+    band = None
+    for sensor in R.SENSOR_BANDS:
+        b = R.sensor_band(F.col("value"), sensor)
+        band = F.when(F.col("sensor") == sensor, b) if band is None else band.when(F.col("sensor") == sensor, b)
+    out = long.withColumn("band", band).filter(F.col("band") != "normal")
+    sev = F.when(F.col("band") == "critical", F.lit("critical")).otherwise(F.lit("medium"))
+    return finish(out.withColumn("response_target", R.response_target(sev)))
+
+
 def q_failure_maintenance(spark, sf_dir):
     """F02 + P07: one corrective maintenance row per failing reading."""
     rd = event_readings(spark, sf_dir, with_degradation=False)
@@ -393,6 +406,7 @@ def queries() -> dict[str, Query]:
         "expected_ranges": q_expected_ranges,
         "range_warnings": q_range_warnings,
         "critical_readings": q_critical_readings,
+        "sensor_bands": q_sensor_bands,
         "failure_maintenance": q_failure_maintenance,
         "asof_enrich": q_asof_enrich,
         "interpolate_gaps": q_interpolate_gaps,

@@ -559,6 +559,23 @@ SELECT sensor, event_id, equipment_id, round(value, 6) AS value, round(threshold
 FROM lg WHERE value > threshold"""
 
 
+def sensor_bands() -> str:
+    bands = (("vibration", 3.01, 3.04, 3.06), ("temperature", 312.0, 314.0, 314.0),
+             ("pressure", 180.0, 207.0, 207.0), ("current", 55.0, 69.0, 69.0),
+             ("rpm", 1800.0, 2076.0, 2076.0), ("tool_wear", 200.0, 250.0, 250.0))
+    longs = "\nUNION ALL\n".join(
+        f"SELECT event_id, equipment_id, '{c}' AS sensor, {c} AS value, "
+        f"CASE WHEN {c} > CAST({cr} AS DOUBLE) THEN 'critical' "
+        f"WHEN {c} >= CAST({lo} AS DOUBLE) AND {c} <= CAST({hi} AS DOUBLE) THEN 'warning' "
+        f"WHEN {c} IS NOT NULL THEN 'normal' END AS band FROM rd"
+        for c, lo, hi, cr in bands)
+    return "WITH " + _ev() + f""",
+lg AS ({longs})
+SELECT event_id, equipment_id, sensor, round(value, 6) AS value, band,
+       CASE WHEN band = 'critical' THEN '24 hours' ELSE '2-4 weeks' END AS response_target
+FROM lg WHERE band <> 'normal'"""
+
+
 def failure_maintenance() -> str:
     return "WITH " + _ev() + """
 SELECT "timestamp", equipment_id, 'corrective' AS maintenance_type, 'Machine failure detected' AS description,
@@ -577,6 +594,7 @@ def oracle_sql() -> dict[str, str]:
         "expected_ranges": expected_ranges(),
         "range_warnings": range_warnings(),
         "critical_readings": critical_readings(),
+        "sensor_bands": sensor_bands(),
         "failure_maintenance": failure_maintenance(),
         "asof_enrich": asof_enrich(),
         "interpolate_gaps": interpolate_gaps(),
