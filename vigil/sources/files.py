@@ -254,3 +254,9 @@ def _load_cmapss(spark: SparkSession, train_path: str, test_path: str | None = N
 @register_dataset("csv", "three canonical CSV tables (sensor, maintenance, operational)")
 def _load_csv(spark: SparkSession, sensor: str, maintenance: str, operational: str) -> Dataset:
     return load_all(spark, sensor, maintenance, operational)
+
+
+def concat_frames(frames: Sequence[DataFrame]) -> DataFrame:
+    """UNION ALL by column name; columns missing from a frame become NULL."""
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
