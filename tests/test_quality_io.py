@@ -239,3 +239,10 @@ def test_aggregate_scoring_and_retrain(spark, tmp_dir):
     assert set(res.metrics) == {"mae", "rmse", "r2"}
     scored = ml.score_request_aggregate(res.model, req).collect()
     assert len(scored) == 12 and all(r["predicted_rul_hours"] >= 0 for r in scored)
+
+
+def test_zero_pad_matches_python_format(spark):
+    vals = [0, 5, 42, 999, 1000, 123456, -1, -9, -10, -99, -100, -12345]
+    df = spark.createDataFrame([(v,) for v in vals], "n long")
+    got = [r[0] for r in df.select(normalize.zero_pad(F.col("n"), 3)).collect()]
+    assert got == ["%03d" % v for v in vals]

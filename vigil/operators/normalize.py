@@ -60,6 +60,20 @@ def failure_type(df_cols=None) -> Column:
     return expr.otherwise(F.lit(NO_FAILURE))
 
 
+def zero_pad(n: Column, width: int) -> Column:
+    """``%0{width}d`` of an integer column with codegen-friendly string functions
+    (the sign counts toward the width; wider numbers are kept whole)."""
+    a = F.abs(n.cast("long")).cast("string")
+    pos = F.when(F.length(a) < width, F.lpad(a, width, "0")).otherwise(a)
+    neg = F.concat(F.lit("-"), F.when(F.length(a) < width - 1, F.lpad(a, width - 1, "0")).otherwise(a))
+    return F.when(n < 0, neg).otherwise(pos)
+
+
+def engine_id(unit: Column) -> Column:
+    """``Engine_%03d``."""
+    return F.concat(F.lit("Engine_"), zero_pad(unit, 3))
+
+
 def machine_id(product: Column) -> Column:
     return F.concat(F.lit("Machine_"), F.replace(product, F.lit("M"), F.lit("")))
 
@@ -128,7 +142,7 @@ def normalize_cmapss(raw: DataFrame) -> DataFrame:
     """
     mx = raw.groupBy("unit").agg(F.max("cycle").alias("_max_cycle"))
     j = join_on_keys(raw, mx, ["unit"], "left")
-    cols = [F.format_string("Engine_%03d", F.col("unit").cast("int")).alias("equipment_id"),
+    cols = [engine_id(F.col("unit")).alias("equipment_id"),
             hours_after(CMAPSS_BASE, F.col("cycle")).alias("timestamp")]
     names = set(raw.columns)
     for src, dst in CMAPSS_SENSOR_MAP:
@@ -143,7 +157,7 @@ def cmapss_maintenance(raw: DataFrame) -> DataFrame:
     last = raw.groupBy("unit").agg(F.max("cycle").alias("_c"))
     return last.select(
         hours_after(CMAPSS_BASE, F.col("_c")).alias("timestamp"),
-        F.format_string("Engine_%03d", F.col("unit").cast("int")).alias("equipment_id"),
+        engine_id(F.col("unit")).alias("equipment_id"),
         *[F.lit(v).alias(k) for k, v in CMAPSS_MAINTENANCE.items()])
 
 
