@@ -75,3 +75,16 @@ def test_concat_frames(spark):
     b = spark.createDataFrame([(2, "q")], "id long, y string")
     got = files.concat_frames([a, b]).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, 2.0, None), (2, None, "q")]
+
+
+def test_one_pass_reports_equal_separate_aggregates(spark):
+    sc = fleet.score_batch(event_readings(spark, SF_SMALL, with_degradation=False))
+    rep = fleet.reports_from_aggregates(fleet.fleet_aggregates(sc))
+
+    def rows(df):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    assert rows(rep["tiers"]) == rows(fleet.health_tiers(sc))
+    assert rows(rep["risk_matrix"]) == rows(fleet.risk_matrix(sc).select("risk_level", "impact_level", "n"))
+    assert rows(rep["histogram"]) == rows(fleet.prob_histogram(sc).select("bucket", "n", "lower_edge", "upper_edge"))
+    assert rows(rep["summary"]) == rows(fleet.fleet_summary(sc))

@@ -169,20 +169,34 @@ def remove_outliers(df: DataFrame, columns: Sequence[str] | None = None,
     are dropped, as in the reference code.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    cur = base
-    for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        st = cur.agg(F.count(x).alias("n"), F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"),
-                     F.min(x).alias("mn"), F.max(x).alias("mx")).first()
-        if st["n"] <= min_count:
-            continue
-        if st["mn"] == st["mx"]:
-            keep = x.isNotNull()
-        else:
-            keep = x.isNotNull() & (F.abs((x - F.lit(st["mu"])) / F.lit(st["sd"])) < threshold)
-        cur = cur.filter(keep)
-    return cur
+    # the statistics passes only need the filtered columns: a narrow projection is
+    # cached for them and released afterwards; the result is a plain filter of ``df``
+    narrow = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_z{i}") for i, c in enumerate(cols)])
+    if persist:
+        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    keep_all = F.lit(True)
+    keep_narrow = F.lit(True)
+    try:
+        for i, c in enumerate(cols):
+            z = F.col(f"_z{i}")
+            st = narrow.filter(keep_narrow).agg(
+                F.count(z).alias("n"), F.avg(z).alias("mu"), F.stddev_pop(z).alias("sd"),
+                F.min(z).alias("mn"), F.max(z).alias("mx")).first()
+            if st["n"] <= min_count:
+                continue
+            x = F.col(f"`{c}`").cast("double")
+
+            def keep(v):
+                if st["mn"] == st["mx"]:
+                    return v.isNotNull()
+                return v.isNotNull() & (F.abs((v - F.lit(st["mu"])) / F.lit(st["sd"])) < threshold)
+
+            keep_all = keep_all & keep(x)
+            keep_narrow = keep_narrow & keep(z)
+    finally:
+        if persist:
+            narrow.unpersist()
+    return df.filter(keep_all)
 
 
 def outlier_report(before: DataFrame, after: DataFrame) -> OutlierReport:

@@ -94,3 +94,53 @@ def fleet_status_shares(scored: DataFrame) -> DataFrame:
         (F.count_if(tier == "Poor") * 100.0 / n).alias("critical_pct"),
         F.count_if(F.col("maintenance_priority") == "high").alias("alerts"),
     )
+
+
+def fleet_aggregates(scored: DataFrame, bins: int = HIST_BINS, top: float = HIST_MAX) -> DataFrame:
+    """E08 in one pass: tiers, risk matrix, histogram and summary as grouping sets.
+
+    One scan and one (partial-aggregated) shuffle for all four reports; the
+    result has a few dozen rows and a ``report`` column naming the grouping.
+    """
+    t = scored.select(
+        R.health_tier("health_score", True).alias("tier"),
+        R.risk_level("failure_probability").alias("risk_level"),
+        R.impact_level("health_score").alias("impact_level"),
+        prob_bucket("failure_probability", bins, top).alias("bucket"),
+        "health_score", "failure_probability", "predicted_rul_hours", "maintenance_priority")
+    high = F.count_if(F.col("failure_probability") > R.HIGH_RISK_PROB)
+    medium = F.count_if(F.col("maintenance_priority") == "medium")
+    g = t.groupingSets([["tier"], ["risk_level", "impact_level"], ["bucket"], []],
+                       "tier", "risk_level", "impact_level", "bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("health_score").alias("avg_health_score"),
+        high.alias("high_risk_count"),
+        F.avg("predicted_rul_hours").alias("avg_rul_hours"),
+        (high * R.COST_HIGH_RISK + medium * R.COST_MEDIUM_PRIORITY).cast("long").alias("maintenance_cost"),
+        F.grouping_id().alias("_gid"))
+    # grouping_id bits follow the grouping columns (tier, risk, impact, bucket)
+    report = (F.when(F.col("_gid") == 0b0111, F.lit("tiers"))
+              .when(F.col("_gid") == 0b1001, F.lit("risk_matrix"))
+              .when(F.col("_gid") == 0b1110, F.lit("histogram"))
+              .otherwise(F.lit("summary")))
+    return g.withColumn("report", report).drop("_gid")
+
+
+def reports_from_aggregates(agg: DataFrame, bins: int = HIST_BINS, top: float = HIST_MAX) -> dict[str, DataFrame]:
+    """Split ``fleet_aggregates`` into the report tables of A15, R12/R13, A16 and A18."""
+    spark = agg.sparkSession
+    names = [R.HEALTH_TIER_LABELS[t] for t in R.HEALTH_TIER_ORDER]
+    dim = _dimension(spark, "tier", names)
+    tiers = dim.join(agg.filter(F.col("report") == "tiers").select("tier", "n"), "tier", "left").select(
+        "tier", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+    width = top / bins
+    hist = agg.filter(F.col("report") == "histogram").select("bucket", "n").withColumns({
+        "lower_edge": (F.col("bucket") - 1) * width, "upper_edge": F.col("bucket") * width})
+    return {
+        "tiers": tiers,
+        "risk_matrix": agg.filter(F.col("report") == "risk_matrix").select("risk_level", "impact_level", "n"),
+        "histogram": hist,
+        "summary": agg.filter(F.col("report") == "summary").select(
+            F.col("n").alias("equipment"), "avg_health_score", "high_risk_count", "avg_rul_hours",
+            "maintenance_cost"),
+    }

@@ -19,6 +19,7 @@ from vigil.operators.asof import asof_join
 from vigil.plans.readings import (EVENT_SENSORS, LINEITEM_SENSORS, event_readings, events_base,
                                   lineitem_readings)
 from vigil.plans.util import finish
+from vigil.session import cut_lineage
 from vigil.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +195,14 @@ def q_fleet_summary(spark, sf_dir):
     return finish(fleet.fleet_summary(_scored(spark, sf_dir)))
 
 
+def q_fleet_aggregates(spark, sf_dir):
+    """E08 one-pass: tiers, risk matrix, histogram and summary as one grouping-sets aggregate."""
+    agg = fleet.fleet_aggregates(_scored(spark, sf_dir))
+    # the bucket is NULL outside the histogram grouping: returned as DOUBLE so that no
+    # engine's nullable-integer conversion changes it
+    return finish(agg.withColumn("bucket", F.col("bucket").cast("double")))
+
+
 def q_fleet_status(spark, sf_dir):
     """Tier shares and alert count."""
     return finish(fleet.fleet_status_shares(_scored(spark, sf_dir)))
@@ -385,7 +394,8 @@ def q_rf_train_score(spark, sf_dir):
     rd = event_readings(spark, sf_dir, with_degradation=False)
     sf = features.simple_features(rd, "equipment_id", "timestamp", ["event_id"])
     data, xcols = ml.prepare_xy(sf, None, "equipment_id", "rul")
-    data = split.split(data, "equipment_id").cache()
+    # several passes (scaler, tree levels, scoring) read it: cut once in the checkpoint folder
+    data = cut_lineage(split.split(data, "equipment_id"))
     tm = ml.train(data.filter(F.col("split") == "train"), xcols, "rul",
                   ml.forest(n_trees=ml.SIMPLE_FOREST_TREES, depth=ml.FOREST_DEPTH))
     pred = ml.predict(tm, data)
@@ -419,6 +429,7 @@ def queries() -> dict[str, Query]:
         "prob_histogram": q_prob_histogram,
         "fleet_summary": q_fleet_summary,
         "fleet_status": q_fleet_status,
+        "fleet_aggregates": q_fleet_aggregates,
         "rule_labels": q_rule_labels,
         "prediction_rules": q_prediction_rules,
         "sensor_corr": q_sensor_corr,

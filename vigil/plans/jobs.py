@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import clean, features, fleet, ml, profile, quality, series, split
+from vigil.session import cut_lineage
 from vigil.sources import files
 
 
@@ -124,19 +125,20 @@ def retrain_job(spark: SparkSession, features_path: str, labels_path: str, out:
 
 
 def fleet_report(scored: DataFrame, out: str | None = None) -> dict[str, DataFrame]:
-    """Every report of the batch page from one scored (cached) table."""
-    sc = scored.persist()
-    rep = {
-        "tiers": fleet.health_tiers(sc),
-        "histogram": fleet.prob_histogram(sc),
-        "risk_matrix": fleet.risk_matrix(sc),
-        "correlations": series.corr_matrix(sc, [c for c in ("vibration", "temperature", "pressure",
-                                                              "current", "rpm", "tool_wear",
-                                                              "failure_probability") if c in sc.columns]),
-        "summary": fleet.fleet_summary(sc),
-    }
+    """Every report of the batch page.
+
+    Tiers, risk matrix, histogram and summary come from one grouping-sets
+    aggregate (one scan); its few dozen result rows are cut from the lineage so
+    the four reports do not recompute it.  The correlation matrix is a second
+    pass.  The scored table itself is never cached.
+    """
+    agg = cut_lineage(fleet.fleet_aggregates(scored))
+    rep = fleet.reports_from_aggregates(agg)
+    rep["correlations"] = series.corr_matrix(scored, [c for c in (
+        "vibration", "temperature", "pressure", "current", "rpm", "tool_wear", "failure_probability")
+        if c in scored.columns])
     if out:
-        files.write_table(sc, f"{out}/batch_analysis_results", fmt="csv")
+        files.write_table(scored, f"{out}/batch_analysis_results", fmt="csv")
         for k, v in rep.items():
             files.write_table(v, f"{out}/{k}")
     return rep

@@ -293,6 +293,32 @@ SELECT round(CAST(count(*) FILTER (WHERE tier IN ('Excellent', 'Good')) AS DOUBL
 FROM t"""
 
 
+def fleet_aggregates() -> str:
+    return "WITH " + _scored() + f""",
+t AS (SELECT {_tier('health_score', True)} AS tier,
+             CASE WHEN failure_probability > 0.7 THEN 'High' WHEN failure_probability > 0.3 THEN 'Medium'
+                  ELSE 'Low' END AS risk_level,
+             CASE WHEN health_score < 40 THEN 'High' WHEN health_score < 60 THEN 'Medium' ELSE 'Low' END
+                  AS impact_level,
+             least(CAST(floor(failure_probability / CAST(0.95 AS DOUBLE) * 20) AS INTEGER) + 1, 20) AS bucket,
+             health_score, failure_probability, predicted_rul_hours, maintenance_priority FROM sc),
+g AS (SELECT tier, risk_level, impact_level, bucket,
+             CAST(count(*) AS BIGINT) AS n,
+             avg(health_score) AS avg_health_score,
+             CAST(count(*) FILTER (WHERE failure_probability > 0.7) AS BIGINT) AS high_risk_count,
+             avg(predicted_rul_hours) AS avg_rul_hours,
+             CAST(count(*) FILTER (WHERE failure_probability > 0.7) * 2500
+                  + count(*) FILTER (WHERE maintenance_priority = 'medium') * 1000 AS BIGINT) AS maintenance_cost,
+             grouping(tier, risk_level, impact_level, bucket) AS gid
+      FROM t GROUP BY GROUPING SETS ((tier), (risk_level, impact_level), (bucket), ()))
+SELECT tier, risk_level, impact_level, CAST(bucket AS DOUBLE) AS bucket, n,
+       round(avg_health_score, 6) AS avg_health_score,
+       high_risk_count, round(avg_rul_hours, 6) AS avg_rul_hours, maintenance_cost,
+       CASE gid WHEN 7 THEN 'tiers' WHEN 9 THEN 'risk_matrix' WHEN 14 THEN 'histogram' ELSE 'summary' END
+         AS report
+FROM g"""
+
+
 def _zone(col: str, lo: float, hi: float) -> str:
     frac = f"(({col} - {lo}) / ({hi} - {lo}))"
     return (f"CASE WHEN {frac} < 0.6 THEN 'normal' WHEN {frac} < 0.8 THEN 'warning' "
@@ -607,6 +633,7 @@ def oracle_sql() -> dict[str, str]:
         "prob_histogram": prob_histogram(),
         "fleet_summary": fleet_summary(),
         "fleet_status": fleet_status(),
+        "fleet_aggregates": fleet_aggregates(),
         "rule_labels": rule_labels(),
         "prediction_rules": prediction_rules(),
         "sensor_corr": sensor_corr(),
