@@ -97,3 +97,19 @@ def test_rolling_stream(spark, tmp_dir):
     stream = spark.readStream.schema(SCHEMA).parquet(src)
     _run(jobs.rolling_stream(stream, ["temperature"], "8 hours", "4 hours", "1 hour"), "roll")
     assert spark.sql("select * from roll").count() > 0
+
+
+def test_scoring_stream_with_model(spark, tmp_dir):
+    from vigil.operators import ml
+    src = os.path.join(tmp_dir, "model_in")
+    batch = _readings(spark, src)
+    feats = ["vibration", "temperature", "tool_wear"]
+    train = batch.withColumn("rul", 500.0 - F.col("tool_wear"))
+    tm = ml.train(train, feats, "rul", ml.forest(n_trees=5, depth=3))
+    stream = spark.readStream.schema(SCHEMA).parquet(src)
+    _run(jobs.scoring_stream(stream, {"temperature": (306.0, 314.0)}, model=tm), "model_scored")
+    got = {r["event_id"]: (r["model_rul_hours"], r["maintenance_recommendation"])
+           for r in spark.sql("select * from model_scored").collect()}
+    exp = {r["event_id"]: (r["model_rul_hours"], r["maintenance_recommendation"])
+           for r in jobs.scoring_stream(batch, {"temperature": (306.0, 314.0)}, model=tm).collect()}
+    assert got == exp and len(got) == 120
