@@ -246,3 +246,9 @@ def test_zero_pad_matches_python_format(spark):
     df = spark.createDataFrame([(v,) for v in vals], "n long")
     got = [r[0] for r in df.select(normalize.zero_pad(F.col("n"), 3)).collect()]
     assert got == ["%03d" % v for v in vals]
+
+
+def test_warning_text_uses_python_float_layout(spark):
+    df = spark.createDataFrame([("e", 2.5e7)], "equipment_id string, rpm double")
+    w = quality.validate_ranges(df, {"rpm": (1000.0, 2076.6)}).first()["data_quality_warnings"]
+    assert w == ["rpm=25000000.0 outside expected range [1000.00, 2076.60]"]

@@ -112,3 +112,11 @@ def test_sensor_bands_and_response_targets(spark):
     sev = spark.createDataFrame([("critical",), ("High",), ("medium",), ("low",), ("x",)], "s string")
     got = [r[0] for r in sev.select(R.response_target("s")).collect()]
     assert got == ["24 hours", "1 week", "2-4 weeks", "Next scheduled maintenance", None]
+
+
+def test_py_float_text_matches_python(spark):
+    vals = [0.5, 3.0, 3.06, 310.0, 1e7, 2.5e7, 12345678.9, 1e15, 9.99e15, 1e16, 1.5e17, 1e22,
+            0.001, 0.0005, 0.0001, 0.00012, 1e-05, 1.5e-05, -2.5e7, -0.0005, -3.25, 0.0, 123456.789]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(R.py_float_text("v")).collect()]
+    assert got == [str(v) for v in vals]

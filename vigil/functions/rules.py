@@ -293,6 +293,36 @@ def response_target(severity) -> Column:
     return F.element_at(m, F.lower(_c(severity)))
 
 
+def py_float_text(value) -> Column:
+    """Text of a double as Python prints it (``str(float)``), from Spark's own text.
+
+    Both print the shortest round-trip digits; they differ in when they switch to
+    exponent form: Spark below 1e-3 and from 1e7 (``1.0E7``), Python below 1e-4 and
+    from 1e16 (``1e+16``).  Only the layout is rewritten, with string functions.
+    """
+    t = _c(value).cast("double").cast("string")
+    pat = r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$"
+    sign = F.regexp_extract(t, pat, 1)
+    frac = F.regexp_extract(t, pat, 3)
+    exp = F.regexp_extract(t, pat, 4).cast("int")
+    frac = F.when(frac == "0", F.lit("")).otherwise(frac)
+    digits = F.concat(F.regexp_extract(t, pat, 2), frac)
+    nd = F.length(digits)
+    # fixed notation for 1e-4 <= |x| < 1e16
+    int_part = F.rpad(F.substring(digits, 1, exp + 1), exp + 1, "0")
+    rest = F.when(nd > exp + 1, F.substring(digits, exp + 2, 400)).otherwise(F.lit("0"))
+    big = F.concat(sign, int_part, F.lit("."), rest)
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    mant = F.concat(F.regexp_extract(t, pat, 2), F.when(frac == "", F.lit("")).otherwise(
+        F.concat(F.lit("."), frac)))
+    sci = F.concat(sign, mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
+                   F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    return (F.when(~t.contains("E"), t)
+            .when((exp >= 0) & (exp < 16), big)
+            .when((exp < 0) & (exp >= -4), small)
+            .otherwise(sci))
+
+
 def relu(pred) -> Column:
     """Non-negative output."""
     return F.greatest(_c(pred), F.lit(0.0))

@@ -71,8 +71,10 @@ def unpivot_sensors(df: DataFrame, ids: Sequence[str], sensors: Sequence[str]) -
 
 
 def warning_text(sensor: Column, value: Column, lo: Column, hi: Column) -> Column:
-    """F03 text: ``{sensor}={value} outside expected range [{min:.2f}, {max:.2f}]``."""
-    return F.format_string(WARNING_FORMAT, sensor, value.cast("string"), lo, hi)
+    """F03 text: ``{sensor}={value} outside expected range [{min:.2f}, {max:.2f}]``
+    (the value printed as Python prints a float)."""
+    from vigil.functions.rules import py_float_text
+    return F.format_string(WARNING_FORMAT, sensor, py_float_text(value), lo, hi)
 
 
 def range_violations(df: DataFrame, ranges: DataFrame, ids: Sequence[str],
@@ -97,6 +99,7 @@ def validate_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | D
 
     Works on streams too: the ranges become literals (bounded: one per sensor).
     """
+    from vigil.functions.rules import py_float_text
     if isinstance(ranges, DataFrame):
         ranges = {r["sensor"]: (r["min"], r["max"]) for r in ranges.collect()}
     items = []
@@ -105,7 +108,7 @@ def validate_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | D
             continue
         v = F.col(sensor).cast("double")
         items.append(F.when((v < lo) | (v > hi),
-                            F.concat(F.lit(f"{sensor}="), v.cast("string"),
+                            F.concat(F.lit(f"{sensor}="), py_float_text(v),
                                      F.lit(f" outside expected range [{lo:.2f}, {hi:.2f}]"))))
     if not items:
         return df.withColumn(out, F.lit(None).cast("array<string>"))
