@@ -120,3 +120,11 @@ def test_py_float_text_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(R.py_float_text("v")).collect()]
     assert got == [str(v) for v in vals]
+
+
+def test_inverse_risk_option(spark):
+    df = spark.createDataFrame([(0.0,), (100.0,), (990.0,), (2000.0,)], "r double")
+    ref = [x[0] for x in df.select(R.probability_from_rul("r")).collect()]
+    inv = [x[0] for x in df.select(R.probability_from_rul("r", "inverse")).collect()]
+    assert ref == [0.95, 0.1, 0.95, 0.95]
+    assert inv == pytest.approx([0.95, 0.9, 0.01, 0.0])

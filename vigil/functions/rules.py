@@ -108,9 +108,12 @@ def clamp_rul(rul, clamp: bool = True) -> Column:
         F.least(F.greatest(r.cast("double"), F.lit(0.0)), F.lit(RUL_CAP_HOURS)))
 
 
-def probability_from_rul(rul) -> Column:
-    """min(rul/1000, .95) when rul > 0, else .95 (inverted, as in the reference)."""
+def probability_from_rul(rul, risk: str = "reference") -> Column:
+    """min(rul/1000, .95) when rul > 0, else .95 — longer life gives *higher*
+    probability, as in the reference.  ``risk='inverse'``: min(max(1 - rul/1000, 0), .95)."""
     r = _c(rul)
+    if risk == "inverse":
+        return F.least(F.greatest(1.0 - r / 1000.0, F.lit(0.0)), F.lit(PROB_CAP))
     return F.when(r > 0, F.least(r / 1000.0, F.lit(PROB_CAP))).otherwise(F.lit(PROB_CAP))
 
 

@@ -177,10 +177,10 @@ def regression_metrics(df: DataFrame, label: str = "rul", pred: str = "predictio
 
 
 def prediction_result(df: DataFrame, rul: str = "prediction", as_of: str | Column = "2024-01-01 00:00:00",
-                      id_col: str = "equipment_id", clamp: bool = True) -> DataFrame:
+                      id_col: str = "equipment_id", clamp: bool = True, risk: str = "reference") -> DataFrame:
     """M06 + R01–R06 + P14: the scored result row (keeps every input column, P15)."""
     r = R.clamp_rul(rul, clamp)
-    p = R.probability_from_rul(r)
+    p = R.probability_from_rul(r, risk)
     ts = F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of
     return df.withColumns({
         "equipment_id" if id_col == "equipment_id" else id_col:
