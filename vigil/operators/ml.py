@@ -182,9 +182,9 @@ def prediction_result(df: DataFrame, rul: str = "prediction", as_of: str | Colum
     r = R.clamp_rul(rul, clamp)
     p = R.probability_from_rul(r, risk)
     ts = F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of
+    eid = R.default_equipment_id(id_col) if id_col in df.columns else F.lit("unknown")
     return df.withColumns({
-        "equipment_id" if id_col == "equipment_id" else id_col:
-            R.default_equipment_id(id_col) if id_col in df.columns else F.lit("unknown"),
+        id_col: eid,
         "predicted_rul_hours": F.round(r, ROUND_RUL),
         "failure_probability": F.round(p, ROUND_PROB),
         "confidence": F.round(R.confidence(r), ROUND_CONF),

@@ -167,3 +167,17 @@ def critical_readings(df: DataFrame, ids: Sequence[str], thresholds: Mapping[str
     sensors = [s for s in t if s in df.columns]
     long = unpivot_sensors(df, ids, sensors)
     return long.join(F.broadcast(dim), "sensor").filter(F.col("value") > F.col("threshold"))
+
+
+def threshold_exceedances(df: DataFrame, thresholds: Mapping[str, float], window: str = "1 hour",
+                          ts: str = "timestamp", by: str = "equipment_id") -> DataFrame:
+    """Readings above per-sensor alert thresholds counted per (time window, equipment, sensor).
+
+    Works on batch and streaming frames (a stream adds its watermark before calling).
+    """
+    sensors = [s for s in thresholds if s in df.columns]
+    long = unpivot_sensors(df, [by, ts], sensors)
+    thr = F.create_map(*[x for s in sensors for x in (F.lit(s), F.lit(float(thresholds[s])))])
+    hot = long.filter(F.col("value") > F.element_at(thr, F.col("sensor")))
+    return hot.groupBy(F.window(ts, window).alias("window"), by, "sensor").agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"))

@@ -270,12 +270,9 @@ def q_health_trend_daily(spark, sf_dir):
 def q_alert_digest(spark, sf_dir):
     """T02 (batch twin): hourly counts of readings above the alert thresholds."""
     rd = event_readings(spark, sf_dir, with_degradation=False)
-    long = quality.unpivot_sensors(rd, ["equipment_id", "timestamp"], ALERT_SENSORS)
-    thr = F.create_map(*[x for s in ALERT_SENSORS for x in (F.lit(s), F.lit(R.ALERT_THRESHOLDS[s]))])
-    hot = long.filter(F.col("value") > F.element_at(thr, F.col("sensor")))
-    g = hot.groupBy(F.window("timestamp", "1 hour").alias("w"), "equipment_id", "sensor") \
-        .agg(F.count(F.lit(1)).alias("n"))
-    return finish(g.select(F.col("w.start").alias("window_start"), "equipment_id", "sensor", "n"))
+    thresholds = {s: R.ALERT_THRESHOLDS[s] for s in ALERT_SENSORS}
+    g = quality.threshold_exceedances(rd, thresholds, "1 hour")
+    return finish(g.select(F.col("window.start").alias("window_start"), "equipment_id", "sensor", "n"))
 
 
 # --- profile A08–A11 ----------------------------------------------------------

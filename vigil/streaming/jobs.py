@@ -57,14 +57,8 @@ def alert_digest_stream(readings: DataFrame, thresholds: Mapping[str, float] = R
                         window: str = "1 hour", watermark: str = "1 hour",
                         ts: str = "timestamp", by: str = "equipment_id") -> DataFrame:
     """Counts of readings above thresholds per (window, equipment, sensor)."""
-    sensors = [s for s in thresholds if s in readings.columns]
-    long = readings.select(ts, by, *[F.col(s).cast("double").alias(s) for s in sensors]) \
-        .unpivot([ts, by], sensors, "sensor", "value")
-    thr = F.create_map(*[x for s in sensors for x in (F.lit(s), F.lit(float(thresholds[s])))])
-    hot = long.filter(F.col("value") > F.element_at(thr, F.col("sensor")))
-    return (hot.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, window).alias("window"), by, "sensor")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value")))
+    from vigil.operators.quality import threshold_exceedances
+    return threshold_exceedances(readings.withWatermark(ts, watermark), thresholds, window, ts, by)
 
 
 def rolling_stream(readings: DataFrame, columns: Sequence[str], length: str = "8 hours",
