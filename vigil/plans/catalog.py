@@ -136,6 +136,25 @@ def q_asof_enrich(spark, sf_dir):
     return finish(out.withColumn("view_event_id", F.col("view_event_id").cast("string")))
 
 
+def q_clean_enrich(spark, sf_dir):
+    """Interpolate gaps → sequential z-score filter → as-of enrich with operational context.
+
+    Sensor side: every non-view event (value NULL on errors); operational side:
+    view events (production rate = value).
+    """
+    ev = events_base(spark, sf_dir)
+    sensor = ev.filter(F.col("event_type") != "view").select(
+        "event_id", F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("equipment_id"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("value"), "k")
+    oper = ev.filter(F.col("event_type") == "view").select(
+        F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("equipment_id"),
+        F.col("event_id").alias("view_event_id"), F.col("value").alias("production_rate"))
+    out = clean.clean_and_preprocess(sensor, oper, "interpolate", tiebreak=["event_id"],
+                                     operational_tiebreak=["view_event_id"],
+                                     outlier_columns=["value", "k"])
+    return finish(out.withColumn("view_event_id", F.col("view_event_id").cast("string")))
+
+
 def q_interpolate_gaps(spark, sf_dir):
     """W01 + W02: value NULL on error events, filled linearly per user, then back-filled."""
     rd = event_readings(spark, sf_dir, with_degradation=False, gaps=True).select(
@@ -417,6 +436,7 @@ def queries() -> dict[str, Query]:
         "failure_maintenance": q_failure_maintenance,
         "asof_enrich": q_asof_enrich,
         "interpolate_gaps": q_interpolate_gaps,
+        "clean_enrich": q_clean_enrich,
         "zscore_filter": q_zscore_filter,
         "median_impute": q_median_impute,
         "null_report": q_null_report,

@@ -201,6 +201,45 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS equipment_id,
 FROM s"""
 
 
+def clean_enrich() -> str:
+    win = 'PARTITION BY user_id ORDER BY ts, event_id'
+    return f"""
+WITH s0 AS (
+  SELECT event_id, ts, user_id, CASE WHEN event_type <> 'error' THEN value END AS v,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events WHERE event_type <> 'view'),
+r AS (SELECT *, row_number() OVER ({win}) - 1 AS pos FROM s0),
+s AS (
+  SELECT *,
+    last_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER
+      ({win} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p0,
+    last_value(v IGNORE NULLS) OVER ({win} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v0,
+    first_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER
+      ({win} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p1,
+    first_value(v IGNORE NULLS) OVER ({win} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1
+  FROM r),
+f AS (
+  SELECT event_id, ts, user_id,
+    coalesce(v, CASE WHEN p0 IS NOT NULL AND p1 IS NOT NULL AND p1 <> p0
+                     THEN v0 + (v1 - v0) * CAST(pos - p0 AS DOUBLE) / CAST(p1 - p0 AS DOUBLE) END,
+             v0, v1) AS value,
+    CAST(k AS DOUBLE) AS k
+  FROM s),
+z1 AS (SELECT count(value) AS n, avg(value) AS mu, stddev_pop(value) AS sd, min(value) AS mn,
+              max(value) AS mx FROM f),
+f1 AS (SELECT f.* FROM f, z1 WHERE z1.n <= 10 OR (f.value IS NOT NULL AND
+        (z1.mn = z1.mx OR abs((f.value - z1.mu) / z1.sd) < 3.0))),
+z2 AS (SELECT count(k) AS n, avg(k) AS mu, stddev_pop(k) AS sd, min(k) AS mn, max(k) AS mx FROM f1),
+f2 AS (SELECT f1.* FROM f1, z2 WHERE z2.n <= 10 OR (f1.k IS NOT NULL AND
+        (z2.mn = z2.mx OR abs((f1.k - z2.mu) / z2.sd) < 3.0))),
+op AS (SELECT event_id AS view_event_id, ts AS view_ts, user_id, value AS production_rate
+       FROM events WHERE event_type = 'view')
+SELECT f2.event_id, f2.ts AS "timestamp", CAST(f2.user_id AS VARCHAR) AS equipment_id,
+       round(f2.value, 6) AS value, round(f2.k, 6) AS k,
+       CAST(op.view_event_id AS VARCHAR) AS view_event_id, round(op.production_rate, 6) AS production_rate
+FROM f2 ASOF LEFT JOIN op ON f2.user_id = op.user_id AND f2.ts >= op.view_ts"""
+
+
 def zscore_filter() -> str:
     return """
 WITH r0 AS (SELECT event_id, user_id, value,
@@ -624,6 +663,7 @@ def oracle_sql() -> dict[str, str]:
         "failure_maintenance": failure_maintenance(),
         "asof_enrich": asof_enrich(),
         "interpolate_gaps": interpolate_gaps(),
+        "clean_enrich": clean_enrich(),
         "zscore_filter": zscore_filter(),
         "median_impute": median_impute(),
         "null_report": null_report(),
