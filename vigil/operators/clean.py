@@ -210,11 +210,17 @@ def clean_and_preprocess(sensor: DataFrame, operational: DataFrame | None = None
                          operational_tiebreak: Sequence[str] = (),
                          interpolate_by: str | None = "equipment_id",
                          outlier_columns: Sequence[str] | None = None) -> DataFrame:
-    """Handle missing → remove outliers → as-of enrich with operational context."""
+    """Handle missing → remove outliers → as-of enrich with operational context.
+
+    The filled table is read by every z-score pass and by the output, so it is
+    written once to the shared checkpoint folder (the reference writes its
+    cleaned table too) instead of being recomputed per pass.
+    """
     from vigil.operators.asof import asof_join
-    filled = handle_missing(sensor, method, by=interpolate_by, ts=ts, tiebreak=tiebreak)
+    from vigil.session import cut_lineage
+    filled = cut_lineage(handle_missing(sensor, method, by=interpolate_by, ts=ts, tiebreak=tiebreak))
     cols = outlier_columns if outlier_columns is not None else numeric_columns(filled)
-    cleaned = remove_outliers(filled, cols)
+    cleaned = remove_outliers(filled, cols, persist=False)
     if operational is None:
         return cleaned
     return asof_join(cleaned, operational, on=ts, by=[by], left_tiebreak=tiebreak,
