@@ -164,3 +164,12 @@ def test_fill_scan_matches_brute_force(spark):
             prev = [x[3] for x in sub[:p + 1] if x[3] is not None]
             nxt = [x[3] for x in sub[p:] if x[3] is not None]
             assert got[r[2]] == (prev[-1] if prev else None, nxt[0] if nxt else None, p, len(sub))
+
+
+def test_exact_median_with_infinities(spark, monkeypatch):
+    monkeypatch.setattr(clean, "MEDIAN_MAX_CANDIDATES", 4)
+    for vals in ([float("-inf"), 1.0, 2.0, 3.0, float("inf"), 5.0, 6.0],
+                 [float("inf")] * 5 + [1.0, 2.0],
+                 [float("-inf")] * 4 + [1.0]):
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        assert clean.exact_median(df, "x") == float(np.median(vals))

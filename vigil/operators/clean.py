@@ -83,9 +83,22 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def _kth_value(values: DataFrame, k: int, n: int, mn: float, mx: float) -> float:
     """k-th (0-based) smallest of column ``_v`` of ``values`` (n non-NULL rows)."""
     lo, hi, below, cnt = mn, mx, 0, n
+    # infinities can only sit at the ends: step past them so the histogram range stays finite
     while True:
         if lo == hi:
             return lo
+        if lo == float("-inf") or hi == float("inf"):
+            c_lo = values.filter(F.col("_v") == float("-inf")).count() if lo == float("-inf") else 0
+            c_hi = values.filter(F.col("_v") == float("inf")).count() if hi == float("inf") else 0
+            if k < below + c_lo:
+                return float("-inf")
+            if k >= below + cnt - c_hi:
+                return float("inf")
+            finite = values.filter((F.col("_v") > float("-inf")) & (F.col("_v") < float("inf"))
+                                   & (F.col("_v") >= lo) & (F.col("_v") <= hi))
+            st = finite.agg(F.min("_v").alias("a"), F.max("_v").alias("b")).first()
+            lo, hi, below, cnt = st["a"], st["b"], below + c_lo, cnt - c_lo - c_hi
+            continue
         cand = values.filter((F.col("_v") >= lo) & (F.col("_v") <= hi))
         if cnt <= MEDIAN_MAX_CANDIDATES:
             vals = sorted(r[0] for r in cand.collect())
