@@ -1,7 +1,10 @@
 """Whole jobs (E01–E09) as composed DataFrame transforms, plus a spark-submit entry.
 
-    spark-submit -m vigil.plans.jobs train --sensor s.csv --maintenance m.csv \
-        --operational o.csv --out /shared/models/run1
+    zip -r vigil.zip vigil
+    spark-submit --py-files vigil.zip vigil/plans/jobs.py train \
+        --sensor s.csv --maintenance m.csv --operational o.csv --out /shared/models/run1
+    spark-submit --py-files vigil.zip vigil/plans/jobs.py dataset --name ai4i2020 \
+        --path path=/shared/raw/ai4i2020.csv --out /shared/runs/ai4i
 """
 
 from __future__ import annotations
