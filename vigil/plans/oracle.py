@@ -92,8 +92,6 @@ FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.view_ts"""
 
 
 
-D = "AS DOUBLE)"
-
 
 def fleet_features() -> str:
     stats = ",\n  ".join(_stat4(c) for c in LINEITEM_SENSORS)
