@@ -260,15 +260,17 @@ def urgent_top(scored: DataFrame, n: int = 20, id_col: str = "equipment_id",
 
 
 def health_trend_daily(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Daily average health with the day-over-day change.
+    """Daily average health with the day-over-day change and its tier (the 80/60/40 lines).
 
     The daily table has one row per day (bounded by the time span, not by the
     data volume), so the ``lag`` runs on a small input.
     """
     daily = scored.groupBy(F.to_date(ts).alias("day")).agg(F.avg("health_score").alias("avg_health"),
                                                            F.count(F.lit(1)).alias("n"))
+    from vigil.functions.rules import health_tier
     w = Window.orderBy("day")
-    return daily.withColumn("delta", F.col("avg_health") - F.lag("avg_health").over(w))
+    return daily.withColumns({"delta": F.col("avg_health") - F.lag("avg_health").over(w),
+                              "tier": health_tier(F.col("avg_health"))})
 
 
 def spine_asof(spine: DataFrame, readings: DataFrame, columns: Sequence[str],

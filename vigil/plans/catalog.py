@@ -283,7 +283,7 @@ def q_health_trend_daily(spark, sf_dir):
     """Daily average health with day-over-day change."""
     sc = _scored(spark, sf_dir)
     tr = series.health_trend_daily(sc, "timestamp")
-    return finish(tr.select(F.col("day").cast("timestamp").alias("day"), "avg_health", "n", "delta"))
+    return finish(tr.select(F.col("day").cast("timestamp").alias("day"), "avg_health", "n", "delta", "tier"))
 
 
 def q_alert_digest(spark, sf_dir):

@@ -454,7 +454,8 @@ def health_trend_daily() -> str:
 d AS (SELECT CAST(CAST("timestamp" AS DATE) AS TIMESTAMP) AS day, avg(health_score) AS avg_health,
              CAST(count(*) AS BIGINT) AS n FROM sc GROUP BY 1)
 SELECT day, round(avg_health, 6) AS avg_health, n,
-       round(avg_health - lag(avg_health) OVER (ORDER BY day), 6) AS delta
+       round(avg_health - lag(avg_health) OVER (ORDER BY day), 6) AS delta,
+       """ + _tier("avg_health", False) + """ AS tier
 FROM d"""
 
 
