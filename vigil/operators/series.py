@@ -184,15 +184,12 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
     if btab is not None:
         out = join_on_keys(out, btab, [by, "_sb"], "left")
 
-    def part(col: str):
-        return F.col(col)
-
     res = {}
     for i, c in enumerate(cols):
-        parts_n = [part(f"_an{i}"), F.col(f"_c.n{i}")] + ([part(f"_bn{i}")] if btab is not None else [])
-        parts_s = [part(f"_as{i}"), F.col(f"_c.s{i}")] + ([part(f"_bs{i}")] if btab is not None else [])
-        parts_M = [part(f"_ax{i}"), F.col(f"_c.x{i}")] + ([part(f"_bx{i}")] if btab is not None else [])
-        parts_m = [part(f"_ai{i}"), F.col(f"_c.i{i}")] + ([part(f"_bi{i}")] if btab is not None else [])
+        parts_n = [F.col(f"_an{i}"), F.col(f"_c.n{i}")] + ([F.col(f"_bn{i}")] if btab is not None else [])
+        parts_s = [F.col(f"_as{i}"), F.col(f"_c.s{i}")] + ([F.col(f"_bs{i}")] if btab is not None else [])
+        parts_M = [F.col(f"_ax{i}"), F.col(f"_c.x{i}")] + ([F.col(f"_bx{i}")] if btab is not None else [])
+        parts_m = [F.col(f"_ai{i}"), F.col(f"_c.i{i}")] + ([F.col(f"_bi{i}")] if btab is not None else [])
         n = sum((F.coalesce(p, F.lit(0)) for p in parts_n[1:]), parts_n[0])
         tot_s = sum((F.coalesce(p, F.lit(0.0)) for p in parts_s[1:]), F.coalesce(parts_s[0], F.lit(0.0)))
         if "count" in stats:
