@@ -173,3 +173,14 @@ def test_exact_median_with_infinities(spark, monkeypatch):
                  [float("-inf")] * 4 + [1.0]):
         df = spark.createDataFrame([(v,) for v in vals], "x double")
         assert clean.exact_median(df, "x") == float(np.median(vals))
+
+
+def test_suggest_bucket_seconds(spark):
+    from vigil.operators.ordered import suggest_bucket_seconds
+    # hot key: 600 rows over 600 minutes (1 row / 60 s); cold key: 10 rows over 10 days
+    rows = [("hot", D(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(600)]
+    rows += [("cold", D(2024, 1, 1) + dt.timedelta(days=i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, t timestamp")
+    w = suggest_bucket_seconds(df, "k", "t", target_rows=100)
+    assert 5900 <= w <= 6100          # ~100 rows of the hot key per bucket
+    assert suggest_bucket_seconds(df, "k", "t", target_rows=10 ** 9) == 30 * 86400

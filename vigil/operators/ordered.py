@@ -190,3 +190,24 @@ def packed_order(ts: Column, tiebreak: Column | None = None) -> Column:
         return t
     shifted = tiebreak.cast(_DEC) + F.lit(Decimal(2 ** 63)).cast(_DEC)
     return (t * F.lit(Decimal(2 ** 64)).cast(_DEC) + shifted).cast(_DEC)
+
+
+def suggest_bucket_seconds(df: DataFrame, by, ts: str, target_rows: int = 2_000_000,
+                           min_seconds: int = 1, max_seconds: int = 30 * 86400) -> int:
+    """Order-bucket width that keeps one bucket of the densest key near ``target_rows`` rows.
+
+    One small aggregate (rows and time span per key, then the densest key) —
+    the result is a single number, used for every key: the hottest key's
+    buckets stay at about ``target_rows``, sparser keys get fewer rows per bucket.
+    """
+    keys = _keys(by)
+    per_key = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        (F.max(F.unix_micros(F.col(ts))) - F.min(F.unix_micros(F.col(ts)))).alias("_span"))
+    dens = per_key.select((F.col("_n") / F.greatest(F.col("_span") / 1e6, F.lit(1.0))).alias("_rps"))
+    row = dens.agg(F.max("_rps").alias("m")).first()
+    rows_per_second = row["m"] or 0.0
+    if rows_per_second <= 0:
+        return max_seconds
+    width = int(target_rows / rows_per_second)
+    return max(min_seconds, min(max_seconds, width))
