@@ -222,7 +222,8 @@ def clean_and_preprocess(sensor: DataFrame, operational: DataFrame | None = None
                          ts: str = "timestamp", tiebreak: Sequence[str] = (),
                          operational_tiebreak: Sequence[str] = (),
                          interpolate_by: str | None = "equipment_id",
-                         outlier_columns: Sequence[str] | None = None) -> DataFrame:
+                         outlier_columns: Sequence[str] | None = None,
+                         bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Handle missing → remove outliers → as-of enrich with operational context.
 
     The filled table is read by every z-score pass and by the output, so it is
@@ -231,10 +232,15 @@ def clean_and_preprocess(sensor: DataFrame, operational: DataFrame | None = None
     """
     from vigil.operators.asof import asof_join
     from vigil.session import cut_lineage
-    filled = cut_lineage(handle_missing(sensor, method, by=interpolate_by, ts=ts, tiebreak=tiebreak))
+    if method == "interpolate":
+        filled = interpolate_linear(sensor, None, by=interpolate_by, ts=ts, tiebreak=tiebreak,
+                                    bucket_seconds=bucket_seconds)
+    else:
+        filled = median_impute(sensor)
+    filled = cut_lineage(filled)
     cols = outlier_columns if outlier_columns is not None else numeric_columns(filled)
     cleaned = remove_outliers(filled, cols, persist=False)
     if operational is None:
         return cleaned
     return asof_join(cleaned, operational, on=ts, by=[by], left_tiebreak=tiebreak,
-                     right_tiebreak=operational_tiebreak)
+                     right_tiebreak=operational_tiebreak, bucket_seconds=bucket_seconds)

@@ -34,6 +34,8 @@ class JobConfig:
     range_sigmas: float = quality.RANGE_SIGMAS
     tiebreak: tuple[str, ...] = ()
     operational_tiebreak: tuple[str, ...] = ()
+    bucket_seconds: int | None = None          # None: derived from the densest equipment
+    bucket_target_rows: int = 2_000_000
 
 
 @dataclass
@@ -67,9 +69,13 @@ def train_and_validate(feats: DataFrame, labels: DataFrame, cfg: JobConfig) -> T
 def train_job(spark: SparkSession, ds: files.Dataset, out: str | None, cfg: JobConfig = JobConfig()
               ) -> TrainResult:
     """Load → E02 clean → E03 features/labels → M04 train → M05 validate → S11 save."""
+    from vigil.operators.ordered import suggest_bucket_seconds
+    width = cfg.bucket_seconds or suggest_bucket_seconds(
+        ds.sensor, cfg.interpolate_scope or [], "timestamp", cfg.bucket_target_rows)
     cleaned = clean.clean_and_preprocess(
         ds.sensor, ds.operational, cfg.missing_method, tiebreak=list(cfg.tiebreak),
-        operational_tiebreak=list(cfg.operational_tiebreak), interpolate_by=cfg.interpolate_scope)
+        operational_tiebreak=list(cfg.operational_tiebreak), interpolate_by=cfg.interpolate_scope,
+        bucket_seconds=width)
     order = ["timestamp", *cfg.tiebreak]
     feats, labels = features_and_labels(cleaned, order)
     res = train_and_validate(feats, labels, cfg)
