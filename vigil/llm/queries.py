@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import mixing, sql, urlfilter, warc
+from vigil.llm import mixing, sql, tokens, urlfilter, warc
 from vigil.llm.common import new_dir, table
 
 #: Words that put a page's url on the block list of the query.
@@ -27,6 +27,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, listed)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document into wavelet-matrix shards, read the files back, and describe each document's ids."""
+    import public_tokenizers
+    path = new_dir(spark, "op6-tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokens.read_documents(spark, path)
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, read the files back, and describe the restored records."""
     path = new_dir(spark, "op9-warc")
@@ -37,7 +45,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op9_warc_archive)}
+    return {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op6_token_files, op9_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
