@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import mixing, sql, tokens, urlfilter, warc
+from vigil.llm import decontaminate, mixing, sql, tokens, urlfilter, warc
 from vigil.llm.common import new_dir, table
 
 #: Words that put a page's url on the block list of the query.
@@ -35,6 +35,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, path)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of ten-word benchmark windows in every document."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate.summary(found)
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, read the files back, and describe the restored records."""
     path = new_dir(spark, "op9-warc")
@@ -45,7 +51,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op6_token_files, op9_warc_archive)}
+    return {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op9_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,6 +40,23 @@ SELECT page_id, host, path, rule,
 FROM ruled r LEFT JOIN listed l ON r.url_key = l.url_key
 """
 
+_WORDS = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP7 = f"""
+WITH dw AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+bw AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+grams AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM wins))),
+found AS (SELECT doc_id, i, n, item_id FROM grams JOIN wins USING (n, win)),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP9 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 d AS (SELECT page_id, n, sha256(html) AS digest FROM p),
@@ -52,4 +69,4 @@ FROM d LEFT JOIN f ON d.digest = f.digest AND d.n = f.n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": OP4, "op5_url_filter": OP5, "op9_warc_archive": OP9}
+    return {"op4_mix_sources": OP4, "op5_url_filter": OP5, "op7_decontaminate": OP7, "op9_warc_archive": OP9}
