@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, mixing, sql, tokens, urlfilter, warc
+from vigil.llm import decontaminate, jaccard, mixing, sql, tokens, urlfilter, warc
 from vigil.llm.common import new_dir, table
 
 #: Words that put a page's url on the block list of the query.
@@ -41,6 +41,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(found)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a similarity of 0.9 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, read the files back, and describe the restored records."""
     path = new_dir(spark, "op9-warc")
@@ -51,7 +56,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op9_warc_archive)}
+    return {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
