@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, jaccard, mixing, sql, tokens, urlfilter, warc
-from vigil.llm.common import new_dir, table
+from vigil.llm import decontaminate, jaccard, mixing, simhash, sql, tokens, urlfilter, warc
+from vigil.llm.common import new_dir, table, written
 
 #: Words that put a page's url on the block list of the query.
 ABUSE_TERMS = ("trash", "scum", "pathetic", "loser")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text; for ids divisible by 20, the number of rows within 3 bits."""
+    found = written(simhash.compare(table(spark, sf_dir, "documents")), "op3-fingerprints")
+    return simhash.with_near_counts(found, every=20, radius=3)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents replicated to square-root source weights, globally shuffled."""
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5, seed=17)
@@ -56,7 +62,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
+    return {f.__name__: f for f in (op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
