@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, jaccard, mixing, simhash, sql, tokens, urlfilter, warc
+from vigil.llm import decontaminate, jaccard, langid, mixing, simhash, sql, tokens, urlfilter, warc
 from vigil.llm.common import new_dir, table, written
 
 #: Words that put a page's url on the block list of the query.
 ABUSE_TERMS = ("trash", "scum", "pathetic", "loser")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))), id_col="doc_id", text_col="text", lang_col="lang")
+    found = langid.predict(docs, model)
+    return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text; for ids divisible by 20, the number of rows within 3 bits."""
     found = written(simhash.compare(table(spark, sf_dir, "documents")), "op3-fingerprints")
@@ -62,7 +70,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
+    return {f.__name__: f for f in (op1_language_id, op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
