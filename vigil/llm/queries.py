@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, jaccard, langid, mixing, simhash, sql, tokens, urlfilter, warc
+from vigil.llm import decontaminate, jaccard, langid, mixing, quality, simhash, sql, tokens, urlfilter, warc
 from vigil.llm.common import new_dir, table, written
 
 #: Words that put a page's url on the block list of the query.
@@ -20,6 +20,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``trusted``: whether a label gives the document quality 1."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn("trusted", F.col("_good").isNotNull()).drop("_good")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, and whether its language's quantiles accept it."""
+    docs = trusted_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    found = quality.judge(quality.perplexity(docs))
+    return found.select(F.col("id").alias("doc_id"), "lang", "n_bytes", "perplexity", "low", "high", "keep")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text; for ids divisible by 20, the number of rows within 3 bits."""
     found = written(simhash.compare(table(spark, sf_dir, "documents")), "op3-fingerprints")
@@ -70,7 +83,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
