@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, jaccard, langid, mixing, quality, simhash, sql, tokens, urlfilter, warc
+from vigil.llm import decontaminate, jaccard, langid, mixing, pii, quality, simhash, sql, tokens, urlfilter, warc
 from vigil.llm.common import new_dir, table, written
 
 #: Words that put a page's url on the block list of the query.
@@ -82,8 +82,14 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data in every document, and those that the skip-chain field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
