@@ -53,6 +53,19 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Ids to drop are broadcast while there are at most so many (some 100 MB as a hash table); beyond, they are joined.
+DROP_ROWS = 2_000_000
+
+
+def without(rows: DataFrame, drop: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without those whose ``keys`` (NULL equal to NULL) are among ``drop``; texts move only where ``drop`` is large."""
+    drop = drop.select(*[F.col(k).alias(f"_drop{n}") for n, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(F.col(f"_drop{n}"))
+    return rows.join(F.broadcast(drop) if at_most(drop, DROP_ROWS) else drop, same, "left_anti")
+
+
 def join_side(left: DataFrame, side: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
     """Join ``left`` to ``side`` (unique in ``key``, never NULL there) without a hot partition.
 

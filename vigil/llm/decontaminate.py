@@ -12,7 +12,7 @@ bounded size and one pass over the documents; results of earlier passes are carr
 
 Defined results: texts without words (NULL, empty) have no hits, items without words no windows; a NULL
 item id marks hits but is not listed; rows of one item id count as one item; repeated documents are judged
-alike; an empty benchmark hits nothing.  Other columns are not read.
+alike; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(shared):
+def _scan(shared, carried: list[str], text_at: int):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _scan(shared):
         for batch in batches:
             earlier = list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()))
             results, held, part = [], 0, []
-            for text in batch.column("text").cast(pa.binary()):
+            for text in batch.column(text_at).cast(pa.binary()):
                 part.append(text.as_py() or b"")
                 held += len(part[-1])
                 if held > SLICE_BYTES:
@@ -162,9 +162,9 @@ def _scan(shared):
             results += patterns.scan(part)
             spans = [_merged([[s["start"], s["end"]] for s in old] + new) for (old, _), (_, new, _) in zip(earlier, results)]
             items = [sorted({*old, *new}) for (_, old), (_, _, new) in zip(earlier, results)]
-            columns = [batch.column("id"), batch.column("text"), pa.array([r[0] for r in results], pa.int64()),
+            columns = [*(batch.column(k) for k in range(len(carried))), pa.array([r[0] for r in results], pa.int64()),
                        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays(columns, [*carried, "n_words", "spans", "items"])
     return run
 
 
@@ -176,19 +176,24 @@ def _groups(benchmark: DataFrame, id_col: str, text_col: str, chars: int) -> lis
     return [items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-         item_text_col: str = "text", window: int = 10, pattern_chars: int = PATTERN_CHARS, keep_text: bool = False) -> DataFrame:
-    """id, n_words, spans (hit word intervals, end exclusive), items (ids with occurring windows, sorted) of every document."""
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+         window: int = 10, pattern_chars: int = PATTERN_CHARS) -> DataFrame:
+    """``docs`` with n_words, spans (hit word intervals, end exclusive), items (ids with occurring windows, sorted).
+
+    All columns of ``docs`` are carried along; one named like an added column is replaced.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
+    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items") or c == text_col]
+    carried = [f"c{k}" for k in range(len(kept))]
+    rows = docs.select(*[F.col(c).alias(a) for c, a in zip(kept, carried)], F.lit(0).cast("long").alias("n_words"),
                        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     for k, group in enumerate(_groups(benchmark, item_id_col, item_text_col, pattern_chars)):
         if k:
             rows = written(rows, "decontaminate")
         patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in group.collect()], window))
-        rows = rows.mapInArrow(_scan(patterns), schema)
-    return rows.select(F.col("id").alias(id_col), *([F.col("text").alias(text_col)] if keep_text else []), "n_words", "spans", "items")
+        rows = rows.mapInArrow(_scan(patterns, carried, kept.index(text_col)), schema)
+    return rows.select(*[F.col(a).alias(c) for c, a in zip(kept, carried)], "n_words", "spans", "items")
 
 
 def summary(found: DataFrame) -> DataFrame:

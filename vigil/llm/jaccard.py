@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import at_most, written
+from vigil.llm.common import at_most, without, written
 from vigil.llm.graph import components
 from vigil.llm.shingles import shingle_sets
 
@@ -181,3 +181,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     named = classes.join(labels.toDF("node", "label"), "node", "left").select("digest", "n", F.coalesce("label", "node").alias("component"))
     found = summary.select("id", "digest", "n").join(named, ["digest", "n"], "left")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` of which each group of links keeps one: that with the smallest id.
+
+    Rows that repeat an id are one document, of which the first by text stays; rows with a NULL id all stay.
+    """
+    found = written(join(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den).select(F.col(id_col).alias("id"), "component_id"), "components")
+    kept = without(docs, found.filter("component_id <> id").select(F.col("id").alias(id_col)), [id_col])
+    repeated = found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias(id_col))
+    if not repeated.limit(1).count():
+        return kept
+    # Only the rows of repeated ids move.
+    single = without(kept, repeated, [id_col])
+    again = kept.join(repeated.withColumnRenamed(id_col, "_repeated"), F.col(id_col) == F.col("_repeated"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return single.unionByName(again.withColumn("_rank", rank).filter("_rank = 1").drop("_rank"))
