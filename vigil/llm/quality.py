@@ -6,8 +6,8 @@ occur in the documents are joined, order by order, with the sharded tables of co
 probability of each; its logarithms come back to the documents in shards of at most ``SHARD_GRAMS`` n-grams, one
 broadcast of bounded size and one pass each, and a document's sums over all shards make its perplexity.
 
-Trusted rows are split by a hash of their id: two of three parts train the counts, the third, which the model has not seen,
-sets the quantiles.  A document is kept where ``low <= perplexity <= high`` of its language and length class: the
+Trusted rows are split by a hash of their id: two of three parts train the counts, the third, which the model has not
+seen, sets the upper quantiles.  A document is kept where ``low <= perplexity <= high`` of its language and length class: the
 ``tail`` and ``1 - tail`` quantiles of the logarithm, moved outwards by ``slack`` times their distance from the median.
 
 Defined results: a NULL language is the language ``und``; a language without unseen trusted rows is judged by the
@@ -165,7 +165,7 @@ def _sums(shared, langs: dict[str, int]):
 
 def perplexity(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted_col: str = "trusted",
                shard_grams: int = SHARD_GRAMS) -> DataFrame:
-    """id, key (hash of language and text), lang, n_bytes, perplexity, unseen (trusted, but not trained on); one row per distinct (id, lang, text)."""
+    """id, key (hash of language and text), lang, n_bytes, perplexity, trusted, unseen (trusted, but not trained on); one row per distinct (id, lang, text)."""
     spark = docs.sparkSession
     path = new_dir(spark, "quality")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(trusted_col), F.lit(False)).alias("trusted"))
@@ -188,9 +188,9 @@ def perplexity(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         sums = sums.unionByName(part)
     # Rows that repeat an id and text add up in both sums; their quotient is the same.
     sums = sums.groupBy("id", "key").agg(F.sum("sums").alias("s"), (F.sum("size") / F.lit(shards)).alias("b"))
-    about = rows.groupBy("id", "key").agg(F.first("lang").alias("lang"), F.max(F.col("trusted") & ~F.col("trained")).alias("unseen"))
+    about = rows.groupBy("id", "key").agg(F.first("lang").alias("lang"), F.max("trusted").alias("trusted"), F.max(F.col("trusted") & ~F.col("trained")).alias("unseen"))
     out = about.join(sums, about["id"].eqNullSafe(sums["id"]) & (about["key"] == sums["key"])).select(
-        about["id"], about["key"], "lang", F.col("b").cast("long").alias("n_bytes"), F.when(F.col("b") > 0, F.exp(-F.col("s") / F.col("b"))).alias("perplexity"), "unseen")
+        about["id"], about["key"], "lang", F.col("b").cast("long").alias("n_bytes"), F.when(F.col("b") > 0, F.exp(-F.col("s") / F.col("b"))).alias("perplexity"), "trusted", "unseen")
     out = written(out, "quality-scores")
     drop_dir(spark, path)
     return out
@@ -199,21 +199,22 @@ def perplexity(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def judge(scores: DataFrame, *, tail: float = 0.01, slack: float = 0.75, min_rows: int = 100) -> DataFrame:
     """``scores`` with low, high and keep.
 
-    The quantiles are those of the language and length class (each four times as long as the one below); of the
+    The lower quantile is that of all trusted rows (the model favours those it was trained on), the upper that of the
+    unseen ones; both of the language and length class (each four times as long as the one below), or of the
     language alone where the class has fewer than ``min_rows`` unseen trusted rows.
     """
     length = F.floor(F.log2(F.col("n_bytes").cast("double")) / 2).cast("int")
     scores = scores.withColumn("length", F.coalesce(length, F.lit(-1)))
-    unseen = scores.filter("unseen AND perplexity IS NOT NULL").withColumn("x", F.log("perplexity"))
-    q = lambda name: F.percentile_approx("x", [tail, 0.5, 1 - tail], 10_000).alias(name)
+    known = scores.filter("trusted AND perplexity IS NOT NULL").withColumns({"x": F.log("perplexity"), "y": F.expr("IF(unseen, ln(perplexity), NULL)")})
+    quantiles = F.concat(F.percentile_approx("x", [tail, 0.5], 10_000), F.percentile_approx("y", [0.5, 1 - tail], 10_000))
     # One row per language and length class, per language, and for all.
-    fine = unseen.groupBy("lang", "length").agg(q("fine"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_rows).drop("c")
-    by = unseen.groupBy("lang").agg(q("coarse"))
-    all_ = unseen.agg(q("q")).first()["q"]
+    fine = known.groupBy("lang", "length").agg(quantiles.alias("fine"), F.count("y").alias("c")).filter(F.col("c") >= min_rows).drop("c")
+    by = known.groupBy("lang").agg(quantiles.alias("coarse"))
+    all_ = known.agg(quantiles).first()[0]
     scores = scores.join(fine, ["lang", "length"], "left").join(by, "lang", "left")
     rest = F.lit([float(v) for v in all_]) if all_ is not None else F.lit(None).cast("array<double>")
     scores = scores.withColumn("q", F.coalesce("fine", "coarse", rest))
-    lo, mid, hi = (F.col("q")[k] for k in range(3))
-    scores = scores.withColumns({"low": F.exp(mid - (1 + slack) * (mid - lo)), "high": F.exp(mid + (1 + slack) * (hi - mid))}).drop("q", "fine", "coarse", "length")
+    lo, seen_mid, mid, hi = (F.col("q")[k] for k in range(4))
+    scores = scores.withColumns({"low": F.exp(seen_mid - (1 + slack) * (seen_mid - lo)), "high": F.exp(mid + (1 + slack) * (hi - mid))}).drop("q", "fine", "coarse", "length")
     inside = F.col("perplexity").between(F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(float("inf"))))
     return scores.withColumn("keep", F.coalesce(inside, F.lit(False)))
