@@ -70,7 +70,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row; fewer than k words are one shingle, no words none."""
-    factors = [np.uint64((_GAMMA * (2 * j + 1)) % (1 << 64) | 1) for j in range(k)]
+    # Unrelated odd factors: shingles of the same words in another order differ.
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(_GAMMA)) | np.uint64(1)
     for first, data, offsets in text_slices(column):
         words, bounds = word_hashes(data, offsets)
         total = np.zeros(max(0, len(words) - k + 1), np.uint64)
