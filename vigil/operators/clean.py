@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.features import numeric_columns
@@ -103,19 +103,31 @@ def _kth_value(values: DataFrame, k: int, n: int, mn: float, mx: float) -> float
         if cnt <= MEDIAN_MAX_CANDIDATES:
             vals = sorted(r[0] for r in cand.collect())
             return vals[k - below]
-        width = (hi - lo) / MEDIAN_BINS
-        b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)).cast("long"),
-                    F.lit(MEDIAN_BINS - 1))
+        # halves keep the width finite on any range; a range too narrow to divide has few distinct values
+        width = (hi / 2 - lo / 2) / MEDIAN_BINS
+        if width <= 0.0 or (lo / 2 + width) == lo / 2:
+            return _kth_of_distinct(cand, k - below)
+        b = F.greatest(F.lit(0), F.least(F.floor((F.col("_v") / 2 - F.lit(lo / 2)) / F.lit(width)).cast("long"),
+                                         F.lit(MEDIAN_BINS - 1)))
         hist = (cand.groupBy(b.alias("b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
                 .collect())
         hist.sort(key=lambda r: r["b"])
-        acc = below
+        acc, was = below, (lo, hi)
         for r in hist:
             if k < acc + r["n"]:
                 lo, hi, below, cnt = r["lo"], r["hi"], acc, r["n"]
                 break
             acc += r["n"]
+        if (lo, hi) == was:  # a round must narrow the range
+            return _kth_of_distinct(values.filter((F.col("_v") >= lo) & (F.col("_v") <= hi)), k - below)
+
+
+def _kth_of_distinct(values: DataFrame, k: int) -> float:
+    """k-th smallest by the running count of distinct values; used where a range spans only neighbouring doubles."""
+    counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("_v"))
+    return counts.withColumn("_upto", upto).filter(F.col("_upto") > k).agg(F.min("_v")).first()[0]
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
@@ -223,7 +235,8 @@ def clean_and_preprocess(sensor: DataFrame, operational: DataFrame | None = None
                          operational_tiebreak: Sequence[str] = (),
                          interpolate_by: str | None = "equipment_id",
                          outlier_columns: Sequence[str] | None = None,
-                         bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                         bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                         zscore_threshold: float = ZSCORE_THRESHOLD) -> DataFrame:
     """Handle missing → remove outliers → as-of enrich with operational context.
 
     The filled table is read by every z-score pass and by the output, so it is
@@ -239,7 +252,7 @@ def clean_and_preprocess(sensor: DataFrame, operational: DataFrame | None = None
         filled = median_impute(sensor)
     filled = cut_lineage(filled)
     cols = outlier_columns if outlier_columns is not None else numeric_columns(filled)
-    cleaned = remove_outliers(filled, cols, persist=False)
+    cleaned = remove_outliers(filled, cols, threshold=zscore_threshold, persist=False)
     if operational is None:
         return cleaned
     return asof_join(cleaned, operational, on=ts, by=[by], left_tiebreak=tiebreak,

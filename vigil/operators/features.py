@@ -31,6 +31,7 @@ HEURISTIC_TEMP_PIVOT = 300.0
 HEURISTIC_TEMP_RATE = 2.0
 HEURISTIC_WEAR_RATE = 0.5
 HEURISTIC_RUL_FLOOR = 50.0
+LINEAR_FULL_AT = 800.0
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -177,6 +178,14 @@ def degradation_curve(df: DataFrame, by: str = "equipment_id", ts: str = "timest
         .withColumn("failing", d > failing_above).drop("_i", "_n")
 
 
+def degradation_linear(df: DataFrame, by: str = "equipment_id", ts: str = "timestamp",
+                       tiebreak: Sequence[str] = (), full_at: float = LINEAR_FULL_AT,
+                       bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """W05, linear twin: d = min(i / full_at, 1) by row position i per equipment."""
+    j = with_positions(df, by, ts, tiebreak, "_i", bucket_seconds)
+    return j.withColumn("degradation_linear", F.least(F.col("_i") / F.lit(full_at), F.lit(1.0))).drop("_i")
+
+
 def group_max_over(df: DataFrame, by: str, col: str, out: str) -> DataFrame:
     """Attach max(col) of the row's group (aggregate + join, not a hot window)."""
     from vigil.operators.ordered import join_on_keys

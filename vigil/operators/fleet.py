@@ -85,13 +85,13 @@ def fleet_summary(scored: DataFrame) -> DataFrame:
 
 
 def fleet_status_shares(scored: DataFrame) -> DataFrame:
-    """Share (percent) of healthy / attention / critical equipment and alert count."""
+    """Share (percent; NULL for an empty table) of healthy / attention / critical equipment and alert count."""
     tier = R.health_tier("health_score")
     n = F.count(F.lit(1))
     return scored.agg(
-        (F.count_if(tier.isin("Excellent", "Good")) * 100.0 / n).alias("healthy_pct"),
-        (F.count_if(tier == "Fair") * 100.0 / n).alias("attention_pct"),
-        (F.count_if(tier == "Poor") * 100.0 / n).alias("critical_pct"),
+        F.try_divide(F.count_if(tier.isin("Excellent", "Good")) * 100.0, n).alias("healthy_pct"),
+        F.try_divide(F.count_if(tier == "Fair") * 100.0, n).alias("attention_pct"),
+        F.try_divide(F.count_if(tier == "Poor") * 100.0, n).alias("critical_pct"),
         F.count_if(F.col("maintenance_priority") == "high").alias("alerts"),
     )
 

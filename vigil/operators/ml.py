@@ -28,6 +28,7 @@ FOREST_TREES = 100
 FOREST_DEPTH = 10
 FOREST_SEED = 42
 SIMPLE_FOREST_TREES = 50
+MOST_DEPTH = 30
 GBT_ITERATIONS = 100
 GBT_DEPTH = 6
 GBT_STEP = 0.1
@@ -98,9 +99,11 @@ def apply_scaler(df: DataFrame, params: ScalerParams, suffix: str = "") -> DataF
 
 def forest(n_trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = FOREST_SEED,
            features_col: str = "features", label: str = "rul") -> RandomForestRegressor:
-    """Forest with every feature considered at each split."""
+    """Forest with every feature considered at each split; MLlib trees are at most 30 deep."""
+    if not 0 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth {depth}: trees have 0 to {MOST_DEPTH} levels")
     return RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=n_trees,
-                                 maxDepth=min(depth, 30), featureSubsetStrategy="all", seed=seed)
+                                 maxDepth=depth, featureSubsetStrategy="all", seed=seed)
 
 
 def gbt(features_col: str = "features", label: str = "rul") -> GBTRegressor:
@@ -135,23 +138,22 @@ class TrainedModel:
                             meta["feature_columns"], meta.get("label", "rul"))
 
 
-TRAIN_ROWS_PER_PARTITION = 100_000
+TRAIN_PARTITIONS = 16
 
 
 def train(df: DataFrame, feature_cols: Sequence[str], label: str = "rul",
-          estimator=None, rows_per_partition: int = TRAIN_ROWS_PER_PARTITION) -> TrainedModel:
+          estimator=None, by: str = "equipment_id", partitions: int = TRAIN_PARTITIONS) -> TrainedModel:
     """Fit the scaler on ``df`` (the training rows) and the forest on the scaled vector.
 
-    Tree induction runs one distributed pass per tree level, so the training
-    table is repartitioned to a size-proportional partition count (its row
-    count comes from the scaler aggregate): no swarm of near-empty tasks for a
-    small table, full parallelism for a large one.
+    Bagging draws per partition and in row order, so the rows are dealt by a hash of ``by`` (of all
+    features where that column is absent) over a fixed number of ``partitions`` and sorted inside them: the
+    model does not depend on how the rows arrive.  Raise ``partitions`` with the cluster.
     """
     params = fit_scaler(df, feature_cols)
     scaled = apply_scaler(df, params, suffix="__s")
-    if params.rows is not None:
-        n = max(1, -(-params.rows // rows_per_partition))
-        scaled = scaled.repartition(n)
+    keys = [by] if by in df.columns else list(feature_cols)
+    scaled = scaled.repartition(partitions, *[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(
+        *[F.col(f"`{k}`") for k in keys], F.xxhash64(*[F.col(f"`{c}__s`") for c in feature_cols], F.col(label)))
     asm = VectorAssembler(inputCols=[f"{c}__s" for c in feature_cols], outputCol="features",
                           handleInvalid="keep")
     est = estimator or forest(label=label)
@@ -208,7 +210,9 @@ def score_request_aggregate(tm: "TrainedModel", requests: DataFrame, by: str | N
 
 
 def weighted_ensemble(columns: Sequence[str], weights: Sequence[float] = ENSEMBLE_WEIGHTS) -> Column:
-    """Σ wᵢ·pᵢ / Σ wᵢ (weights by position)."""
+    """Σ wᵢ·pᵢ / Σ wᵢ (weights by position); raises unless there is one weight per column."""
+    if len(columns) != len(weights):
+        raise ValueError(f"{len(columns)} columns, {len(weights)} weights")
     num = None
     den = 0.0
     for c, w in zip(columns, weights):

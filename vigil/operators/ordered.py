@@ -7,7 +7,8 @@ default), do the scan inside ``(key, bucket)`` partitions, and stitch buckets
 together through a per-bucket summary that has one row per ``(key, bucket)``:
 
 1. in-bucket window  (shuffle on ``key, bucket`` — a hot key spreads out),
-2. bucket summary    (partial aggregation, map-side combine),
+2. bucket summary    (a grouped count where only positions are wanted, else the last
+   and first row of each bucket),
 3. carry across buckets with a window over the summary (tiny),
 4. equi-join the carry back on ``(key, bucket)`` (AQE broadcasts it when the
    measured summary is small; otherwise a shuffle join without hot keys).
@@ -87,6 +88,8 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
     forward = forward or {}
     backward = backward or {}
     keys = _keys(by)
+    if not forward and not backward:
+        return _positions(df, keys, order, bucket, position, group_count)
     b = with_bucket(df, bucket)
     w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     l1 = b.withColumns({"_rn": F.row_number().over(w), "_nx": F.lead(F.lit(1)).over(w)})
@@ -160,6 +163,25 @@ def ordered_scan(df: DataFrame, by, order: Sequence[Column], bucket: Column,
     return res.withColumns(outs).drop(*drop, "_off", "_gcnt", "_rn", "_nx", BUCKET)
 
 
+def _positions(df: DataFrame, keys: list[str], order: Sequence[Column], bucket: Column,
+               position: str | None, group_count: str | None) -> DataFrame:
+    """Row positions alone: the bucket summary is a count with map-side combine, so raw rows move once."""
+    b = with_bucket(df, bucket)
+    counts = b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    wk = Window.partitionBy(*keys).orderBy(F.coalesce(F.col(BUCKET), F.lit(_NULL_BUCKET)))
+    summary = counts.withColumn("_off", F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    if group_count:
+        summary = summary.withColumn("_gcnt", F.sum("_n").over(Window.partitionBy(*keys)))
+    local = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order)))
+    res = join_on_keys(local, summary.drop("_n"), [*keys, BUCKET], "left")
+    outs = {}
+    if position:
+        outs[position] = F.col("_off") + F.col("_rn") - 1
+    if group_count:
+        outs[group_count] = F.col("_gcnt")
+    return res.withColumns(outs).drop("_off", "_gcnt", "_rn", BUCKET)
+
+
 def positions(df: DataFrame, by, order: Sequence[Column], bucket: Column,
               out: str = "_pos", count: str | None = None) -> DataFrame:
     """0-based row position inside each ``by`` group in ``order`` (see ``ordered_scan``);

@@ -44,7 +44,7 @@ def failure_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             rate = F.avg(F.col(c).cast("double")) * 100.0
             kind = "numeric"
         else:
-            rate = F.count_if(failure_keyword(F.col(c))) * 100.0 / F.count(F.lit(1))
+            rate = F.try_divide(F.count_if(failure_keyword(F.col(c))) * 100.0, F.count(F.lit(1)))
             kind = "text"
         rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"),
                              rate.alias("failure_rate_pct")))

@@ -81,13 +81,13 @@ def range_violations(df: DataFrame, ranges: DataFrame, ids: Sequence[str],
                      sensors: Sequence[str] | None = None) -> DataFrame:
     """One row per (reading, sensor) outside its range, with the warning text.
 
-    Equi-join on sensor name against the ranges table (one row per sensor:
-    broadcast), theta-condition value < min or value > max.  NULL values never warn.
+    Equi-join on sensor name against the ranges table (one row per sensor; AQE broadcasts it
+    once its size is measured), theta-condition value < min or value > max.  NULL values never warn.
     """
     if sensors is None:
         sensors = [r["sensor"] for r in ranges.select("sensor").collect()]
     long = unpivot_sensors(df, ids, sensors)
-    j = long.join(F.broadcast(ranges.select("sensor", "min", "max")), "sensor")
+    j = long.join(ranges.select("sensor", "min", "max"), "sensor")
     bad = j.filter((F.col("value") < F.col("min")) | (F.col("value") > F.col("max")))
     return bad.withColumn("warning", warning_text(F.col("sensor"), F.col("value"),
                                                   F.col("min"), F.col("max")))
@@ -169,6 +169,13 @@ def critical_readings(df: DataFrame, ids: Sequence[str], thresholds: Mapping[str
     return long.join(F.broadcast(dim), "sensor").filter(F.col("value") > F.col("threshold"))
 
 
+def exceeding_readings(df: DataFrame, thresholds: Mapping[str, float], ids: Sequence[str]) -> DataFrame:
+    """T02, immediate alerts: one row (ids..., sensor, value) per reading above its sensor's alert threshold."""
+    sensors = [s for s in thresholds if s in df.columns]
+    thr = F.create_map(*[x for s in sensors for x in (F.lit(s), F.lit(float(thresholds[s])))])
+    return unpivot_sensors(df, ids, sensors).filter(F.col("value") > F.element_at(thr, F.col("sensor")))
+
+
 def threshold_exceedances(df: DataFrame, thresholds: Mapping[str, float], window: str = "1 hour",
                           ts: str = "timestamp", by: str = "equipment_id") -> DataFrame:
     """Readings above per-sensor alert thresholds counted per (time window, equipment, sensor).
@@ -176,8 +183,6 @@ def threshold_exceedances(df: DataFrame, thresholds: Mapping[str, float], window
     Works on batch and streaming frames (a stream adds its watermark before calling).
     """
     sensors = [s for s in thresholds if s in df.columns]
-    long = unpivot_sensors(df, [by, ts], sensors)
-    thr = F.create_map(*[x for s in sensors for x in (F.lit(s), F.lit(float(thresholds[s])))])
-    hot = long.filter(F.col("value") > F.element_at(thr, F.col("sensor")))
+    hot = exceeding_readings(df, {s: thresholds[s] for s in sensors}, [by, ts])
     return hot.groupBy(F.window(ts, window).alias("window"), by, "sensor").agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"))

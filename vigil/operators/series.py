@@ -7,9 +7,8 @@
   skew-safe scan), then the chain from each series start is expanded by
   pointer doubling: log2(chain length) rounds of equi-joins on unique ids,
   with lineage cut by ``checkpoint()`` in the shared checkpoint folder.
-* ``rolling_features`` (W09) computes right-closed time windows ``(t-w, t]``
-  with every row copied into the next ``copies`` buckets, so each bucket holds
-  its whole look-back and a hot equipment still splits across tasks.
+* ``rolling_features`` (W09) computes right-closed time windows ``(t-w, t]`` from
+  aggregates of sub-buckets of the window, so a hot equipment still splits across tasks.
 """
 
 from __future__ import annotations
@@ -50,20 +49,22 @@ def cooldown_events(df: DataFrame, trigger: Column, by: str = "equipment_id",
 
     A row is emitted when ``trigger`` holds and its time is more than
     ``gap_seconds`` after the previous emission of its equipment (initially
-    after the equipment's first row of ``df``).  ``tiebreak`` must be unique.
+    after the equipment's first row of ``df``).  ``tiebreak`` must be unique within an equipment;
+    rows with a NULL equipment are one series.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     bucket_seconds = bucket_seconds or max(gap_seconds, 3600)
     gap_us = gap_seconds * 1_000_000
+    series = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("none"))
+    row_id = F.concat(F.lit("c:"), F.col(tiebreak).cast("long").cast("string"), F.lit(":"), series)
     # narrow projection used by every branch below: computed once, kept (recomputable) in cache
     narrow = df.select(by, F.col(ts).alias("_t"), F.col(tiebreak).cast("long").alias("_tb"),
-                       trigger.alias("_trig")).persist(StorageLevel.MEMORY_AND_DISK)
-    cand = narrow.filter(F.col("_trig")).select(
-        by, "_t", "_tb", F.concat(F.lit("c:"), F.col("_tb").cast("string")).alias("nid"))
+                       trigger.alias("_trig"), row_id.alias("nid")).persist(StorageLevel.MEMORY_AND_DISK)
+    cand = narrow.filter(F.col("_trig")).select(by, "_t", "_tb", "nid")
     starts = narrow.groupBy(by).agg(F.min("_t").alias("_t0")).select(
         by, F.timestamp_micros(F.unix_micros("_t0") + F.lit(gap_us)).alias("_t"),
-        F.concat(F.lit("s:"), F.col(by).cast("string")).alias("nid"))
+        F.concat(F.lit("s:"), series).alias("nid"))
     probes = cand.select(by, F.timestamp_micros(F.unix_micros("_t") + F.lit(gap_us)).alias("_t"), "nid") \
         .unionByName(starts)
     # node table: (nid, j = J_k(nid), d = nid ∈ D_k); D_0 = the series starts
@@ -86,10 +87,9 @@ def cooldown_events(df: DataFrame, trigger: Column, by: str = "equipment_id",
         raise RuntimeError("cooldown chain longer than 2**max_rounds")
     reached = nodes.filter(F.col("d")).select("nid")
     # ``nodes`` is a checkpoint: nothing below depends on the cached projection
-    emitted = reached.filter(F.col("nid").startswith("c:")).select(
-        F.substring("nid", 3, 64).cast("long").alias("_tb"))
+    emitted = reached.filter(F.col("nid").startswith("c:"))
     narrow.unpersist()
-    return df.join(emitted, F.col(tiebreak).cast("long") == F.col("_tb"), "left_semi")
+    return df.join(emitted, row_id == F.col("nid"), "left_semi")
 
 
 def maintenance_from_cooldown(emitted: DataFrame, flag: str = "failure_imminent",
@@ -125,7 +125,7 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
       its first row after t - w: a forward lookup through the ordered union of rows and probes).
 
     Partitions are (equipment, sub-bucket), so a hot equipment spreads out.
-    ``tiebreak`` must identify rows uniquely (probe results are joined back on it).
+    ``tiebreak`` must identify the rows of one equipment (probe results are joined back on both).
     """
     bad = [x for x in stats if x not in ROLLING_STATS]
     if bad:
@@ -178,9 +178,10 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
     wc = Window.partitionBy(by, "_sb").orderBy(F.col("_tu").desc(), F.col("_side").desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
     looked = points.unionByName(probes).withColumn("_c", F.last("_pay", ignorenulls=True).over(wc))
-    ctab = looked.filter(F.col("_side") == 1).select(F.col("_pid").alias("_cid"), "_c")
+    ctab = looked.filter(F.col("_side") == 1).select(by, (F.col("_sb") + m).alias("_sb"), F.col("_pid").alias("_cid"), "_c")
 
-    out = rows.join(ctab, F.col(tiebreak).cast("long") == F.col("_cid"), "left")
+    # joined inside (equipment, sub-bucket), the partitioning of the rows
+    out = join_on_keys(rows.withColumn("_cid", F.col(tiebreak).cast("long")), ctab, [by, "_sb", "_cid"], "left")
     if btab is not None:
         out = join_on_keys(out, btab, [by, "_sb"], "left")
 
@@ -209,10 +210,9 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
 def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """A17 (W10 with ``by``): Pearson matrix, pairwise-complete, long form (a, b, corr).
 
-    Each row is exploded into its (a <= b) column pairs and one small grouped
-    aggregate runs per pair (partial aggregation before the shuffle, so only
-    pairs x partitions rows move).  A value is used only where both columns are
-    non-NULL.  A constant column gives NULL instead of a division error; values
+    One aggregate holds the guarded moments of every (a <= b) column pair, so no row is
+    multiplied; its one row (per key) is then turned into long form.  A value is used only where
+    both columns are non-NULL.  A constant column gives NULL instead of a division error; values
     are clamped to [-1, 1]; the lower triangle mirrors the upper one.
     """
     cols = list(columns)
@@ -225,17 +225,17 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) ->
     def lit(c: str) -> str:
         return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    # one SQL expression for all pairs (a single plan call instead of one per column)
-    items = []
-    for a, b in pairs:
+    # one SQL expression per pair (single plan calls)
+    exprs = []
+    for k, (a, b) in enumerate(pairs):
         both = f"{q(a)} IS NOT NULL AND {q(b)} IS NOT NULL"
-        items.append(f"named_struct('sensor_a', {lit(a)}, 'sensor_b', {lit(b)}, "
-                     f"'x', CASE WHEN {both} THEN CAST({q(a)} AS DOUBLE) END, "
-                     f"'y', CASE WHEN {both} THEN CAST({q(b)} AS DOUBLE) END)")
-    long = df.select(*keys, F.expr(f"inline(array({', '.join(items)}))"))
-    r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
-    r = F.when(r.isNotNull() & ~F.isnan(r), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
-    upper = long.groupBy(*keys, "sensor_a", "sensor_b").agg(r.alias("corr"))
+        x = f"CASE WHEN {both} THEN CAST({q(a)} AS DOUBLE) END"
+        y = f"CASE WHEN {both} THEN CAST({q(b)} AS DOUBLE) END"
+        exprs.append(F.expr(f"try_divide(covar_samp({x}, {y}), stddev_samp({x}) * stddev_samp({y}))").alias(f"_r{k}"))
+    wide = df.groupBy(*keys).agg(*exprs)
+    items = [f"named_struct('sensor_a', {lit(a)}, 'sensor_b', {lit(b)}, 'r', _r{k})" for k, (a, b) in enumerate(pairs)]
+    r = F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("r"))))
+    upper = wide.select(*keys, F.expr(f"inline(array({', '.join(items)}))")).select(*keys, "sensor_a", "sensor_b", r.alias("corr"))
     both_ways = F.when(
         F.col("sensor_a") == F.col("sensor_b"),
         F.array(F.struct(F.col("sensor_a").alias("a"), F.col("sensor_b").alias("b"))),
@@ -245,15 +245,14 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) ->
         *keys, F.col("_p.a").alias("sensor_a"), F.col("_p.b").alias("sensor_b"), "corr")
 
 
-def urgent_top(scored: DataFrame, n: int = 20, id_col: str = "equipment_id",
-               tiebreak: Sequence[str] = ()) -> DataFrame:
-    """The n most urgent rows (priority high > medium > low, then probability desc)."""
+def urgent_list(scored: DataFrame, n: int | None = None, id_col: str = "equipment_id",
+                tiebreak: Sequence[str] = ()) -> DataFrame:
+    """All rows, the most urgent first (priority high > medium > low, then probability desc); ``n`` cuts the list."""
     rank = F.when(F.col("maintenance_priority") == "high", 1) \
         .when(F.col("maintenance_priority") == "medium", 2).otherwise(3)
-    return (scored.withColumn("priority_rank", rank)
-            .orderBy(F.col("priority_rank"), F.col("failure_probability").desc(), F.col(id_col),
-                     *[F.col(t) for t in tiebreak])
-            .limit(n))
+    out = scored.withColumn("priority_rank", rank).orderBy(
+        F.col("priority_rank"), F.col("failure_probability").desc(), F.col(id_col), *[F.col(t) for t in tiebreak])
+    return out if n is None else out.limit(n)
 
 
 def health_trend_daily(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -280,4 +279,4 @@ def spine_asof(spine: DataFrame, readings: DataFrame, columns: Sequence[str],
 
 
 __all__ = ["cooldown_events", "maintenance_from_cooldown", "daily_spine", "rolling_features",
-           "corr_matrix", "urgent_top", "health_trend_daily", "spine_asof", "join_on_keys"]
+           "corr_matrix", "urgent_list", "health_trend_daily", "spine_asof", "join_on_keys"]

@@ -3,10 +3,9 @@
 Row-stable: a row's side depends only on its key and the seed (``xxhash64``),
 not on partitioning, so re-running a job (or losing an executor) never moves a
 row.  Sizes follow the reference: test = ceil(fraction * n), per stratum when
-stratified.  The k-th smallest hash per stratum is found without sorting a
-whole stratum: hashes are bucketed by their top 16 bits, bucket counts (at most
-65,536 per stratum) give each bucket's rank range, and only the one boundary
-bucket per stratum is ranked row by row.
+stratified; a stratum of one row goes to train.  The k-th smallest hash per stratum is found
+without sorting a whole stratum: hashes are bucketed by their top 16 bits, bucket counts (at most
+65,536 per stratum) give each bucket's rank range, and rows are ranked inside their bucket.
 """
 
 from __future__ import annotations
@@ -47,18 +46,16 @@ def split(df: DataFrame, key: Sequence[str] | str, strata: str | None = None,
     cnt = cnt.withColumns({
         "_before": F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_n": F.sum("_c").over(Window.partitionBy(*s_cols)),
-    }).withColumn("_k", F.ceil(F.lit(float(test_fraction)) * F.col("_n")).cast("long"))
-    j = join_on_keys(d, cnt.select(*s_cols, "_hb", "_before", "_c", "_k"), [*s_cols, "_hb"], "left")
-    whole_test = (F.col("_before") + F.col("_c")) <= F.col("_k")
-    whole_train = F.col("_before") >= F.col("_k")
-    boundary = j.filter(~whole_test & ~whole_train)
+    })
+    k = F.ceil(F.lit(float(test_fraction)) * F.col("_n")).cast("long")
+    if strata:  # a stratum of one row trains
+        k = F.when(F.col("_n") > 1, k).otherwise(F.lit(0))
+    # rows are ranked inside their hash bucket, which holds some n / 65,536 rows of a stratum
     rank = F.row_number().over(Window.partitionBy(*s_cols, "_hb").orderBy("_h", *keys))
-    boundary = boundary.withColumn(out, F.when(F.col("_before") + rank <= F.col("_k"), F.lit("test"))
-                                   .otherwise(F.lit("train")))
-    rest = j.filter(whole_test | whole_train).withColumn(
-        out, F.when(whole_test, F.lit("test")).otherwise(F.lit("train")))
-    res = rest.unionByName(boundary)
-    return res.drop("_h", "_hb", "_before", "_c", "_k")
+    ranked = d.withColumn("_rank", rank)
+    j = join_on_keys(ranked, cnt.select(*s_cols, "_hb", "_before", k.alias("_k")), [*s_cols, "_hb"], "left")
+    side = F.when(F.col("_before") + F.col("_rank") <= F.col("_k"), F.lit("test")).otherwise(F.lit("train"))
+    return j.withColumn(out, side).drop("_h", "_hb", "_rank", "_before", "_k")
 
 
 def split_sizes(df: DataFrame, strata: str | None = None, out: str = "split") -> DataFrame:

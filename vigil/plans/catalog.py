@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vigil.functions import rules as R
 from vigil.operators import clean, features, fleet, ml, normalize, profile, quality, series, split
 from vigil.operators.asof import asof_join
+from vigil.plans import more
 from vigil.plans.readings import (EVENT_SENSORS, LINEITEM_SENSORS, event_readings, events_base,
                                   lineitem_readings)
 from vigil.plans.util import finish
@@ -30,7 +31,6 @@ COOLDOWN_GAP_SECONDS = 24 * 3600
 RANGE_SIGMAS_TEST = 1.0
 ALERT_SENSORS = ("temperature", "vibration", "tool_wear")
 CORR_COLUMNS = (*EVENT_SENSORS, "failure_probability")
-URGENT_TOP_N = 20
 
 
 def _scored(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
@@ -52,8 +52,9 @@ def q_fleet_features(spark, sf_dir):
 
 
 def q_equipment_labels(spark, sf_dir):
-    """RUL label from the last purchase reading's degradation per user."""
-    rd = event_readings(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    """RUL label from the last reading's degradation (tool wear / 300) per user, all readings."""
+    rd = event_readings(spark, sf_dir, with_degradation=False)
+    rd = rd.withColumn("degradation_level", F.col("tool_wear") / 300.0)
     return finish(features.equipment_labels(rd, "equipment_id", ["timestamp", "event_id"]))
 
 
@@ -123,9 +124,9 @@ def q_failure_maintenance(spark, sf_dir):
 # --- J01, W01/W02, F01, A14: cleaning ----------------------------------------
 
 def q_asof_enrich(spark, sf_dir):
-    """Each purchase enriched with the user's last view at or before it."""
+    """Each event that is no view, enriched with the user's last view at or before it."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
-    left = ev.filter(F.col("event_type") == "purchase").select("event_id", "ts", "user_id", "value")
+    left = ev.filter(F.col("event_type") != "view").select("event_id", "ts", "user_id", "value")
     right = ev.filter(F.col("event_type") == "view").select(
         F.col("event_id").alias("view_event_id"), "ts", F.col("ts").alias("view_ts"), "user_id",
         F.col("value").alias("view_value"))
@@ -247,10 +248,13 @@ def q_rule_labels(spark, sf_dir):
 
 
 def q_prediction_rules(spark, sf_dir):
-    """R01–R05, R15, R18 with value * 10 as the model's RUL."""
+    """R01–R06, R15, R18 with (value - 20) * 60 as the model's RUL: below 0, at 0 for every tenth event,
+    NULL for every eleventh, above 10,000; every seventh event has no equipment id."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "value"])
-    base = ev.select("event_id", F.col("user_id").cast("string").alias("equipment_id"),
-                     (F.col("value") * 10.0).alias("prediction"))
+    rul = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 10 == 0, F.lit(0.0)).otherwise(
+        (F.col("value") - 20.0) * 60.0)
+    base = ev.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string")).alias("equipment_id"),
+                     rul.alias("prediction"))
     res = ml.prediction_result(base, "prediction", as_of=AS_OF)
     rul = R.clamp_rul("prediction")
     return finish(res.select(
@@ -272,9 +276,9 @@ def q_sensor_corr_by_equipment(spark, sf_dir):
 
 
 def q_urgent_top(spark, sf_dir):
-    """The 20 most urgent readings."""
+    """All readings, the most urgent first."""
     sc = _scored(spark, sf_dir)
-    top = series.urgent_top(sc, URGENT_TOP_N, "equipment_id", ["event_id"])
+    top = series.urgent_list(sc, None, "equipment_id", ["event_id"])
     return finish(top.select("event_id", "equipment_id", "maintenance_priority", "priority_rank",
                              "failure_probability", "health_score"))
 
@@ -303,9 +307,13 @@ def q_dataset_profile(spark, sf_dir):
 
 
 def q_failure_rate(spark, sf_dir):
-    """A09 + A10 rates (bool flag and text keywords)."""
+    """A09 + A10 + F07 + F08: rates of the columns named like failures: the flag, a text that holds keywords, plain
+    types, ``No Failure`` and NULL, and a number."""
     rd = event_readings(spark, sf_dir, with_degradation=False)
-    out = profile.failure_rates(rd, ["failure_imminent", "event_type"])
+    text = F.when(F.col("event_type") == "error", F.lit("Bearing MALFUNCTION")).when(F.col("event_type") == "click", F.lit("No Failure")) \
+        .when(F.col("event_type") == "signup", F.lit(None)).when(F.col("event_type") == "view", F.lit("pump failed")).otherwise(F.col("event_type"))
+    rd = rd.select("event_id", "failure_imminent", text.alias("failure_text"), (F.col("tool_wear") > 200).cast("int").alias("fail_code"))
+    out = profile.failure_rates(rd)
     return finish(out.withColumnRenamed("column", "column_name"))
 
 
@@ -317,7 +325,7 @@ def q_type_distribution(spark, sf_dir):
 
 def q_numeric_summary(spark, sf_dir):
     """Mean / std of numeric columns not named like targets."""
-    rd = event_readings(spark, sf_dir)
+    rd = event_readings(spark, sf_dir, with_degradation=False)
     return finish(profile.numeric_summary(rd).withColumnRenamed("column", "column_name"))
 
 
@@ -406,19 +414,25 @@ def q_template_align(spark, sf_dir):
 
 
 def q_rf_train_score(spark, sf_dir):
-    """M01–M06 + A19/A20: forest on simple features (target rul), held-out scoring."""
+    """M01–M06 + J03 + O04: the reference's forest (100 trees, depth 10) on simple features.
+
+    Per side: rows, whether every prediction lies in the range of the training labels, and whether the
+    mean absolute error is below that of predicting the training mean (A19).
+    """
     rd = event_readings(spark, sf_dir, with_degradation=False)
     sf = features.simple_features(rd, "equipment_id", "timestamp", ["event_id"])
-    data, xcols = ml.prepare_xy(sf, None, "equipment_id", "rul")
+    data, xcols = ml.prepare_xy(sf.drop("rul"), sf.select("equipment_id", "rul"), "equipment_id", "rul")
     # several passes (scaler, tree levels, scoring) read it: cut once in the checkpoint folder
     data = cut_lineage(split.split(data, "equipment_id"))
-    tm = ml.train(data.filter(F.col("split") == "train"), xcols, "rul",
-                  ml.forest(n_trees=ml.SIMPLE_FOREST_TREES, depth=ml.FOREST_DEPTH))
+    train = data.filter(F.col("split") == "train")
+    tm = ml.train(train, xcols, "rul", ml.forest(n_trees=ml.FOREST_TREES, depth=ml.FOREST_DEPTH))
+    bounds = train.agg(F.min("rul").alias("lo"), F.max("rul").alias("hi"), F.avg("rul").alias("mean")).first()
     pred = ml.predict(tm, data)
-    res = ml.prediction_result(pred, "prediction", as_of=AS_OF)
-    return finish(res.select("equipment_id", "split", "rul", F.col("prediction").alias("raw_prediction"),
-                             "predicted_rul_hours", "failure_probability", "confidence",
-                             "maintenance_recommendation"))
+    error, plain = F.avg(F.abs(F.col("prediction") - F.col("rul"))), F.avg(F.abs(F.lit(bounds["mean"]) - F.col("rul")))
+    return finish(pred.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.every(F.col("prediction").between(F.lit(bounds["lo"]) - 1e-6, F.lit(bounds["hi"]) + 1e-6)).alias("in_range"),
+        (error < plain).alias("beats_mean")))
 
 
 def queries() -> dict[str, Query]:
@@ -468,4 +482,4 @@ def queries() -> dict[str, Query]:
         "split_counts": q_split_counts,
         "template_align": q_template_align,
         "rf_train_score": q_rf_train_score,
-    }
+    } | more.queries()

@@ -23,7 +23,7 @@ from vigil.sources import files
 
 @dataclass
 class JobConfig:
-    """Frozen job parameters (the reference's YAML, reduced to what is computed)."""
+    """Job parameters (the reference's YAML, reduced to what is computed)."""
     missing_method: str = "interpolate"
     interpolate_scope: str | None = "equipment_id"   # None: table-wide, as the reference
     zscore_threshold: float = clean.ZSCORE_THRESHOLD
@@ -53,10 +53,15 @@ def features_and_labels(cleaned: DataFrame, order=("timestamp",)) -> tuple[DataF
     return feats, labels
 
 
-def train_and_validate(feats: DataFrame, labels: DataFrame, cfg: JobConfig) -> TrainResult:
-    """Join, split once, fit on train, report held-out MAE / RMSE / R²."""
+def train_and_validate(feats: DataFrame, labels: DataFrame, cfg: JobConfig, stratify: bool = False) -> TrainResult:
+    """Join, split once (``stratify``: by the first stratum column of the labels), fit on train, report
+    held-out MAE / RMSE / R²."""
+    stratum = split.pick_stratum(labels) if stratify else None
     data, xcols = ml.prepare_xy(feats, labels, "equipment_id", "rul")
-    data = split.split(data, "equipment_id", test_fraction=cfg.test_fraction, seed=cfg.seed)
+    if stratum and stratum not in data.columns:
+        data = data.join(labels.select("equipment_id", stratum), "equipment_id")
+        xcols = [c for c in xcols if c != stratum]
+    data = split.split(data, "equipment_id", strata=stratum, test_fraction=cfg.test_fraction, seed=cfg.seed)
     data = data.persist()
     tm = ml.train(data.filter(F.col("split") == "train"), xcols, "rul",
                   ml.forest(cfg.trees, cfg.depth, cfg.seed))
@@ -66,8 +71,8 @@ def train_and_validate(feats: DataFrame, labels: DataFrame, cfg: JobConfig) -> T
     return TrainResult(tm, m, feats, labels)
 
 
-def train_job(spark: SparkSession, ds: files.Dataset, out: str | None, cfg: JobConfig = JobConfig()
-              ) -> TrainResult:
+def train_job(spark: SparkSession, ds: files.Dataset, out: str | None, cfg: JobConfig = JobConfig(),
+              stratify: bool = False) -> TrainResult:
     """Load → E02 clean → E03 features/labels → M04 train → M05 validate → S11 save."""
     from vigil.operators.ordered import suggest_bucket_seconds
     width = cfg.bucket_seconds or suggest_bucket_seconds(
@@ -75,10 +80,16 @@ def train_job(spark: SparkSession, ds: files.Dataset, out: str | None, cfg: JobC
     cleaned = clean.clean_and_preprocess(
         ds.sensor, ds.operational, cfg.missing_method, tiebreak=list(cfg.tiebreak),
         operational_tiebreak=list(cfg.operational_tiebreak), interpolate_by=cfg.interpolate_scope,
-        bucket_seconds=width)
+        bucket_seconds=width, zscore_threshold=cfg.zscore_threshold)
+    # E02's sink: features, labels and training read the cleaned table back instead of cleaning it again
+    if out:
+        files.write_table(cleaned, f"{out}/cleaned")
+        cleaned = spark.read.parquet(f"{out}/cleaned")
+    else:
+        cleaned = cut_lineage(cleaned)
     order = ["timestamp", *cfg.tiebreak]
     feats, labels = features_and_labels(cleaned, order)
-    res = train_and_validate(feats, labels, cfg)
+    res = train_and_validate(feats, labels, cfg, stratify)
     if out:
         res.model.save(f"{out}/model")
         files.write_table(feats, f"{out}/features")
@@ -95,14 +106,25 @@ def dataset_job(spark: SparkSession, name: str, out: str, cfg: JobConfig = JobCo
         files.write_table(ds.maintenance, f"{out}/raw/maintenance", skip_empty=True)
     if ds.operational is not None:
         files.write_table(ds.operational, f"{out}/raw/operational", skip_empty=True)
-    res = train_job(spark, ds, out, cfg)
+    res = train_job(spark, ds, out, cfg, stratify=True)
     rng = quality.expected_ranges(raw, n_sigma=cfg.range_sigmas)
     files.write_ranges_json(rng, f"{out}/expected_ranges")
     prof = profile.dataset_profile(raw).first().asDict()
+    for name_, table in profile_job(raw).items():
+        files.write_table(table, f"{out}/profile/{name_}")
     raw.unpersist()
     return {"metrics": res.metrics, "profile": {k: str(v) for k, v in prof.items()}}
 
 
+def features_job(spark: SparkSession, sensor_path: str, out: str, order: tuple[str, ...] = ("timestamp",)) -> dict[str, DataFrame]:
+    """E07, feature half: features and labels from a stored sensor table (CSV by header name, or Parquet), no training."""
+    sensor = files.read_csv(spark, sensor_path, files.SENSOR_SCHEMA) if sensor_path.endswith(".csv") else spark.read.parquet(sensor_path)
+    feats, labels = features_and_labels(sensor, order)
+    files.write_table(feats, f"{out}/features")
+    files.write_table(labels, f"{out}/labels")
+    return {"features": feats, "labels": labels}
+
+
 def simple_job(spark: SparkSession, readings: DataFrame, out: str | None = None,
                tiebreak: tuple[str, ...] = ()) -> dict:
     """Simple features → split → scaler → forest(50) → R² on train and test."""
@@ -110,7 +132,7 @@ def simple_job(spark: SparkSession, readings: DataFrame, out: str | None = None,
     data, xcols = ml.prepare_xy(sf, None, "equipment_id", "rul")
     data = split.split(data, "equipment_id").persist()
     tm = ml.train(data.filter(F.col("split") == "train"), xcols, "rul",
-                  ml.forest(ml.SIMPLE_FOREST_TREES, 30))
+                  ml.forest(ml.SIMPLE_FOREST_TREES, ml.MOST_DEPTH))
     pred = ml.predict(tm, data)
     r2 = {s: ml.regression_metrics(pred.filter(F.col("split") == s)).first()["r2"]
           for s in ("train", "test")}

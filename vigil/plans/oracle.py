@@ -7,6 +7,8 @@ as the Spark query of the same name in ``catalog``.
 
 from __future__ import annotations
 
+from vigil.plans import more
+
 
 def _ev(gaps: bool = False) -> str:
     """CTE ``rd``: events as sensor readings (FIXTURES §3), with degradation."""
@@ -82,7 +84,7 @@ FROM sc"""
 
 def asof_enrich() -> str:
     return """
-WITH p AS (SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'purchase'),
+WITH p AS (SELECT event_id, ts, user_id, value FROM events WHERE event_type <> 'view'),
      v AS (SELECT event_id AS view_event_id, ts AS view_ts, user_id, value AS view_value
            FROM events WHERE event_type = 'view')
 SELECT p.event_id, p.ts, p.user_id, round(p.value, 6) AS value, CAST(v.view_event_id AS VARCHAR) AS view_event_id,
@@ -100,8 +102,8 @@ def fleet_features() -> str:
 
 def equipment_labels() -> str:
     return "WITH " + _ev() + """,
-lp AS (SELECT equipment_id, arg_max(degradation_level, event_id) AS d
-       FROM rd WHERE event_type = 'purchase' GROUP BY equipment_id),
+lp AS (SELECT equipment_id, tool_wear / 300.0 AS d FROM rd
+       QUALIFY row_number() OVER (PARTITION BY equipment_id ORDER BY "timestamp" DESC, event_id DESC) = 1),
 lr AS (SELECT equipment_id, greatest(CAST(0.0 AS DOUBLE), (1.0 - d) * 1000.0) AS rul FROM lp)
 SELECT equipment_id, round(rul, 6) AS rul,
        round(least(rul / 1000.0, CAST(0.95 AS DOUBLE)), 6) AS failure_probability
@@ -390,7 +392,9 @@ FROM sc"""
 
 def prediction_rules() -> str:
     return """
-WITH b AS (SELECT event_id, CAST(user_id AS VARCHAR) AS equipment_id, value * 10.0 AS r0 FROM events),
+WITH b AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id AS VARCHAR) ELSE 'unknown' END AS equipment_id,
+           CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 10 = 0 THEN CAST(0.0 AS DOUBLE) ELSE (value - 20.0) * 60.0 END AS r0
+           FROM events),
 c AS (SELECT *, CASE WHEN r0 IS NULL OR isnan(r0) THEN CAST(0.0 AS DOUBLE)
                      ELSE least(greatest(r0, CAST(0.0 AS DOUBLE)), CAST(10000.0 AS DOUBLE)) END AS rul FROM b),
 d AS (SELECT *, CASE WHEN rul > 0 THEN least(rul / 1000.0, CAST(0.95 AS DOUBLE)) ELSE CAST(0.95 AS DOUBLE) END
@@ -446,7 +450,7 @@ r AS (SELECT *, CASE WHEN maintenance_priority = 'high' THEN 1 WHEN maintenance_
                      ELSE 3 END AS priority_rank FROM sc)
 SELECT event_id, equipment_id, maintenance_priority, priority_rank,
        round(failure_probability, 6) AS failure_probability, round(health_score, 6) AS health_score
-FROM r ORDER BY priority_rank, failure_probability DESC, equipment_id, event_id LIMIT 20"""
+FROM r"""
 
 
 def health_trend_daily() -> str:
@@ -478,15 +482,20 @@ FROM events"""
 
 def failure_rate() -> str:
     return """
+WITH t AS (SELECT *, CASE event_type WHEN 'error' THEN 'Bearing MALFUNCTION' WHEN 'click' THEN 'No Failure' WHEN 'signup' THEN NULL
+                          WHEN 'view' THEN 'pump failed' ELSE event_type END AS failure_text FROM events)
 SELECT 'failure_imminent' AS column_name, 'numeric' AS kind,
        round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS failure_rate_pct
-FROM events
+FROM t
 UNION ALL
-SELECT 'event_type', 'text',
-       round(CAST(count(*) FILTER (WHERE regexp_matches(lower(event_type), 'failure|fail|broken|malfunction')
-                                    AND NOT contains(lower(event_type), 'no failure')) AS DOUBLE)
+SELECT 'failure_text', 'text',
+       round(CAST(count(*) FILTER (WHERE regexp_matches(lower(failure_text), 'failure|fail|broken|malfunction')
+                                    AND NOT contains(lower(failure_text), 'no failure')) AS DOUBLE)
              * 100.0 / count(*), 6)
-FROM events"""
+FROM t
+UNION ALL
+SELECT 'fail_code', 'numeric', round(avg(CASE WHEN (user_id * 7 + event_id) % 300 > 200 THEN 1.0 ELSE 0.0 END) * 100.0, 6)
+FROM t"""
 
 
 def type_distribution() -> str:
@@ -693,4 +702,4 @@ def oracle_sql() -> dict[str, str]:
         "weighted_ensemble": weighted_ensemble(),
         "split_counts": split_counts(),
         "template_align": template_align(),
-    }
+    } | more.oracle_sql()

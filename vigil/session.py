@@ -53,14 +53,17 @@ def build_session(master: str | None = None, app: str = "vigil",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a scratch folder is
+    taken on ``local`` masters (one machine) only; on a cluster that raises, since a folder of one
+    machine is not shared.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vigil-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.sources.tables import normalize_ingest
 
 # --- canonical schemas (S01) -------------------------------------------------
+# fixed values (must equal the reference's): column names of the three canonical tables and of AI4I
 SENSOR_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("equipment_id", T.StringType()),
@@ -110,11 +111,29 @@ def require_paths(spark: SparkSession, paths: Mapping[str, str]) -> None:
         raise MissingSourceError("data file not found: " + ", ".join(missing))
 
 
+def header_schema(spark: SparkSession, path: str, declared: T.StructType) -> T.StructType:
+    """The declared fields in the order of the file's header; further columns are text.
+
+    Spark matches a CSV schema by position, so the header row of the file decides the order here.
+    Raises ``ValueError`` where a declared column is missing or a name is repeated.
+    """
+    names = spark.read.option("header", True).csv(path).columns  # reads the first line only
+    fields = {f.name: f for f in declared}
+    missing = [n for n in fields if n not in names]
+    if missing or len(set(names)) < len(names):
+        raise ValueError(f"{path}: columns missing {missing}, header {names}")
+    return T.StructType([fields.get(n, T.StructField(n, T.StringType())) for n in names])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              timestamp: str | None = "timestamp", strict: bool = True) -> DataFrame:
-    """Header CSV with a declared schema; timestamps parsed; NaN → NULL."""
+    """Header CSV; declared columns are found by name, whatever their order; timestamps parsed; NaN → NULL."""
     rdr = spark.read.option("header", True)
-    rdr = rdr.schema(schema) if schema is not None else rdr.option("inferSchema", True)
+    if schema is not None:
+        # enforceSchema=false: a file of the folder with another header raises instead of shifting columns
+        rdr = rdr.schema(header_schema(spark, path, schema)).option("enforceSchema", False)
+    else:
+        rdr = rdr.option("inferSchema", True)
     df = rdr.csv(path)
     if timestamp and timestamp in df.columns:
         df = parse_timestamps(df, timestamp, strict)
@@ -152,30 +171,41 @@ def read_cmapss(spark: SparkSession, path: str) -> DataFrame:
 def read_cmapss_rul(spark: SparkSession, path: str) -> DataFrame:
     """The RUL file (one number per line, in unit order) with its unit number."""
     txt = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    # line order is the unit number: zipWithIndex numbers lines across partitions
-    numbered = txt.rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0][0]))
-    df = spark.createDataFrame(numbered, "unit long, value string")
-    return df.select("unit", F.trim("value").try_cast("double").alias("rul"))
+    # Line order is the unit number: lines are counted per split (one row per split is ordered), then
+    # numbered inside their split.
+    lines = txt.select("value", F.monotonically_increasing_id().alias("_id")) \
+        .withColumn("_split", F.shiftright("_id", 33))
+    before = lines.groupBy("_split").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_split", (F.sum("_n").over(Window.orderBy("_split")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_split").orderBy("_id"))
+    return lines.withColumn("_k", inside).join(before, "_split").select(
+        (F.col("_before") + F.col("_k")).cast("long").alias("unit"), F.trim("value").try_cast("double").alias("rul"))
 
 
 def read_ai4i(spark: SparkSession, path: str) -> DataFrame:
-    """The raw AI4I CSV (names with spaces and brackets)."""
-    return normalize_ingest(spark.read.option("header", True).schema(AI4I_SCHEMA).csv(path))
+    """The raw AI4I CSV (names with spaces and brackets), columns by name."""
+    return read_csv(spark, path, AI4I_SCHEMA, timestamp=None)
 
 
 def read_scoring_requests(spark: SparkSession, path: str, mandatory: Sequence[str] | None = None,
                           reject: bool = True) -> DataFrame:
     """JSON readings (one record or an array per line); NULL mandatory field → reject."""
     df = spark.read.schema(SCORING_REQUEST_SCHEMA).json(path)
-    fields = list(mandatory) if mandatory is not None else [f.name for f in SCORING_REQUEST_SCHEMA]
-    if reject:
-        cond = F.col(fields[0]).isNull()
-        for c in fields[1:]:
-            cond = cond | F.col(c).isNull()
-        bad = df.filter(cond)
-        if not bad.isEmpty():
-            raise ValueError("scoring request with a missing mandatory field")
-    return df
+    good, bad = split_requests(df, mandatory)
+    if reject and not bad.isEmpty():
+        raise ValueError("scoring request with a missing mandatory field")
+    return good if reject else df
+
+
+def split_requests(requests: DataFrame, mandatory: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests to score, reject table with ``missing``: the names of the absent mandatory fields).
+
+    The equipment id is not mandatory: the single form has none and is scored as ``unknown``.
+    """
+    fields = list(mandatory) if mandatory is not None else [f.name for f in SCORING_REQUEST_SCHEMA if f.name != "equipment_id"]
+    names = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in fields])
+    marked = requests.withColumn("missing", F.filter(names, lambda x: x.isNotNull()))
+    return marked.filter(F.size("missing") == 0).drop("missing"), marked.filter(F.size("missing") > 0)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

@@ -64,10 +64,15 @@ def alert_digest_stream(readings: DataFrame, thresholds: Mapping[str, float] = R
 def rolling_stream(readings: DataFrame, columns: Sequence[str], length: str = "8 hours",
                    slide: str = "1 hour", watermark: str = "1 hour", ts: str = "timestamp",
                    by: str = "equipment_id") -> DataFrame:
-    """Sliding-window means (the W09 windows as stream windows)."""
-    return (readings.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, length, slide).alias("window"), by)
-            .agg(*[F.avg(c).alias(f"{c}_mean") for c in columns], F.count(F.lit(1)).alias("n")))
+    """Statistics of sliding windows on a stream; rows behind the watermark are dropped."""
+    return sliding_windows(readings.withWatermark(ts, watermark), columns, length, slide, ts, by)
+
+
+def sliding_windows(readings: DataFrame, columns: Sequence[str], length: str = "8 hours", slide: str = "1 hour",
+                    ts: str = "timestamp", by: str = "equipment_id") -> DataFrame:
+    """Mean, least and largest value of each column and the row count, per sliding window and equipment."""
+    stats = [f(c).alias(f"{c}_{name}") for c in columns for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return readings.groupBy(F.window(ts, length, slide).alias("window"), by).agg(*stats, F.count(F.lit(1)).alias("n"))
 
 
 def append_history(predictions: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
@@ -94,26 +99,32 @@ def _cooldown_fn(threshold: float, gap_seconds: float, trigger_col: str, flag_co
     gap = pd.Timedelta(seconds=gap_seconds)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
+        first, held = None, []
+        for p in pdfs:  # only triggered rows are held
+            if len(p):
+                first = p["timestamp"].min() if first is None else min(first, p["timestamp"].min())
+                held.append(p[p[trigger_col].gt(threshold)])
+        if first is None:
             return
-        pdf = pd.concat(frames).sort_values(["timestamp", "event_id"])
         if state.exists:
             start, last = state.get
             start = pd.Timestamp(start)
             last = pd.Timestamp(last) if last is not None else None
         else:
-            start, last = pdf["timestamp"].iloc[0], None
-        ref = last if last is not None else start
-        out = []
-        for ts, eid, trig, flag in zip(pdf["timestamp"], pdf["event_id"], pdf[trigger_col],
-                                       pdf[flag_col]):
-            if trig is not None and trig > threshold and ts - ref > gap:
-                out.append((key[0], ts, int(eid), "corrective" if flag else "preventive"))
-                ref = last = ts
+            start, last = first, None
+        pdf = pd.concat(held).sort_values(["timestamp", "event_id"], ignore_index=True)
+        times, ref, emitted = pdf["timestamp"], last if last is not None else start, []
+        # one step per emission: the first triggered row later than the last emission plus the gap
+        at = int(times.searchsorted(ref + gap, side="right"))
+        while at < len(times):
+            emitted.append(at)
+            last = times.iloc[at]
+            at = int(times.searchsorted(last + gap, side="right"))
         state.update((start.to_pydatetime(), last.to_pydatetime() if last is not None else None))
-        if out:
-            yield pd.DataFrame(out, columns=["equipment_id", "timestamp", "event_id", "maintenance_type"])
+        if emitted:
+            rows = pdf.iloc[emitted]
+            kind = rows[flag_col].fillna(False).astype(bool).map({True: "corrective", False: "preventive"})
+            yield pd.DataFrame({"equipment_id": key[0], "timestamp": rows["timestamp"], "event_id": rows["event_id"].astype("int64"), "maintenance_type": kind})
 
     return fn
 
@@ -124,26 +135,33 @@ def cooldown_stream(readings: DataFrame, threshold: float = 0.8, gap_seconds: in
     """W07 on a stream; per-equipment state = (series start, last emission).
 
     Rows of one equipment must arrive in time order across micro-batches
-    (within a batch they are sorted); rows behind the watermark are dropped.
+    (within a batch they are sorted).  Rows behind the watermark are dropped: Spark filters them
+    for event-time timeouts, which is why that mode is named here though no timeout is ever set.
     """
     src = readings.select("equipment_id", "timestamp", "event_id", trigger_col, flag_col) \
         .withWatermark("timestamp", watermark)
     return src.groupBy("equipment_id").applyInPandasWithState(
         _cooldown_fn(threshold, gap_seconds, trigger_col, flag_col), COOLDOWN_OUT, COOLDOWN_STATE,
-        "append", GroupStateTimeout.NoTimeout)
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def asof_enrich_stream(readings: DataFrame, operational: DataFrame, sink_path: str, checkpoint: str,
                        on: str = "timestamp", by: str = "equipment_id",
                        left_tiebreak: Sequence[str] = (), right_tiebreak: Sequence[str] = (),
                        trigger: dict | None = None):
-    """Each micro-batch joined as-of against the static operational table, appended to a sink."""
+    """Each micro-batch joined as-of against the static operational table.
+
+    A batch is written to the sink's ``epoch=N`` partition, overwriting it: a replayed batch replaces
+    its own rows.  Only the operational rows of the batch's equipment enter the join.
+    """
     from vigil.operators.asof import asof_join
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        enriched = asof_join(batch, operational, on=on, by=[by], left_tiebreak=list(left_tiebreak),
+        here = batch.select(F.col(by).alias("_by")).distinct()
+        static = operational.join(here, operational[by].eqNullSafe(F.col("_by")), "left_semi")
+        enriched = asof_join(batch, static, on=on, by=[by], left_tiebreak=list(left_tiebreak),
                              right_tiebreak=list(right_tiebreak))
-        enriched.write.mode("append").parquet(sink_path)
+        enriched.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
 
     w = readings.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
