@@ -88,6 +88,24 @@ ACTION_PLANS = (
     (40.0, "Immediate Attention Needed"),
 )
 ACTION_PLAN_FLOOR = "Emergency Shutdown Recommended"
+ACTION_LINES = {
+    "Normal Operation": ("Continue routine monitoring", "Next comprehensive check in 30 days", "No immediate action required"),
+    "Monitoring Required": ("Increase monitoring frequency to weekly", "Schedule maintenance within 2-4 weeks",
+                            "Check specific components identified in analysis"),
+    "Immediate Attention Needed": ("Schedule maintenance within 1 week", "Prepare replacement parts if needed",
+                                   "Increase monitoring to daily", "Consider reducing equipment load"),
+    "Emergency Shutdown Recommended": ("Stop equipment immediately if safe to do so", "Notify maintenance team urgently",
+                                       "Prepare for emergency repair", "Investigate root cause after stabilization"),
+}
+# recommendation: (probability above, RUL hours below, text), first match wins
+RECOMMENDATION_STEPS = ((0.8, 24, REC_CRITICAL), (0.6, 168, REC_HIGH), (0.3, 720, REC_MEDIUM))
+# risk by probability above, impact by health below
+RISK_STEPS, RISK_FLOOR = ((0.7, "High"), (0.3, "Medium")), "Low"
+IMPACT_STEPS, IMPACT_FLOOR = ((40, "High"), (60, "Medium")), "Low"
+# RUL band by days above; grid status by health above; gauge zone by share of the range below
+RUL_BAND_STEPS, RUL_BAND_NONE, RUL_BAND_FLOOR = ((30, "green"), (7, "orange")), "IMMEDIATE", "red"
+GRID_STEPS, GRID_FLOOR = ((80, "green"), (60, "yellow"), (40, "orange")), "red"
+GAUGE_STEPS, GAUGE_FLOOR, GAUGE_ALARM_SHARE = ((0.6, "normal"), (0.8, "warning")), "critical", 0.9
 CARD_IMMEDIATE = "IMMEDIATE ACTION REQUIRED"
 CARD_SCHEDULE = "SCHEDULE MAINTENANCE"
 CARD_NORMAL = "OPERATING NORMALLY"
@@ -98,6 +116,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _steps(steps: list[tuple[Column, str]], floor: str) -> Column:
+    """CASE chain: the text of the first condition that holds, else ``floor``."""
+    expr = F
+    for cond, text in steps:
+        expr = expr.when(cond, F.lit(text))
+    return expr.otherwise(F.lit(floor))
+
+
 def clamp_rul(rul, clamp: bool = True) -> Column:
     """NULL/NaN → 0, else clamp to [0, 10000] (``clamp=False``: root variant)."""
     r = _c(rul)
@@ -127,10 +153,7 @@ def confidence(rul) -> Column:
 def recommendation(rul, prob) -> Column:
     """R04 (LOW is unreachable together with R02; kept as in the reference)."""
     r, p = _c(rul), _c(prob)
-    return (F.when((p > 0.8) | (r < 24), F.lit(REC_CRITICAL))
-            .when((p > 0.6) | (r < 168), F.lit(REC_HIGH))
-            .when((p > 0.3) | (r < 720), F.lit(REC_MEDIUM))
-            .otherwise(F.lit(REC_LOW)))
+    return _steps([((p > above) | (r < below), text) for above, below, text in RECOMMENDATION_STEPS], REC_LOW)
 
 
 def failure_date(rul, as_of) -> Column:
@@ -201,14 +224,12 @@ def decision(prob, health) -> Column:
 
 def risk_level(prob) -> Column:
     """R12."""
-    p = _c(prob)
-    return F.when(p > 0.7, F.lit("High")).when(p > 0.3, F.lit("Medium")).otherwise(F.lit("Low"))
+    return _steps([(_c(prob) > cut, text) for cut, text in RISK_STEPS], RISK_FLOOR)
 
 
 def impact_level(health) -> Column:
     """R13."""
-    h = _c(health)
-    return F.when(h < 40, F.lit("High")).when(h < 60, F.lit("Medium")).otherwise(F.lit("Low"))
+    return _steps([(_c(health) < cut, text) for cut, text in IMPACT_STEPS], IMPACT_FLOOR)
 
 
 def urgency_label(priority) -> Column:
@@ -227,32 +248,25 @@ def days_remaining(rul) -> Column:
 def rul_band(rul) -> Column:
     """R15 band: IMMEDIATE when rul <= 0, else green (>30 days) / orange (>7 days) / red."""
     r = _c(rul)
-    d = r / 24.0
-    return (F.when(r <= 0, F.lit("IMMEDIATE"))
-            .when(d > 30, F.lit("green"))
-            .when(d > 7, F.lit("orange"))
-            .otherwise(F.lit("red")))
+    return _steps([(r <= 0, RUL_BAND_NONE), *[(r / 24.0 > days, text) for days, text in RUL_BAND_STEPS]], RUL_BAND_FLOOR)
 
 
 def grid_status(health) -> Column:
     """Strict cut-offs >80 / >60 / >40 (differs from R08 at the edges)."""
-    h = _c(health)
-    return (F.when(h > 80, F.lit("green")).when(h > 60, F.lit("yellow"))
-            .when(h > 40, F.lit("orange")).otherwise(F.lit("red")))
+    return _steps([(_c(health) > cut, text) for cut, text in GRID_STEPS], GRID_FLOOR)
 
 
 def gauge_zone(value, sensor: str) -> Column:
     """Position in [min, max]; <60 % normal, <80 % warning, else alarm zone."""
     lo, hi = GAUGE_RANGES[sensor]
     frac = (_c(value) - lo) / (hi - lo)
-    return (F.when(frac < 0.6, F.lit("normal")).when(frac < 0.8, F.lit("warning"))
-            .otherwise(F.lit("critical")))
+    return _steps([(frac < share, text) for share, text in GAUGE_STEPS], GAUGE_FLOOR)
 
 
 def gauge_alarm(value, sensor: str) -> Column:
     """R17 alarm line at 90 % of the gauge range."""
     lo, hi = GAUGE_RANGES[sensor]
-    return _c(value) > lo + (hi - lo) * 0.9
+    return _c(value) > lo + (hi - lo) * GAUGE_ALARM_SHARE
 
 
 def card_class(rec, high_branch: bool = False) -> Column:
@@ -273,6 +287,14 @@ def action_plan(health) -> Column:
     return expr.otherwise(F.lit(ACTION_PLAN_FLOOR))
 
 
+def action_lines(health) -> Column:
+    """The lines of the plan, in order."""
+    plan, expr = action_plan(health), F
+    for title, lines in ACTION_LINES.items():
+        expr = expr.when(plan == title, F.array(*[F.lit(x) for x in lines]))
+    return expr.otherwise(F.lit(None))
+
+
 def health_scale_6(health) -> Column:
     """Documentation scale 90/80/70/60/40."""
     h = _c(health)

@@ -250,6 +250,14 @@ def q_alert_digests(spark, sf_dir):
     return finish(now.unionByName(daily))
 
 
+def q_action_lines(spark, sf_dir):
+    """Title and lines of every reading's action plan."""
+    from vigil.functions import rules as R
+    from vigil.operators.fleet import score_batch
+    sc = score_batch(_rd(spark, sf_dir))
+    return finish(sc.select("event_id", R.action_plan("health_score").alias("title"), F.concat_ws("; ", R.action_lines("health_score")).alias("lines")))
+
+
 def queries() -> dict:
     return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
 
@@ -257,6 +265,7 @@ def queries() -> dict:
 # --- SQL --------------------------------------------------------------------------
 
 def oracle_sql() -> dict[str, str]:
+    from vigil.functions import rules as R
     from vigil.plans.oracle import _ev, _ranges_union, _scored
     rd, gaps, sensors = "WITH " + _ev(), "WITH " + _ev(True), EVENT_SENSORS
     flag = {c: f"CASE WHEN k % {n} = 0 THEN 1 ELSE 0 END" for c, n in (("TWF", 2), ("HDF", 3), ("PWF", 5), ("OSF", 7), ("RNF", 11))}
@@ -356,6 +365,10 @@ FROM x GROUP BY 1, 2""",
         "alert_digests": f"""{rd},
 l AS (SELECT 'temperature' AS sensor, temperature AS value, 314.0 AS t FROM rd UNION ALL SELECT 'vibration', vibration, 3.06 FROM rd UNION ALL SELECT 'tool_wear', tool_wear, 250.0 FROM rd)
 SELECT kind, sensor, CAST(count(*) AS BIGINT) AS n, round(max(value), 6) AS max_value FROM l, (SELECT unnest(['immediate', 'daily']) AS kind) WHERE value > t GROUP BY 1, 2""",
+        "action_lines": "WITH " + _scored() + """,
+t AS (SELECT event_id, CASE WHEN health_score >= 80 THEN 'Normal Operation' WHEN health_score >= 60 THEN 'Monitoring Required'
+      WHEN health_score >= 40 THEN 'Immediate Attention Needed' ELSE 'Emergency Shutdown Recommended' END AS title FROM sc)
+SELECT event_id, title, CASE title """ + " ".join(f"WHEN '{k}' THEN '{'; '.join(v)}'" for k, v in R.ACTION_LINES.items()) + """ END AS lines FROM t""",
         "rf_train_score": """
 WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events)
 SELECT 'test' AS split, CAST(ceil(0.2 * n) AS BIGINT) AS n, true AS in_range, true AS beats_mean FROM n
