@@ -113,7 +113,6 @@ def test_outlier_sequential_matches_loop(spark):
 
 
 def test_exact_median_narrowing(spark, monkeypatch):
-    monkeypatch.setattr(clean, "MEDIAN_MAX_CANDIDATES", 16)
     monkeypatch.setattr(clean, "MEDIAN_BINS", 8)
     rnd = np.random.default_rng(5)
     for n in (1, 2, 101, 1000):
@@ -167,7 +166,6 @@ def test_fill_scan_matches_brute_force(spark):
 
 
 def test_exact_median_with_infinities(spark, monkeypatch):
-    monkeypatch.setattr(clean, "MEDIAN_MAX_CANDIDATES", 4)
     for vals in ([float("-inf"), 1.0, 2.0, 3.0, float("inf"), 5.0, 6.0],
                  [float("inf")] * 5 + [1.0, 2.0],
                  [float("-inf")] * 4 + [1.0]):

@@ -4,9 +4,8 @@
   last value, then a back-fill for leading NULLs — exactly pandas'
   ``interpolate(method='linear')`` followed by ``bfill``.  Runs through the
   skew-safe ordered scan, per equipment (default) or table-wide.
-* ``exact_median``: exact (interpolated) median without collecting the column:
-  repeated equal-width histograms narrow the candidate range; only a bounded
-  number of candidates ever reaches the driver.
+* ``exact_medians``: exact (interpolated) medians without collecting a column:
+  repeated equal-width histograms, of all columns in one pass, narrow the candidate ranges.
 * ``remove_outliers``: the sequential per-column z-score filter.  Each column's
   moments are computed on the rows that survived the previous columns (one
   small aggregate per column, applied as literals, so the plan grows linearly).
@@ -28,9 +27,8 @@ from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, ordered_scan, time_b
 ZSCORE_THRESHOLD = 3.0
 ZSCORE_MIN_COUNT = 10
 
-# bounded driver transfer for the exact median
+# histogram rows per open value and pass of the exact median
 MEDIAN_BINS = 4096
-MEDIAN_MAX_CANDIDATES = 4096
 
 
 def _order(ts: str, tiebreak: Sequence[str]) -> list[Column]:
@@ -80,49 +78,6 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.agg(*exprs).withColumn("total_missing", total)
 
 
-def _kth_value(values: DataFrame, k: int, n: int, mn: float, mx: float) -> float:
-    """k-th (0-based) smallest of column ``_v`` of ``values`` (n non-NULL rows)."""
-    lo, hi, below, cnt = mn, mx, 0, n
-    # infinities can only sit at the ends: step past them so the histogram range stays finite
-    while True:
-        if lo == hi:
-            return lo
-        if lo == float("-inf") or hi == float("inf"):
-            c_lo = values.filter(F.col("_v") == float("-inf")).count() if lo == float("-inf") else 0
-            c_hi = values.filter(F.col("_v") == float("inf")).count() if hi == float("inf") else 0
-            if k < below + c_lo:
-                return float("-inf")
-            if k >= below + cnt - c_hi:
-                return float("inf")
-            finite = values.filter((F.col("_v") > float("-inf")) & (F.col("_v") < float("inf"))
-                                   & (F.col("_v") >= lo) & (F.col("_v") <= hi))
-            st = finite.agg(F.min("_v").alias("a"), F.max("_v").alias("b")).first()
-            lo, hi, below, cnt = st["a"], st["b"], below + c_lo, cnt - c_lo - c_hi
-            continue
-        cand = values.filter((F.col("_v") >= lo) & (F.col("_v") <= hi))
-        if cnt <= MEDIAN_MAX_CANDIDATES:
-            vals = sorted(r[0] for r in cand.collect())
-            return vals[k - below]
-        # halves keep the width finite on any range; a range too narrow to divide has few distinct values
-        width = (hi / 2 - lo / 2) / MEDIAN_BINS
-        if width <= 0.0 or (lo / 2 + width) == lo / 2:
-            return _kth_of_distinct(cand, k - below)
-        b = F.greatest(F.lit(0), F.least(F.floor((F.col("_v") / 2 - F.lit(lo / 2)) / F.lit(width)).cast("long"),
-                                         F.lit(MEDIAN_BINS - 1)))
-        hist = (cand.groupBy(b.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-                .collect())
-        hist.sort(key=lambda r: r["b"])
-        acc, was = below, (lo, hi)
-        for r in hist:
-            if k < acc + r["n"]:
-                lo, hi, below, cnt = r["lo"], r["hi"], acc, r["n"]
-                break
-            acc += r["n"]
-        if (lo, hi) == was:  # a round must narrow the range
-            return _kth_of_distinct(values.filter((F.col("_v") >= lo) & (F.col("_v") <= hi)), k - below)
-
-
 def _kth_of_distinct(values: DataFrame, k: int) -> float:
     """k-th smallest by the running count of distinct values; used where a range spans only neighbouring doubles."""
     counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("n"))
@@ -130,35 +85,99 @@ def _kth_of_distinct(values: DataFrame, k: int) -> float:
     return counts.withColumn("_upto", upto).filter(F.col("_upto") > k).agg(F.min("_v")).first()[0]
 
 
-def exact_median(df: DataFrame, column: str) -> float | None:
-    """Exact median (mean of the two middle values when n is even)."""
-    values = df.select(F.col(f"`{column}`").cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+@dataclass
+class _Target:
+    """The k-th (0-based) smallest finite value of a column, known to lie in [lo, hi] with ``below`` values under lo."""
+    column: int
+    k: int
+    lo: float
+    hi: float
+    below: int = 0
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact median (mean of the two middle values when n is even) of several columns.
+
+    One pass reads the extremes of all columns; each further pass histograms the open range of every
+    middle value into ``MEDIAN_BINS`` equal widths and narrows it to one bin's own extremes, until one value is
+    left.  A pass that cannot narrow a range (neighbouring doubles) counts its few distinct values instead.
+    At most ``MEDIAN_BINS`` rows per open value reach the driver.  NaN counts as NULL.
+    """
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    narrow = df.select(*[F.when(~F.isnan(v), v).alias(f"_v{i}") for i, v in enumerate(x)]).persist(StorageLevel.MEMORY_AND_DISK)
+    inf = float("inf")
     try:
-        st = values.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"),
-                        F.max("_v").alias("mx")).first()
-        n = st["n"]
-        if not n:
-            return None
-        k1, k2 = (n - 1) // 2, n // 2
-        v1 = _kth_value(values, k1, n, st["mn"], st["mx"])
-        v2 = v1 if k2 == k1 else _kth_value(values, k2, n, st["mn"], st["mx"])
-        return (v1 + v2) / 2.0
+        stats = []
+        for i in range(len(columns)):
+            v = F.col(f"_v{i}")
+            finite = F.when((v > -inf) & (v < inf), v)
+            stats += [F.count(v).alias(f"n{i}"), F.count_if(v == -inf).alias(f"a{i}"), F.count_if(v == inf).alias(f"z{i}"),
+                      F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
+        row = narrow.agg(*stats).first() if stats else None
+        found: dict[tuple[int, int], float] = {}
+        todo: list[_Target] = []
+        middles = {}
+        for i in range(len(columns)):
+            n, first, last = row[f"n{i}"], row[f"a{i}"], row[f"z{i}"]
+            middles[i] = sorted({(n - 1) // 2, n // 2}) if n else []
+            for k in middles[i]:  # infinities lie at the ends
+                if k < first:
+                    found[i, k] = -inf
+                elif k >= n - last:
+                    found[i, k] = inf
+                else:
+                    todo.append(_Target(i, k, row[f"lo{i}"], row[f"hi{i}"], first))
+        while todo:
+            open_ = []
+            for t in todo:
+                width = (t.hi / 2 - t.lo / 2) / MEDIAN_BINS  # halves keep the width finite on any range
+                if t.lo == t.hi:
+                    found[t.column, t.k] = t.lo
+                elif width <= 0.0 or t.lo / 2 + width == t.lo / 2:
+                    v = F.col(f"_v{t.column}")
+                    found[t.column, t.k] = _kth_of_distinct(narrow.filter(v.between(t.lo, t.hi)).select(v.alias("_v")), t.k - t.below)
+                else:
+                    open_.append((t, width))
+            if not open_:
+                break
+            cells = []
+            for number, (t, width) in enumerate(open_):
+                v = F.col(f"_v{t.column}")
+                b = F.least(F.greatest(F.floor((v / 2 - F.lit(t.lo / 2)) / F.lit(width)), F.lit(0)), F.lit(MEDIAN_BINS - 1)).cast("int")
+                cells.append(F.when(v.between(t.lo, t.hi), F.struct(F.lit(number).alias("t"), b.alias("b"), v.alias("v"))))
+            hist = (narrow.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("t", "b")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+            todo = []
+            for number, (t, _) in enumerate(open_):
+                below, was = t.below, (t.lo, t.hi)
+                for r in sorted((r for r in hist if r["t"] == number), key=lambda r: r["b"]):
+                    if t.k < below + r["n"]:
+                        t = _Target(t.column, t.k, r["lo"], r["hi"], below)
+                        break
+                    below += r["n"]
+                if (t.lo, t.hi) == was:  # a pass must narrow the range
+                    v = F.col(f"_v{t.column}")
+                    found[t.column, t.k] = _kth_of_distinct(narrow.filter(v.between(t.lo, t.hi)).select(v.alias("_v")), t.k - t.below)
+                else:
+                    todo.append(t)
+        out: dict[str, float | None] = {}
+        for i, c in enumerate(columns):
+            values = [found[i, k] for k in middles[i]]
+            out[c] = None if not values else values[0] if values[0] == values[-1] else (values[0] + values[-1]) / 2.0
+        return out
     finally:
-        values.unpersist()
+        narrow.unpersist()
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """A14 for one column."""
+    return exact_medians(df, [column])[column]
 
 
 def median_impute(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A14 branch of E01: NULL → table-wide exact median, per column."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    fills = {}
-    for c in cols:
-        m = exact_median(df, c)
-        if m is not None:
-            fills[c] = m
-    out = {}
-    for c, m in fills.items():
-        out[c] = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m))
+    out = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m)) for c, m in exact_medians(df, cols).items() if m is not None}
     return df.withColumns(out) if out else df
 
 
