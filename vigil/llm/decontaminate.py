@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from vigil.llm.common import written
 
 PATTERN_CHARS = 32 << 20
-SLICE_BYTES, STRETCH = 4 << 20, 512
+SLICE_BYTES, STRETCH, OPEN = 4 << 20, 512, 1 << 22
 #: Word bytes: 0-9, A-Z (lower-cased), a-z and every byte of a character beyond ASCII.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -76,10 +76,13 @@ class Searcher:
             live = cursor < stop
             cursor, stop = cursor[live], stop[live]
         at = np.concatenate(zero) if zero else np.zeros(0, np.int64)
-        found_at, found = [], []
-        for lo in range(0, len(at), 1 << 16):  # buckets are opened in bounded runs
-            run = at[lo:lo + (1 << 16)]
-            code = self._code(text[run], text[run - 1] if self.b == 2 else np.zeros(len(run), text.dtype))
+        found_at, found, lo = [], [], 0
+        codes = self._code(text[at], text[at - 1] if self.b == 2 else np.zeros(len(at), text.dtype))
+        opened = np.cumsum(self.first[codes + 1] - self.first[codes])
+        while lo < len(at):  # buckets are opened in runs of about OPEN comparisons
+            hi = max(lo + 1, int(np.searchsorted(opened, (opened[lo - 1] if lo else 0) + OPEN, side="right")))
+            run, code = at[lo:hi], codes[lo:hi]
+            lo = hi
             n = self.first[code + 1] - self.first[code]
             where = np.repeat(run - self.m + 1, n)
             which = self.bucket[np.repeat(self.first[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]

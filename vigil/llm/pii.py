@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,10 +117,9 @@ class Tokens:
 
     def labels(self, spans: list[tuple[int, int, int]]) -> list[int]:
         """0 for O, else 1 + kind of the first base span that overlaps the token."""
-        out = [0] * len(self.spans)
+        out, ends = [0] * len(self.spans), [e for _, e in self.spans]
         for kind, a, b in sorted(spans, key=lambda s: s[1]):
-            lo = int(np.searchsorted([e for _, e in self.spans], a, side="right")) if len(self.spans) > 64 else 0
-            for k in range(lo, len(self.spans)):
+            for k in range(bisect_right(ends, a), len(self.spans)):
                 x, y = self.spans[k]
                 if x >= b:
                     break
