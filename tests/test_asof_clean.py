@@ -179,6 +179,11 @@ def test_suggest_bucket_seconds(spark):
     rows = [("hot", D(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(600)]
     rows += [("cold", D(2024, 1, 1) + dt.timedelta(days=i)) for i in range(10)]
     df = spark.createDataFrame(rows, "k string, t timestamp")
-    w = suggest_bucket_seconds(df, "k", "t", target_rows=100)
-    assert 5900 <= w <= 6100          # ~100 rows of the hot key per bucket
-    assert suggest_bucket_seconds(df, "k", "t", target_rows=10 ** 9) == 30 * 86400
+    assert suggest_bucket_seconds(df, "k", "t", target_rows=100) == 3600     # 60 rows of the hot key in an hour
+    assert suggest_bucket_seconds(df, "k", "t", target_rows=10 ** 9) >= 365 * 86400
+    # a burst of 500 rows in ten seconds in a long quiet history
+    burst = df.unionByName(spark.range(500).select(F.lit("cold").alias("k"), F.timestamp_micros(F.lit(1704800000000000) + F.col("id") * 20000).alias("t")))
+    for target in (60, 100, 300, 1000):
+        w = suggest_bucket_seconds(burst, "k", "t", target_rows=target)
+        most = burst.groupBy("k", F.floor(F.unix_micros("t") / F.lit(w * 1_000_000))).count().agg(F.max("count")).first()[0]
+        assert most <= target, (target, w, most)

@@ -214,22 +214,18 @@ def packed_order(ts: Column, tiebreak: Column | None = None) -> Column:
     return (t * F.lit(Decimal(2 ** 64)).cast(_DEC) + shifted).cast(_DEC)
 
 
-def suggest_bucket_seconds(df: DataFrame, by, ts: str, target_rows: int = 2_000_000,
-                           min_seconds: int = 1, max_seconds: int = 30 * 86400) -> int:
-    """Order-bucket width that keeps one bucket of the densest key near ``target_rows`` rows.
+def suggest_bucket_seconds(df: DataFrame, by, ts: str, target_rows: int = 2_000_000) -> int:
+    """Order-bucket width of which no bucket of any key holds more than ``target_rows`` rows.
 
-    One small aggregate (rows and time span per key, then the densest key) —
-    the result is a single number, used for every key: the hottest key's
-    buckets stay at about ``target_rows``, sparser keys get fewer rows per bucket.
+    Rows are counted per key and hour; with at most ``m`` in an hour, ``target_rows / m`` hours hold no more than
+    ``target_rows``.  Where one hour holds more than that, rows are counted per second, so a burst is split down
+    to single seconds.  One number reaches the driver; rows without a time are left out.
     """
     keys = _keys(by)
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        (F.max(F.unix_micros(F.col(ts))) - F.min(F.unix_micros(F.col(ts)))).alias("_span"))
-    dens = per_key.select((F.col("_n") / F.greatest(F.col("_span") / 1e6, F.lit(1.0))).alias("_rps"))
-    row = dens.agg(F.max("_rps").alias("m")).first()
-    rows_per_second = row["m"] or 0.0
-    if rows_per_second <= 0:
-        return max_seconds
-    width = int(target_rows / rows_per_second)
-    return max(min_seconds, min(max_seconds, width))
+    for unit in (3600, 1):
+        slot = F.floor(F.unix_micros(F.col(ts)) / F.lit(unit * 1_000_000)).alias("_slot")
+        counts = df.filter(F.col(ts).isNotNull()).groupBy(*keys, slot).agg(F.count(F.lit(1)).alias("_n"))
+        densest = counts.agg(F.max("_n")).first()[0] or 1
+        if densest <= target_rows:
+            return unit * (target_rows // densest)
+    return 1

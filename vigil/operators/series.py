@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import fill_scan, join_on_keys, time_bucket
+from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, fill_scan, join_on_keys, time_bucket
 from vigil.session import cut_lineage, ensure_checkpoint_dir
 
 # fixed values (must equal the reference's)
@@ -271,11 +271,11 @@ def health_trend_daily(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 def spine_asof(spine: DataFrame, readings: DataFrame, columns: Sequence[str],
                by: str = "equipment_id", ts: str = "timestamp",
-               tiebreak: Sequence[str] = ()) -> DataFrame:
+               tiebreak: Sequence[str] = (), bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """W08 + J01: spine points enriched with the last reading at or before them."""
     from vigil.operators.asof import asof_join
     right = readings.select(by, ts, *tiebreak, *columns)
-    return asof_join(spine, right, on=ts, by=[by], right_tiebreak=list(tiebreak))
+    return asof_join(spine, right, on=ts, by=[by], right_tiebreak=list(tiebreak), bucket_seconds=bucket_seconds)
 
 
 __all__ = ["cooldown_events", "maintenance_from_cooldown", "daily_spine", "rolling_features",

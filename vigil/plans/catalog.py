@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vigil.functions import rules as R
 from vigil.operators import clean, features, fleet, ml, normalize, profile, quality, series, split
 from vigil.operators.asof import asof_join
+from vigil.operators.ordered import suggest_bucket_seconds
 from vigil.plans import more, stored
 from vigil.plans.readings import (EVENT_SENSORS, LINEITEM_SENSORS, event_readings, events_base,
                                   lineitem_readings)
@@ -33,6 +34,11 @@ ALERT_SENSORS = ("temperature", "vibration", "tool_wear")
 CORR_COLUMNS = (*EVENT_SENSORS, "failure_probability")
 
 
+def _width(df: DataFrame, by: str = "equipment_id", ts: str = "timestamp") -> int:
+    """Order-bucket width of the ordered scans, from the densest hour of any key."""
+    return suggest_bucket_seconds(df.select(by, ts), by, ts)
+
+
 def _scored(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     return fleet.score_batch(event_readings(spark, sf_dir, with_degradation=False, gaps=gaps))
 
@@ -68,14 +74,14 @@ def q_heuristic_labels(spark, sf_dir):
 def q_simple_features(spark, sf_dir):
     """A05 + A06: simple feature row with the temperature trend per equipment."""
     rd = event_readings(spark, sf_dir, with_degradation=False)
-    return finish(features.simple_features(rd, "equipment_id", "timestamp", ["event_id"]))
+    return finish(features.simple_features(rd, "equipment_id", "timestamp", ["event_id"], _width(rd)))
 
 
 def q_temperature_trend(spark, sf_dir):
     """Least-squares slope of temperature on row position per equipment."""
     rd = event_readings(spark, sf_dir, with_degradation=False).select(
         "equipment_id", "timestamp", "event_id", "temperature")
-    pos = features.with_positions(rd, "equipment_id", "timestamp", ["event_id"], out="position")
+    pos = features.with_positions(rd, "equipment_id", "timestamp", ["event_id"], out="position", bucket_seconds=_width(rd))
     return finish(pos.groupBy("equipment_id").agg(
         features.trend_expr("temperature", "position").alias("temperature_trend"),
         F.count(F.lit(1)).alias("n")))
@@ -131,7 +137,7 @@ def q_asof_enrich(spark, sf_dir):
         F.col("event_id").alias("view_event_id"), "ts", F.col("ts").alias("view_ts"), "user_id",
         F.col("value").alias("view_value"))
     out = asof_join(left, right, on="ts", by="user_id", left_tiebreak="event_id",
-                    right_tiebreak="view_event_id")
+                    right_tiebreak="view_event_id", bucket_seconds=_width(ev, "user_id", "ts"))
     # the matched id is NULL for unmatched rows: returned as text so that no
     # engine's nullable-integer conversion (float vs Int64) changes its value
     return finish(out.withColumn("view_event_id", F.col("view_event_id").cast("string")))
@@ -152,7 +158,7 @@ def q_clean_enrich(spark, sf_dir):
         F.col("event_id").alias("view_event_id"), F.col("value").alias("production_rate"))
     out = clean.clean_and_preprocess(sensor, oper, "interpolate", tiebreak=["event_id"],
                                      operational_tiebreak=["view_event_id"],
-                                     outlier_columns=["value", "k"])
+                                     outlier_columns=["value", "k"], bucket_seconds=_width(ev, "user_id", "ts"))
     return finish(out.withColumn("view_event_id", F.col("view_event_id").cast("string")))
 
 
@@ -161,7 +167,7 @@ def q_interpolate_gaps(spark, sf_dir):
     rd = event_readings(spark, sf_dir, with_degradation=False, gaps=True).select(
         "event_id", "timestamp", "equipment_id", "value")
     out = clean.interpolate_linear(rd, ["value"], by="equipment_id", ts="timestamp",
-                                   tiebreak=["event_id"])
+                                   tiebreak=["event_id"], bucket_seconds=_width(rd))
     return finish(out.select("event_id", "equipment_id", "value"))
 
 
@@ -347,7 +353,7 @@ def q_daily_spine_asof(spark, sf_dir):
         "event_id", F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("equipment_id"),
         "value")
     sp = series.daily_spine(rd, "equipment_id", "timestamp")
-    out = series.spine_asof(sp, rd, ["value"], "equipment_id", "timestamp", ["event_id"])
+    out = series.spine_asof(sp, rd, ["value"], "equipment_id", "timestamp", ["event_id"], _width(rd))
     return finish(out.select("equipment_id", "timestamp", "event_id", "value"))
 
 
@@ -365,7 +371,7 @@ def q_degradation_curve(spark, sf_dir):
     """Progress-based degradation curve per user."""
     rd = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id"]).select(
         "event_id", F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("equipment_id"))
-    out = features.degradation_curve(rd, "equipment_id", "timestamp", ["event_id"])
+    out = features.degradation_curve(rd, "equipment_id", "timestamp", ["event_id"], bucket_seconds=_width(rd))
     return finish(out.select("event_id", "equipment_id", "progress", "degradation_curve", "failing"))
 
 
