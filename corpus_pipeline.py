@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, jaccard, mixing, quality, tokens
 from vigil.llm.common import new_dir, table, without, written
-from vigil.llm.queries import trusted_documents
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text lies in the range of their language."""
-    rows = docs.select("doc_id", "text", "lang")
-    scores = quality.judge(quality.perplexity(trusted_documents(rows, table(spark, sf_dir, "labels"))))
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    scores = quality.judge(quality.perplexity(docs.select("doc_id", "text", "lang"), trusted))
     rejected = scores.filter("NOT keep").select(F.col("id").alias("doc_id"), F.col("key").alias("_key"))
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("lang", F.lit("und")), "text"))
     return without(keyed, rejected, ["doc_id", "_key"]).select(*docs.columns)

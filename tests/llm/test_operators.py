@@ -88,10 +88,11 @@ def plain_kneser_ney(trained, text, order=5):
 def test_perplexity_equals_plain_model_in_any_number_of_shards(docs_of):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 30))) for _ in range(40)] + ["ZZZ!! été", None, ""]
-    docs = docs_of(texts, langs=["en"] * 41 + [None, None], extra=("key", "unseen", "x")).withColumn("trusted", F.col("doc_id") <= 30)
+    docs = docs_of(texts, langs=["en"] * 41 + [None, None], extra=("key", "unseen", "trusted"))
+    trusted = docs.filter("doc_id <= 30").select("doc_id").union(docs.limit(3).select("doc_id"))
     trained = [t.encode() for k, t in enumerate(texts[:30], 1) if zlib.crc32(str(k).encode()) % 3 != 0]
     for size in (quality.SHARD_GRAMS, 300):
-        got = rows(quality.perplexity(docs, shard_grams=size), "id")
+        got = rows(quality.perplexity(docs, trusted, shard_grams=size), "id")
         assert len(got) == 43 and got[42].perplexity is None and got[43].perplexity is None and got[42].lang == "und"
         for k in (1, 2, 31, 40, 41):
             assert got[k].perplexity == pytest.approx(plain_kneser_ney(trained, texts[k - 1].encode()), rel=1e-9)
@@ -106,10 +107,11 @@ def test_quality_keeps_trusted_text_and_drops_junk(spark):
 
 
 def test_quality_without_trusted_rows_or_rows(docs_of):
-    docs = docs_of(["abc abc", None]).withColumn("trusted", F.lit(False))
-    got = rows(quality.judge(quality.perplexity(docs)), "id")
+    docs = docs_of(["abc abc", None])
+    none = docs.limit(0).select("doc_id")
+    got = rows(quality.judge(quality.perplexity(docs, none)), "id")
     assert got[1].keep and not got[2].keep
-    assert quality.judge(quality.perplexity(docs.limit(0))).count() == 0
+    assert quality.judge(quality.perplexity(docs.limit(0), none)).count() == 0
 
 
 # --- 3 fingerprints
@@ -390,6 +392,42 @@ def test_shared_folder_is_that_of_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_flags_and_drops_do_not_depend_on_the_size_of_the_list(spark, monkeypatch, limit):
+    from vigil.llm import common
+    monkeypatch.setattr(common, "DROP_ROWS", limit)
+    rows_ = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (3, None)], "id long, t string")
+    ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "x long")
+    assert sorted((r.id or 0, r.f) for r in common.flagged(rows_, ids, "id", "f").collect()) == [(0, False), (1, True), (1, True), (2, False), (3, False)]
+    drop = spark.createDataFrame([(2, "b"), (None, "c"), (3, "x")], "id long, t string")
+    assert sorted((r.id, r.t or "") for r in common.without(rows_, drop, ["id", "t"]).collect()) == [(1, "a"), (1, "a"), (3, "")]
+
+
+def test_large_candidate_lists_are_joined(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "CANDIDATE_ROWS", 0)
+    text = "a b c d e f g h i j k l m n o p q r s t"
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs_of([text, text + " u", "x y z", text + " u"]), k=3, num=9, den=10).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_pipeline_stages_keep_the_columns_and_do_their_work(spark, docs_of):
+    import corpus_pipeline
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_duplicates", "decontaminate", "mix", "tokens"] and corpus_pipeline.ORACLE_SQL is None
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    body = " ".join(f"w{k}" for k in range(60))
+    docs = docs_of([body, body, body + " more", f"before {item} after", None, ""], ids=[4, 2, 7, 9, 10, 11], extra=("spans", "_key"))
+    near, clean_, mixed, files_ = (f for _, f in corpus_pipeline.STAGES[1:])
+    kept = near(spark, docs, SMALL)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 9, 10, 11]
+    left = clean_(spark, kept, SMALL)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 10, 11]
+    copies = mixed(spark, left, SMALL)
+    assert copies.columns == docs.columns and {r.doc_id for r in copies.collect()} <= {2, 10, 11}
+    out = files_(spark, copies, SMALL)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == copies.count()
+
+
 def test_every_operator_query_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
     assert names == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())

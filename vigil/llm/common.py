@@ -66,17 +66,25 @@ def without(rows: DataFrame, drop: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(drop) if at_most(drop, DROP_ROWS) else drop, same, "left_anti")
 
 
-def join_side(left: DataFrame, side: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+def flagged(rows: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: whether ``key`` is in the one column of ``ids``; wide rows move only where ``ids`` is large."""
+    ids = ids.select(F.col(ids.columns[0]).alias("_flagged")).filter("_flagged IS NOT NULL").distinct()
+    side = F.broadcast(ids) if at_most(ids, DROP_ROWS) else ids
+    return rows.join(side, rows[key] == F.col("_flagged"), "left").withColumn(flag, F.col("_flagged").isNotNull()).drop("_flagged")
+
+
+def join_side(left: DataFrame, side: DataFrame, key: str | list[str], how: str = "left", salts: int = 64) -> DataFrame:
     """Join ``left`` to ``side`` (unique in ``key``, never NULL there) without a hot partition.
 
     A side of at most ``BROADCAST_ROWS`` rows is broadcast.  A larger one is copied to ``salts`` salts and
     the left rows are dealt over them, so that a key with a third of all rows meets ``salts`` tasks.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if at_most(side, BROADCAST_ROWS):
-        return left.join(F.broadcast(side), key, how)
+        return left.join(F.broadcast(side), keys, how)
     salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def ascii_lower(c: Column) -> Column:

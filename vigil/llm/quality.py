@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import drop_dir, new_dir, written
+from vigil.llm.common import drop_dir, flagged, join_side, new_dir, written
 from vigil.llm.shingles import text_slices
 
 ORDER = 5
@@ -124,7 +124,7 @@ def probabilities(grams: DataFrame, path: str) -> DataFrame:
         asked[order] = asked[order + 1].select("lang", _tail("gram", order).alias("gram")).distinct()
     p = None
     for order in range(1, ORDER + 1):
-        d = counts[order].join(_discounts(counts[order]), "lang")
+        d = join_side(counts[order], _discounts(counts[order]), "lang", "inner")
         n = F.col("n")
         taken = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
         context = F.shiftright("gram", 8)
@@ -159,18 +159,22 @@ def _sums(shared, langs: dict[str, int]):
                 found = np.where(grams[at] == codes, logs[at], 0.0)
                 edges = np.concatenate([np.zeros(1), np.cumsum(found)])
                 sums[rows] = edges[offsets[1:]] - edges[offsets[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sums), pa.array(sizes)], ["id", "key", "sums", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), batch.column("lang"), pa.array(sums), pa.array(sizes)], ["id", "key", "lang", "sums", "size"])
     return run
 
 
-def perplexity(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted_col: str = "trusted",
+def perplexity(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                shard_grams: int = SHARD_GRAMS) -> DataFrame:
-    """id, key (hash of language and text), lang, n_bytes, perplexity, trusted, unseen (trusted, but not trained on); one row per distinct (id, lang, text)."""
+    """``trusted`` has one column, the ids of trusted documents.
+
+    id, key (hash of language and text), lang, n_bytes, perplexity, trusted, unseen (trusted, but not trained on); one row per distinct (id, lang, text)."""
     spark = docs.sparkSession
     path = new_dir(spark, "quality")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(trusted_col), F.lit(False)).alias("trusted"))
-    rows = rows.withColumns({"key": F.xxhash64("lang", "text"), "trained": F.col("trusted") & (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 3 != 0)})
-    grams = written(gram_counts(rows), "", f"{path}/grams")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
+    trains = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 3 != 0
+    counted = flagged(rows, trusted, "id", "trusted").withColumn("trained", F.col("trusted") & trains)
+    grams = written(gram_counts(counted), "", f"{path}/grams")
+    rows = rows.withColumn("key", F.xxhash64("lang", "text"))
     found = probabilities(grams, path)
     langs = {r["lang"]: k for k, r in enumerate(found.select("lang").distinct().orderBy("lang").collect())}
     number = F.coalesce(*[F.when(F.col("lang") == k, F.lit(n)) for k, n in langs.items()], F.lit(0)) if langs else F.lit(0)
@@ -182,15 +186,15 @@ def perplexity(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         gram, log = part.column("gram").to_numpy().astype(np.uint64), part.column("log").to_numpy()
         order = np.argsort(gram)
         shared = spark.sparkContext.broadcast((gram[order], log[order]))
-        parts.append(rows.select("id", "key", "lang", "text").mapInArrow(_sums(shared, langs), f"id {dict(rows.dtypes)['id']}, key long, sums double, size long"))
+        parts.append(rows.select("id", "key", "lang", "text").mapInArrow(_sums(shared, langs), f"id {dict(rows.dtypes)['id']}, key long, lang string, sums double, size long"))
     sums = parts[0]
     for part in parts[1:]:
         sums = sums.unionByName(part)
     # Rows that repeat an id and text add up in both sums; their quotient is the same.
-    sums = sums.groupBy("id", "key").agg(F.sum("sums").alias("s"), (F.sum("size") / F.lit(shards)).alias("b"))
-    about = rows.groupBy("id", "key").agg(F.first("lang").alias("lang"), F.max("trusted").alias("trusted"), F.max(F.col("trusted") & ~F.col("trained")).alias("unseen"))
-    out = about.join(sums, about["id"].eqNullSafe(sums["id"]) & (about["key"] == sums["key"])).select(
-        about["id"], about["key"], "lang", F.col("b").cast("long").alias("n_bytes"), F.when(F.col("b") > 0, F.exp(-F.col("s") / F.col("b"))).alias("perplexity"), "trusted", "unseen")
+    sums = sums.groupBy("id", "key").agg(F.first("lang").alias("lang"), F.sum("sums").alias("s"), (F.sum("size") / F.lit(shards)).alias("b"))
+    out = flagged(sums, trusted, "id", "trusted").select(
+        "id", "key", "lang", F.col("b").cast("long").alias("n_bytes"), F.when(F.col("b") > 0, F.exp(-F.col("s") / F.col("b"))).alias("perplexity"),
+        "trusted", (F.col("trusted") & ~trains).alias("unseen"))
     out = written(out, "quality-scores")
     drop_dir(spark, path)
     return out
@@ -211,7 +215,7 @@ def judge(scores: DataFrame, *, tail: float = 0.01, slack: float = 0.75, min_row
     fine = known.groupBy("lang", "length").agg(quantiles.alias("fine"), F.count("y").alias("c")).filter(F.col("c") >= min_rows).drop("c")
     by = known.groupBy("lang").agg(quantiles.alias("coarse"))
     all_ = known.agg(quantiles).first()[0]
-    scores = scores.join(fine, ["lang", "length"], "left").join(by, "lang", "left")
+    scores = join_side(join_side(scores, fine, ["lang", "length"]), by, "lang")
     rest = F.lit([float(v) for v in all_]) if all_ is not None else F.lit(None).cast("array<double>")
     scores = scores.withColumn("q", F.coalesce("fine", "coarse", rest))
     lo, seen_mid, mid, hi = (F.col("q")[k] for k in range(4))

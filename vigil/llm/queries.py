@@ -20,16 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``trusted``: whether a label gives the document quality 1."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn("trusted", F.col("_good").isNotNull()).drop("_good")
-
-
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of trusted text, and whether its language's quantiles accept it."""
-    docs = trusted_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
-    found = quality.judge(quality.perplexity(docs))
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    found = quality.judge(quality.perplexity(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted))
     return found.select(F.col("id").alias("doc_id"), "lang", "n_bytes", "perplexity", "low", "high", "keep")
 
 
