@@ -11,16 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, jaccard, mixing, quality, tokens
-from vigil.llm.common import new_dir, table, without, written
+from vigil.llm.common import columns, fresh, new_dir, table, without, written
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named d0, d1, ...: an operator's own columns then replace none of them."""
+    return docs.toDF(*[f"d{k}" for k in range(len(docs.columns))])
+
+
+def at(docs: DataFrame, name: str) -> str:
+    return f"d{docs.columns.index(name)}"
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text lies in the range of their language."""
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     scores = quality.judge(quality.perplexity(docs.select("doc_id", "text", "lang"), trusted))
-    rejected = scores.filter("NOT keep").select(F.col("id").alias("doc_id"), F.col("key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("lang", F.lit("und")), "text"))
-    return without(keyed, rejected, ["doc_id", "_key"]).select(*docs.columns)
+    key = fresh(docs, "_key")
+    rejected = scores.filter("NOT keep").select(F.col("id").alias("doc_id"), F.col("key").alias(key))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("lang", F.lit("und")), "text"))
+    return without(keyed, rejected, ["doc_id", key]).select(*columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +40,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10)
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    plain = numbered(docs)
+    found = decontaminate.scan(plain, table(spark, sf_dir, "benchmark"), text_col=at(docs, "text"), window=10)
+    return found.filter(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to square-root weights of their sources, globally shuffled."""
-    return mixing.mix(docs, alpha=0.5, seed=17).select(*docs.columns)
+    plain = numbered(docs)
+    mixed = mixing.mix(plain, id_col=at(docs, "doc_id"), source_col=at(docs, "source"), alpha=0.5, seed=17)
+    return mixed.select(*plain.columns).toDF(*docs.columns)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,5 +18,5 @@ def docs_of(spark):
     def make(texts, ids=None, langs=None, extra=()):
         rows = [(k, t, la, "s", len(t or ""), *[f"x{k}"] * len(extra))
                 for k, t, la in zip(ids or range(1, len(texts) + 1), texts, langs or ["en"] * len(texts))]
-        return spark.createDataFrame(rows, DOC + "".join(f", `{c}` string" for c in extra))
+        return spark.createDataFrame(rows, DOC + "".join(", `" + c.replace("`", "``") + "` string" for c in extra))
     return make

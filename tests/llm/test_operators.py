@@ -164,9 +164,9 @@ def test_block_tables_find_all_within_the_radius(spark, radius, blocks):
 
 
 def test_mixing_inverts_the_poisson_distribution(docs_of, spark):
-    docs = docs_of([f"t{k}" for k in range(400)], ids=[*range(1, 400), None], extra=("copy", "_u", "mix_rate")).withColumn("source", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")))
+    docs = docs_of([f"t{k}" for k in range(400)], ids=[*range(1, 400), None], extra=("copy", "_u", "_key", "mix_rate")).withColumn("source", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")))
     out = mixing.mix(docs, weights={"a": 3.0, "b": 1.0}, default_weight=0.5, total=900, seed=5)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_u", "copy", "mix_rate", "mix_key"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_u", "_key", "copy", "mix_rate", "mix_key"]
     got = collections.Counter(r.doc_id for r in out.collect())
     sizes = collections.Counter(r.source for r in docs.collect())
     rate = {s: round({"a": 3.0, "b": 1.0}.get(s, 0.5) / 4.5 * 900 / n, 6) for s, n in sizes.items()}
@@ -319,7 +319,7 @@ def test_jaccard_components_equal_all_pairs(docs_of, k, num, den):
 
 def test_jaccard_edges_and_survivors(docs_of):
     text = "a b c d e f g h i j"
-    docs = docs_of([text, text, text + " k", None, None, "", text, "z z"], ids=[5, 3, 9, 1, 2, 4, None, 5], extra=("component_id",))
+    docs = docs_of([text, text, text + " k", None, None, "", text, "z z"], ids=[5, 3, 9, 1, 2, 4, None, 5], extra=("component_id", "_rank", "_repeated"))
     got = [(r.doc_id, r.component_id) for r in jaccard.join(docs, k=5).collect()]
     assert sorted(x for x in got if x[0]) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 3), (5, 3), (9, 3)] and (None, None) in got
     kept = jaccard.survivors(docs)
@@ -416,14 +416,14 @@ def test_pipeline_stages_keep_the_columns_and_do_their_work(spark, docs_of):
     assert names == ["quality", "near_duplicates", "decontaminate", "mix", "tokens"] and corpus_pipeline.ORACLE_SQL is None
     item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
     body = " ".join(f"w{k}" for k in range(60))
-    docs = docs_of([body, body, body + " more", f"before {item} after", None, ""], ids=[4, 2, 7, 9, 10, 11], extra=("spans", "_key"))
+    docs = docs_of([body, body, body + " more", f"before {item} after", None, ""], ids=[4, 2, 7, 9, 10, 11], extra=("spans", "copy", "_key", "_drop0", "_rank", "a.b`c"))
     near, clean_, mixed, files_ = (f for _, f in corpus_pipeline.STAGES[1:])
     kept = near(spark, docs, SMALL)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 9, 10, 11]
     left = clean_(spark, kept, SMALL)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 10, 11]
     copies = mixed(spark, left, SMALL)
-    assert copies.columns == docs.columns and {r.doc_id for r in copies.collect()} <= {2, 10, 11}
+    assert copies.schema == docs.schema and left.schema == docs.schema and {r.doc_id for r in copies.collect()} <= {2, 10, 11}
     out = files_(spark, copies, SMALL)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == copies.count()
 

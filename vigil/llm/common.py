@@ -48,6 +48,23 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def column(name: str) -> Column:
+    """A top-level column, whatever signs its name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads little more than that many."""
     return df.limit(rows + 1).count() <= rows
@@ -59,18 +76,20 @@ DROP_ROWS = 2_000_000
 
 def without(rows: DataFrame, drop: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` without those whose ``keys`` (NULL equal to NULL) are among ``drop``; texts move only where ``drop`` is large."""
-    drop = drop.select(*[F.col(k).alias(f"_drop{n}") for n, k in enumerate(keys)]).distinct()
+    names = [fresh(rows, f"_drop{n}") for n in range(len(keys))]
+    drop = drop.select(*[column(k).alias(n) for n, k in zip(names, keys)]).distinct()
     same = F.lit(True)
-    for n, k in enumerate(keys):
-        same = same & rows[k].eqNullSafe(F.col(f"_drop{n}"))
+    for n, k in zip(names, keys):
+        same = same & column(k).eqNullSafe(F.col(n))
     return rows.join(F.broadcast(drop) if at_most(drop, DROP_ROWS) else drop, same, "left_anti")
 
 
 def flagged(rows: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
     """``rows`` with ``flag``: whether ``key`` is in the one column of ``ids``; wide rows move only where ``ids`` is large."""
-    ids = ids.select(F.col(ids.columns[0]).alias("_flagged")).filter("_flagged IS NOT NULL").distinct()
+    name = fresh(rows, "_flagged")
+    ids = ids.select(column(ids.columns[0]).alias(name)).filter(F.col(name).isNotNull()).distinct()
     side = F.broadcast(ids) if at_most(ids, DROP_ROWS) else ids
-    return rows.join(side, rows[key] == F.col("_flagged"), "left").withColumn(flag, F.col("_flagged").isNotNull()).drop("_flagged")
+    return rows.join(side, column(key) == F.col(name), "left").withColumn(flag, F.col(name).isNotNull()).drop(name)
 
 
 def join_side(left: DataFrame, side: DataFrame, key: str | list[str], how: str = "left", salts: int = 64) -> DataFrame:

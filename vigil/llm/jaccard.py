@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import at_most, without, written
+from vigil.llm.common import at_most, column, fresh, without, written
 from vigil.llm.graph import components
 from vigil.llm.shingles import shingle_sets
 
@@ -195,6 +195,7 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         return kept
     # Only the rows of repeated ids move.
     single = without(kept, repeated, [id_col])
-    again = kept.join(repeated.withColumnRenamed(id_col, "_repeated"), F.col(id_col) == F.col("_repeated"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return single.unionByName(again.withColumn("_rank", rank).filter("_rank = 1").drop("_rank"))
+    twin, rank = fresh(docs, "_repeated"), fresh(docs, "_rank")
+    again = kept.join(repeated.withColumnRenamed(id_col, twin), column(id_col) == F.col(twin), "left_semi")
+    first = F.row_number().over(Window.partitionBy(column(id_col)).orderBy(column(text_col)))
+    return single.unionByName(again.withColumn(rank, first).filter(F.col(rank) == 1).drop(rank))

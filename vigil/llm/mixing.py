@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import join_side
+from vigil.llm.common import column, join_side
 
 NONE = "\x00none"
 
@@ -66,14 +66,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         default_weight: float = 0.0, alpha: float = 0.5, total: float | None = None) -> DataFrame:
     """Every input column, and ``copy`` (1..count), ``mix_rate``, ``mix_key``: one row per copy, globally shuffled."""
     keep = [c for c in docs.columns if c not in ("copy", "mix_rate", "mix_key")]
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(NONE))
+    carried = [f"c{k}" for k in range(len(keep))]  # input columns go under names that clash with nothing
+    source = F.coalesce(column(source_col).cast("string"), F.lit(NONE))
     sizes = docs.select(source.alias("_source")).groupBy("_source").agg(F.count(F.lit(1)).alias("n"))
     table = distribution(rates(sizes, weights=weights, default_weight=default_weight, alpha=alpha, total=total))
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row:"), F.xxhash64(*keep).cast("string")))
-    rows = join_side(docs.select(*keep, source.alias("_source"), key.alias("_key")), table, "_source", "inner")
+    key = F.coalesce(column(id_col).cast("string"), F.concat(F.lit("row:"), F.xxhash64(*map(column, keep)).cast("string")))
+    rows = docs.select(*[column(c).alias(a) for c, a in zip(keep, carried)], source.alias("_source"), key.alias("_key"))
+    rows = join_side(rows, table, "_source", "inner")
     u = uniform(F.col("_key"), seed)
     count = F.size(F.filter("_cdf", lambda c: c < F.col("_u")))
     rows = rows.withColumn("_u", u).withColumn("_n", count).filter("_n > 0")
-    rows = rows.select(*keep, "mix_rate", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    rows = rows.select(*carried, "mix_rate", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     rows = rows.withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key"), F.lit(":"), F.col("copy").cast("string"))))
-    return rows.repartition("mix_key").sortWithinPartitions("mix_key").select(*keep, "copy", "mix_rate", "mix_key")
+    return rows.repartition("mix_key").sortWithinPartitions("mix_key").select(
+        *[F.col(a).alias(c) for c, a in zip(keep, carried)], "copy", "mix_rate", "mix_key")
