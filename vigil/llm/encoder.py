@@ -13,8 +13,9 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-UNITS, LONG = 600_000, 64
-_OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+UNITS, LONG = 2_000_000, 64
+#: White space other than the blank and the line feed.
+_OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters up to U+00FF, as far as their class is beyond doubt, and signs that the split pattern leaves alone.
 _WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space for Python alone
@@ -35,9 +36,11 @@ class _Units(dict):
 
     def __init__(self):
         self.waiting: list[str] = []
+        self.given = 0
 
     def __missing__(self, unit: str) -> int:
-        self[unit] = index = len(self)
+        self[unit] = index = self.given
+        self.given += 1
         self.waiting.append(unit)
         return index
 
@@ -51,18 +54,19 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._units, self._pieces_seen = _Units(), {}
+        self._units, self._done = _Units(), 0
         self._starts, self._ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _piece(self, piece: str) -> list[int]:
-        if (ids := self._pieces_seen.get(piece)) is None:
-            ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
-            if len(piece) <= LONG:
-                self._pieces_seen[piece] = ids
-        return ids
+        if piece[0] == " " and (at := self._units.get(piece[1:], self._done)) < self._done:
+            return self._ids[self._starts[at]:self._starts[at + 1]].tolist()  # a unit that is known already
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return [t.id for t in self._model.tokenize(letters.translate(self._letters))]
 
     def _unit(self, unit: str) -> list[int]:
-        if m := _WORD.fullmatch(unit):  # the common case: Latin letters, then one other sign or none
+        if unit[1:].isascii() and unit[1:].isalpha() and (unit[0] == " " or "A" <= unit[0] <= "z" and unit[0].isalpha()):
+            return self._piece(unit)
+        if m := _WORD.fullmatch(unit):  # Latin letters, then one other sign or none
             return self._piece(m[1]) + self._piece(m[2]) if m[2] else self._piece(unit)
         if unit and max(unit) > "ɏ":  # beyond Latin letters the library splits
             return self.tokenizer.encode(unit, add_special_tokens=False).ids
@@ -79,7 +83,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
-        if len(self._units) > UNITS:
+        if len(self._units) > UNITS or len(self._ids) > 8 * UNITS:
             self._clear()
         units, waiting = self._units, self._units.waiting
         index, whole = [], {}
@@ -102,9 +106,11 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         flat = self._ids[np.repeat(first - (ends - size), size) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64)]
-        if any(len(u) > LONG for u in waiting):
-            self._clear()  # long units are not worth keeping
+        for unit in waiting:
+            if len(unit) > LONG:  # long units are not worth keeping
+                del units[unit]
         waiting.clear()
+        self._done = units.given
         return [whole[k] if k in whole else flat[bounds[k]:bounds[k + 1]] for k in range(len(texts))]
 
 
