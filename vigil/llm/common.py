@@ -30,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of text that cross to Python at once; a session may ask for fewer.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows: whole texts are wide."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > BATCH_ROWS or int(conf.get(key)) <= 0:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh, not yet existing path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import column, written
+from vigil.llm.common import column, small_batches, written
 
 PATTERN_CHARS = 32 << 20
 SLICE_BYTES, STRETCH, OPEN = 4 << 20, 512, 1 << 22
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items") or c == text_col]
     carried = [f"c{k}" for k in range(len(kept))]
-    rows = docs.select(*[column(c).alias(a) for c, a in zip(kept, carried)], F.lit(0).cast("long").alias("n_words"),
+    rows = small_batches(docs).select(*[column(c).alias(a) for c, a in zip(kept, carried)], F.lit(0).cast("long").alias("n_words"),
                        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     for k, group in enumerate(_groups(benchmark, item_id_col, item_text_col, pattern_chars)):

@@ -13,7 +13,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-UNITS, LONG = 2_000_000, 64
+UNITS, LONG = 1_000_000, 64
 #: White space other than the blank and the line feed.
 _OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters up to U+00FF, as far as their class is beyond doubt, and signs that the split pattern leaves alone.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import at_most, column, fresh, without, written
+from vigil.llm.common import at_most, column, fresh, small_batches, without, written
 from vigil.llm.graph import components
 from vigil.llm.shingles import shingle_sets
 
@@ -146,7 +146,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """id, n_shingles, component_id for every row: links where intersection / union >= num / den."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(frequencies(rows, k))
     summary = written(rows.mapInArrow(_summaries(counts, k, num, den), SUMMARY), "summary")
     # Equal sets are one node, named by the smallest id; only narrow rows are grouped.

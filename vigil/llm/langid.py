@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import written
+from vigil.llm.common import small_batches, written
 from vigil.llm.shingles import text_slices
 
 FEATURES, ORDERS = 1 << 12, (1, 2, 3)
@@ -81,7 +81,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows_per_language: int = 500, max_iter: int = 30) -> dict:
     """The machines {(side, side): (weights, intercept)}, positive for the first side; sides are families or languages."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    rows = small_batches(labelled).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
         return {"languages": [], "machines": {}}
@@ -174,7 +174,7 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not model["languages"]:
         return rows.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import written
+from vigil.llm.common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 SLICE_CHARS = 2 << 20
@@ -177,7 +177,7 @@ def _affinity(pairs: np.ndarray, smooth: float = 1.0) -> np.ndarray:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 3000) -> dict | None:
     """Potentials of the field, or None where the sample holds no base span."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
     n = rows.count()
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit("pii"), "id"), F.lit(1_000_000)) < F.lit(1_000_000 * sample_rows / max(1, n)))
     drawn = written(drawn.mapInArrow(_training, "label int, before int, same int, cells array<double>"), "pii-sample")
@@ -298,7 +298,7 @@ def _find(shared, sure: float):
 
 def find(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9) -> DataFrame:
     """id, number of base spans of each kind, their digest, and all spans (kind:start:end, code points) of every document."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"id {dict(rows.dtypes)['id']}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string"
     return rows.mapInArrow(_find(shared, sure), schema).withColumnRenamed("id", id_col)

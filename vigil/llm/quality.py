@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import drop_dir, flagged, join_side, new_dir, written
+from vigil.llm.common import drop_dir, flagged, join_side, new_dir, small_batches, written
 from vigil.llm.shingles import text_slices
 
 ORDER = 5
@@ -71,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs, trained = _languages(batch.column("lang")), batch.column("trained").to_pylist()
-        for first, data, offsets in text_slices(batch.column("text"), 4 << 20):
+        for first, data, offsets in text_slices(batch.column("text"), 1 << 20):
             codes = _codes(data, offsets)
             rows = list(zip(langs[first:first + len(offsets) - 1], trained[first:first + len(offsets) - 1]))
             for kind in set(rows):
@@ -82,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append((grams, n.astype(np.int64)))
                     if len(parts) >= 8:
                         held[kind] = [_merge(parts)]
-            if sum(len(g) for p in held.values() for g, _ in p) > 4_000_000:
+            if sum(len(g) for p in held.values() for g, _ in p) > 1_500_000:
                 yield from flush()
     yield from flush()
 
@@ -170,7 +170,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
     id, key (hash of language and text), lang, n_bytes, perplexity, trusted, unseen (trusted, but not trained on); one row per distinct (id, lang, text)."""
     spark = docs.sparkSession
     path = new_dir(spark, "quality")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     trains = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 3 != 0
     counted = flagged(rows, trusted, "id", "trusted").withColumn("trained", F.col("trusted") & trains)
     grams = written(gram_counts(counted), "", f"{path}/grams")

@@ -35,12 +35,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) for runs of rows of about ``size`` bytes; NULL is empty."""
-    column = column.cast(pa.large_binary())
     n = len(column)
     if not n:
         return
-    _, offsets, data = column.fill_null(b"").buffers()
-    column = column.fill_null(b"")
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + n + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0

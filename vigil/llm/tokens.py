@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.llm.common import small_batches
 from vigil.llm.encoder import encoder
 from vigil.llm.wavelet import WaveletMatrix, build
 
@@ -71,9 +72,9 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int):
 
 
 def write_tokens(docs: DataFrame, path: str, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-                 shard_chars: int = 16 << 20, shard_tokens: int = 8 << 20) -> None:
+                 shard_chars: int = 16 << 20, shard_tokens: int = 4 << 20) -> None:
     """Encode and write every document; ``shard_chars`` sets how many id ranges the table is dealt over."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text") + F.lit(100))).first()[0] or 0
     dealt = rows.repartitionByRange(max(1, -(-int(chars) // shard_chars)), "doc_id").sortWithinPartitions("doc_id", "text")
     shards = dealt.withColumn("part", F.spark_partition_id()).mapInArrow(_shards(vocabulary, end_id, shard_tokens), SHARD)
