@@ -114,6 +114,34 @@ def test_quality_without_trusted_rows_or_rows(docs_of):
     assert quality.judge(quality.perplexity(docs.limit(0), none)).count() == 0
 
 
+def test_quality_keeps_languages_without_enough_trusted_text(docs_of):
+    rng = random.Random(4)
+    prose = lambda w: " ".join(rng.choice(w) for _ in range(40))
+    other = "og det som er ikke til på av for med han var".split()
+    few = [k for k in range(1000, 1040) if zlib.crc32(str(k).encode()) % 3 == 0]
+    junk = "".join(rng.choice("0123456789#@%&") for _ in range(200))
+    texts = [prose(WORDS) for _ in range(400)] + [prose(other) for _ in range(30)] + [prose(other) for _ in range(30)] + [junk, junk, "", None]
+    ids, langs = [*range(1, 401), *range(601, 631), few[0], *range(2001, 2030), 3001, 3002, 3003, 3004], ["en"] * 400 + [None] * 30 + ["da"] * 30 + ["en", "da", None, "da"]
+    docs = docs_of(texts, ids=ids, langs=langs)
+    trusted = docs.filter(f"doc_id <= 400 OR doc_id = {few[0]}").select("doc_id")  # none of und, one unseen row of da
+    got = rows(quality.judge(quality.perplexity(docs, trusted)), "id")
+    assert all(got[k].keep for k in range(601, 631)) and all(got[k].keep for k in (few[0], *range(2001, 2030)))
+    assert got[601].high is None and got[2001].high is None
+    assert not got[3001].keep and not got[3003].keep and not got[3004].keep
+    assert sum(got[k].keep for k in range(1, 401)) > 390
+
+
+def test_quality_ranges_of_few_rows_are_as_wide_as_others(spark):
+    row = "id long, key long, lang string, n_bytes long, perplexity double, trusted boolean, unseen boolean"
+    rng = random.Random(8)
+    many = [(k, k, "en", 5000, math.exp(rng.gauss(1.5, 0.05)), True, True) for k in range(400)]
+    narrow = [(500 + k, k, "da", 5000, math.exp(3 + 0.001 * k), True, True) for k in range(12)]
+    copies = [(600 + k, 1, "fi", 5000, 9.0, True, True) for k in range(300)]
+    asked = [(700, 1, "da", 5000, math.exp(3.1), False, False), (701, 1, "da", 5000, math.exp(4.5), False, False), (702, 1, "fi", 5000, 9.5, False, False)]
+    got = rows(quality.judge(spark.createDataFrame([*many, *narrow, *copies, *asked], row), min_rows=301), "id")
+    assert got[700].keep and not got[701].keep and got[702].keep and all(got[k].keep for k in range(500, 512))
+
+
 # --- 3 fingerprints
 
 

@@ -10,9 +10,10 @@ Trusted rows are split by a hash of their id: two of three parts train the count
 seen, sets the upper quantiles.  A document is kept where ``low <= perplexity <= high`` of its language and length class: the
 ``tail`` and ``1 - tail`` quantiles of the logarithm, moved outwards by ``slack`` times their distance from the median.
 
-Defined results: a NULL language is the language ``und``; a language without unseen trusted rows is judged by the
-quantiles of all languages together, and kept where there are none at all; NULL and empty texts have perplexity NULL and
-are rejected; equal rows get equal results; an empty table gives no rows.
+Defined results: a NULL language is the language ``und``; a language with few unseen trusted rows keeps its own medians,
+with ranges at least as wide as those of all languages around theirs; one with fewer than ``least`` different ones cannot be
+judged, and its documents are kept (low and high NULL); NULL and empty texts have perplexity NULL and are rejected; equal
+rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -200,24 +201,32 @@ def perplexity(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
     return out
 
 
-def judge(scores: DataFrame, *, tail: float = 0.01, slack: float = 0.75, min_rows: int = 100) -> DataFrame:
+def judge(scores: DataFrame, *, tail: float = 0.01, slack: float = 0.75, min_rows: int = 100, least: int = 10) -> DataFrame:
     """``scores`` with low, high and keep.
 
     The lower quantile is that of all trusted rows (the model favours those it was trained on), the upper that of the
     unseen ones; both of the language and length class (each four times as long as the one below), or of the
-    language alone where the class has fewer than ``min_rows`` unseen trusted rows.
+    language alone where the class has fewer than ``min_rows`` unseen trusted rows.  Where the language has fewer than
+    ``min_rows`` different ones too, the distances from its medians are no less than those that the rows of all
+    judged languages have from theirs, widened for a median of few rows; below ``least`` there is no range.
     """
     length = F.floor(F.log2(F.col("n_bytes").cast("double")) / 2).cast("int")
     scores = scores.withColumn("length", F.coalesce(length, F.lit(-1)))
     known = scores.filter("trusted AND perplexity IS NOT NULL").withColumns({"x": F.log("perplexity"), "y": F.expr("IF(unseen, ln(perplexity), NULL)")})
     quantiles = F.concat(F.percentile_approx("x", [tail, 0.5], 10_000), F.percentile_approx("y", [0.5, 1 - tail], 10_000))
-    # One row per language and length class, per language, and for all.
+    # One row per language and length class, per language, and for all.  Copies of one text count once per language.
     fine = known.groupBy("lang", "length").agg(quantiles.alias("fine"), F.count("y").alias("c")).filter(F.col("c") >= min_rows).drop("c")
-    by = known.groupBy("lang").agg(quantiles.alias("coarse"))
-    all_ = known.agg(quantiles).first()[0]
+    by = known.groupBy("lang").agg(quantiles.alias("coarse"), F.approx_count_distinct(F.round("y", 6), 0.01).alias("c"))
+    by = written(by.filter(F.col("c") >= least), "quality-ranges")
+    around = join_side(known, by, "lang", "inner").select((F.col("x") - F.col("coarse")[1]).alias("x"), (F.col("y") - F.col("coarse")[2]).alias("y"))
+    spread = around.agg(F.percentile_approx("x", tail, 10_000), F.percentile_approx("y", 1 - tail, 10_000)).first()
+    down, up = (F.lit(float(v or 0)) for v in spread)
+    lo, seen_mid, mid, hi = (F.col("coarse")[k] for k in range(4))
+    grow = F.sqrt(1 + 1 / F.col("c"))
+    wide = F.array(seen_mid + grow * F.least(lo - seen_mid, down), seen_mid, mid, mid + grow * F.greatest(hi - mid, up))
+    by = by.select("lang", F.when(F.col("c") >= min_rows, F.col("coarse")).otherwise(wide).alias("coarse"))
     scores = join_side(join_side(scores, fine, ["lang", "length"]), by, "lang")
-    rest = F.lit([float(v) for v in all_]) if all_ is not None else F.lit(None).cast("array<double>")
-    scores = scores.withColumn("q", F.coalesce("fine", "coarse", rest))
+    scores = scores.withColumn("q", F.coalesce("fine", "coarse"))
     lo, seen_mid, mid, hi = (F.col("q")[k] for k in range(4))
     scores = scores.withColumns({"low": F.exp(seen_mid - (1 + slack) * (seen_mid - lo)), "high": F.exp(mid + (1 + slack) * (hi - mid))}).drop("q", "fine", "coarse", "length")
     inside = F.col("perplexity").between(F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(float("inf"))))
