@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in wavelet-matrix shards; what the files say of each document."""
     path = new_dir(spark, "pipeline-tokens")
-    tokens.write_tokens(docs, path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    tokens.write_tokens(docs, path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added_tokens=True)
     return tokens.read_documents(spark, path)
 
 

@@ -280,6 +280,19 @@ def test_token_files_hold_the_library_ids(spark, docs_of, shard_tokens, shard_ch
     assert sum(zeros) == len(texts) and (len(shards) > 1) == (shard_tokens == 40)
 
 
+def test_token_query_and_stage_encode_as_the_untouched_library(spark, docs_of):
+    import corpus_pipeline
+    texts = ["été <|endoftext|> x", "plain", "a<|endoftext|>", "<|endoftext|><|endoftext|>\n b", "<|endoftext> c", None]
+    folder, t, start, want = new_dir(spark, "t6-in"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    docs_of(texts).write.parquet(f"{folder}/documents.parquet")
+    for k, text in enumerate(texts, 1):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in queries.op6_token_files(spark, folder).orderBy("start").collect()] == want
+    assert [tuple(r) for r in dict(corpus_pipeline.STAGES)["tokens"](spark, docs_of(texts), folder).orderBy("start").collect()] == want
+
+
 def test_token_files_of_an_empty_table(spark, docs_of):
     path = new_dir(spark, "t6")
     tokens.write_tokens(docs_of([]), path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))

@@ -2,7 +2,8 @@
 
 A unit is a run of white space and the run of other characters after it.  The tokenizer's pre-tokenizer
 never joins characters across the end of such a run, so the ids of a text are those of its units in order;
-each distinct unit goes through the library's model once per worker.
+each distinct unit goes through the library's model once per worker.  A text that holds the content of an added
+token which the library looks for goes to the library whole.
 """
 
 from __future__ import annotations
@@ -46,9 +47,12 @@ class _Units(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
+        """``added_tokens``: the content of a special token in a text is that token, the library's default; else it is plain text."""
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        found = self.tokenizer.get_added_tokens_decoder().values()
+        self._whole = (*_ODD, *[t.content for t in found if added_tokens or not t.special])
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self._model, self._letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
         self._clear()
@@ -88,7 +92,7 @@ class Encoder:
         units, waiting = self._units, self._units.waiting
         index, whole = [], {}
         for k, text in enumerate(texts):
-            if any(c in text for c in _ODD):
+            if any(c in text for c in self._whole):
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 index.append(np.zeros(0, np.int64))
             elif text:
@@ -114,11 +118,12 @@ class Encoder:
         return [whole[k] if k in whole else flat[bounds[k]:bounds[k + 1]] for k in range(len(texts))]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    """One encoder per worker, vocabulary file and setting."""
+    key = path, added_tokens
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, added_tokens)
+    return _ENCODERS[key]

@@ -52,7 +52,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document into wavelet-matrix shards, read the files back, and describe each document's ids."""
     import public_tokenizers
     path = new_dir(spark, "op6-tokens")
-    tokens.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added_tokens=True)
     return tokens.read_documents(spark, path)
 
 

@@ -41,9 +41,9 @@ def _slices(column, chars: int = ENCODE_CHARS) -> Iterator[tuple[int, list[str]]
         yield first, run
 
 
-def _shards(vocabulary: str, end_id: int, shard_tokens: int):
+def _shards(vocabulary: str, end_id: int, shard_tokens: int, added_tokens: bool):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq = encoder(vocabulary), 0
+        enc, seq = encoder(vocabulary, added_tokens), 0
         kind = np.uint16 if enc.bits <= 16 else np.uint32
         part, docs, held, lengths, total = None, [], [], [], 0
 
@@ -72,12 +72,15 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int):
 
 
 def write_tokens(docs: DataFrame, path: str, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-                 shard_chars: int = 16 << 20, shard_tokens: int = 4 << 20) -> None:
-    """Encode and write every document; ``shard_chars`` sets how many id ranges the table is dealt over."""
+                 shard_chars: int = 16 << 20, shard_tokens: int = 4 << 20, added_tokens: bool = False) -> None:
+    """Encode and write every document; ``shard_chars`` sets how many id ranges the table is dealt over.
+
+    ``added_tokens``: whether the content of a special token in a text is that token, as in an untouched tokenizer.
+    """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text") + F.lit(100))).first()[0] or 0
     dealt = rows.repartitionByRange(max(1, -(-int(chars) // shard_chars)), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = dealt.withColumn("part", F.spark_partition_id()).mapInArrow(_shards(vocabulary, end_id, shard_tokens), SHARD)
+    shards = dealt.withColumn("part", F.spark_partition_id()).mapInArrow(_shards(vocabulary, end_id, shard_tokens, added_tokens), SHARD)
     shards.write.option("compression", "zstd").parquet(path)
 
 
