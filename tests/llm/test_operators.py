@@ -188,6 +188,38 @@ def test_block_tables_find_all_within_the_radius(spark, radius, blocks):
     assert got == {(a, b) for a in set(every[:40]) for b in set(every) if (a ^ b).bit_count() <= radius}
 
 
+@pytest.mark.parametrize("radius", [6, 13])
+def test_changed_blocks_find_all_within_the_radius(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    every = base + [b ^ sum(1 << i for i in rng.sample(range(128), rng.randint(0, 17))) for b in base for _ in range(12)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v & (1 << 64) - 1), signed(v >> 64)) for v in every], "f1 long, f2 long")
+    got = {((r.q2 & (1 << 64) - 1) << 64 | r.q1 & (1 << 64) - 1, (r.f2 & (1 << 64) - 1) << 64 | r.f1 & (1 << 64) - 1) for r in simhash.near(df.limit(40), df, radius=radius).collect()}
+    assert got == {(a, b) for a in set(every[:40]) for b in set(every) if (a ^ b).bit_count() <= radius}
+
+
+def test_simhash_query_names_near_copies_of_one_changed_word(spark, docs_of):
+    rng = random.Random(12)
+    words = [[f"w{rng.randint(0, 5000)}" for _ in range(250)] for _ in range(10)]
+    texts, ids = [" ".join(w) for w in words], [20 * k for k in range(1, 11)]
+    for k, w in enumerate(words):
+        texts += [" ".join([*w[:120], "changed", *w[121:]])] * 2
+        ids += [1001 + 20 * k, 1002 + 20 * k]
+    folder = new_dir(spark, "t3-in")
+    docs_of(texts, ids=ids).write.parquet(f"{folder}/documents.parquet")
+    got = rows(queries.op3_simhash(spark, folder), "doc_id")
+    halves = {k: int(got[k].fingerprint, 16) for k in ids}
+    far = [(halves[20 * k + 20] ^ halves[1001 + 20 * k]).bit_count() for k in range(10)]
+    assert max(far) > 3
+    for k in range(10):
+        asked, copy = got[20 * k + 20], got[1002 + 20 * k]
+        assert copy.same_id == (1001 + 20 * k if far[k] else 20 * k + 20) and asked.same_id == 20 * k + 20
+        assert copy.within_ids is None and copy.n_within is None
+        assert asked.within_ids == [1001 + 20 * k] * (0 < far[k] <= 13) and asked.n_within == 2 * (far[k] <= 13)
+    assert sum(f <= 13 for f in far) >= 9
+
+
 # --- 4 mixing
 
 

@@ -5,6 +5,8 @@ on 128 bits with two 64-bit hashes; a bit is set where more than half of all vot
 64 long columns of two 32-bit lanes each, by a hash aggregate on exploded terms, so no text is ever one
 task's group.  The search deals every fingerprint to permuted block tables: with radius r and B blocks, two
 fingerprints within r agree on B - r blocks at least, so a join on each choice of B - r blocks finds them all.
+Beyond ``FEW`` bits these choices are too many; there r < 2 B, so one block at least differs in at most one bit: a
+stored fingerprint goes to one table per block, and a query asks each with its block and all one-bit changes of it.
 
 Defined results: a NULL text is empty; a text of one word has that word as its term, one without words the
 empty term; equal texts have equal fingerprints; rows with equal ids follow each other in the order of their
@@ -22,6 +24,7 @@ from vigil.llm.common import written
 from vigil.llm.ordering import range_number
 
 BITS, LANES = 128, 0x0000000100000001
+FEW = 5  # radius up to which choices of blocks are joined
 
 
 def term_hashes(text: Column) -> Column:
@@ -76,10 +79,29 @@ def _tables(radius: int, blocks: int) -> Column:
     return F.array(*out)
 
 
+def _signed(mask: int) -> tuple[int, int]:
+    """The two halves of 128 bits, as f1 and f2 hold them."""
+    return tuple(m - (1 << 64) if m >> 63 else m for m in (mask & (1 << 64) - 1, mask >> 64))
+
+
+def _blocks(blocks: int, changed: bool) -> Column:
+    """Array of (block number, f1 and f2 with all but the block cleared); ``changed``: also with each bit of it inverted."""
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    masks = []
+    for t, (a, b) in enumerate(zip(edges, edges[1:])):
+        for bit in [0, *[1 << i for i in range(a, b) if changed]]:
+            masks.append(F.struct(F.lit(t).alias("t"), *[F.lit(v).cast("long").alias(n) for n, v in zip(("m1", "m2", "x1", "x2"), (*_signed(((1 << b - a) - 1) << a), *_signed(bit)))]))
+    return F.transform(F.array(*masks), lambda m: F.struct(
+        m["t"].alias("t"), F.col("f1").bitwiseAND(m["m1"]).bitwiseXOR(m["x1"]).alias("k1"), F.col("f2").bitwiseAND(m["m2"]).bitwiseXOR(m["x2"]).alias("k2")))
+
+
 def near(queries: DataFrame, stored: DataFrame, *, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """q1, q2, f1, f2, distance for every distinct query and stored fingerprint (columns f1, f2) within ``radius`` bits."""
-    tables = F.inline(_tables(radius, blocks or radius + 2))
-    asked = queries.select("f1", "f2").distinct().select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), tables)
+    if blocks is None and radius > FEW:
+        probes, tables = (F.inline(_blocks(radius // 2 + 1, changed)) for changed in (True, False))
+    else:
+        probes = tables = F.inline(_tables(radius, blocks or radius + 2))
+    asked = queries.select("f1", "f2").distinct().select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), probes)
     there = stored.select("f1", "f2").distinct().select("f1", "f2", tables)
     far = distance(*(F.col(c) for c in ("q1", "q2", "f1", "f2")))
     return asked.join(there, ["t", "k1", "k2"]).filter(far <= radius).select("q1", "q2", "f1", "f2", far.alias("distance")).distinct()
@@ -124,10 +146,15 @@ def compare(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         likeness(c("f1"), c("f2"), *next_).alias("near_next"), "f1", "f2")
 
 
-def with_near_counts(found: DataFrame, *, id_col: str = "doc_id", every: int = 20, radius: int = 3) -> DataFrame:
-    """Adds ``n_within``: for every row whose id is divisible by ``every``, how many other rows have a fingerprint within ``radius`` bits; else NULL."""
+def with_near(found: DataFrame, *, id_col: str = "doc_id", every: int = 20, radius: int = 3) -> DataFrame:
+    """Adds ``same_id``, the least id with the row's fingerprint; and, for every row whose id is divisible by ``every``, else NULL:
+    ``n_within``, how many other rows have a fingerprint within ``radius`` bits, and ``within_ids``, the ``same_id`` of each
+    other such fingerprint, ascending (fingerprints of rows without id have none).
+    """
     asks = F.col(id_col) % every == 0
-    copies = found.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("copies"))
-    hits = near(found.filter(asks), copies, radius=radius).join(copies, ["f1", "f2"]).groupBy("q1", "q2").agg(F.sum("copies").alias("c"))
-    hits = hits.select(F.col("q1").alias("f1"), F.col("q2").alias("f2"), (F.col("c") - 1).alias("n"))
-    return found.join(hits, ["f1", "f2"], "left").withColumn("n_within", F.when(asks, F.col("n"))).drop("n", "f1", "f2")
+    copies = found.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("same_id"))
+    other = (F.col("f1") != F.col("q1")) | (F.col("f2") != F.col("q2"))
+    hits = near(found.filter(asks), copies, radius=radius).join(copies, ["f1", "f2"]).groupBy("q1", "q2").agg(
+        (F.sum("copies") - 1).alias("n"), F.array_sort(F.collect_list(F.when(other, F.col("same_id")))).alias("ids"))
+    groups = copies.drop("copies").join(hits.withColumnsRenamed({"q1": "f1", "q2": "f2"}), ["f1", "f2"], "left")
+    return found.join(groups, ["f1", "f2"], "left").withColumns({"n_within": F.when(asks, F.col("n")), "within_ids": F.when(asks, F.col("ids"))}).drop("n", "ids", "f1", "f2")
