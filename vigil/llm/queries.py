@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, jaccard, langid, mixing, pii, quality, simhash, sql, tokens, urlfilter, warc
+from vigil.llm import covering, decontaminate, jaccard, langid, mixing, periodic, phrases, pii, quality, simhash, sql, tokens, urlfilter, warc
 from vigil.llm.common import new_dir, table, written
 
 #: Words that put a page's url on the block list of the query.
@@ -82,8 +82,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language, of phrases of two to four words that occur 30 times or more."""
+    return phrases.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, after the contract's rewriting of a tenth of them."""
+    return periodic.digest(table(spark, sf_dir, "documents"), rewrite=periodic.repeated_tail)
+
+
+def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 64-bit fingerprints differ in two bits or fewer."""
+    return covering.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive, op10_pii)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_simhash, op4_mix_sources, op5_url_filter, op6_token_files, op7_decontaminate, op8_jaccard_join, op9_warc_archive, op10_pii,
+                                    op11_collocations, op12_periodic_runs, op13_covering_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

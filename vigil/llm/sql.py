@@ -67,6 +67,25 @@ SELECT page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest
 FROM d LEFT JOIN f ON d.digest = f.digest AND d.n = f.n
 """
 
+_PIECES = r"""unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'))"""
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all({_PIECES}, '[^\x20\x09]+') AS w FROM documents),
+g AS (SELECT lang, m, list_slice(w, i, i + m - 1) AS ws, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY 1),
+c AS (SELECT * FROM g WHERE m > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.ws, c.f AS a, k, l.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.ws = list_slice(c.ws, 1, k) JOIN g r ON r.lang = c.lang AND r.ws = list_slice(c.ws, k + 1, c.m)),
+best AS (SELECT lang, ws, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM cuts GROUP BY ALL),
+longer AS (SELECT lang, list_slice(ws, i, i + q - 1) AS ws, max(f) AS most
+  FROM (SELECT lang, ws, f, q, unnest(range(1, m - q + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS q FROM c)) GROUP BY ALL),
+kept AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, b.l AS l, b.r AS r, b.score AS score
+  FROM best LEFT JOIN longer USING (lang, ws) WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": OP4, "op5_url_filter": OP5, "op7_decontaminate": OP7, "op9_warc_archive": OP9}
+    return {"op4_mix_sources": OP4, "op5_url_filter": OP5, "op7_decontaminate": OP7, "op9_warc_archive": OP9, "op11_collocations": OP11}
