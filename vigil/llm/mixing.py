@@ -31,8 +31,8 @@ def rates(sizes: DataFrame, *, weights: dict[str, float] | None = None, default_
           total: float | None = None) -> DataFrame:
     """(_source, mix_rate) from (_source, n): the target weight is ``weights[source]``, or n to the power ``alpha``.
 
-    ``total`` is the wanted number of copies (default: as many as there are documents).  Rates are kept to
-    six decimals, so that they do not depend on the order of summation.
+    ``total`` is the wanted number of copies (default: as many as there are documents).  Rates are kept to six decimals, those
+    below one to six digits behind the zeros, so that they do not depend on the order of summation and none vanishes.
     """
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(alpha))
@@ -44,7 +44,9 @@ def rates(sizes: DataFrame, *, weights: dict[str, float] | None = None, default_
     if not sums["w"]:
         return sizes.select("_source", F.lit(0.0).alias("mix_rate"))
     want = float(sums["n"] if total is None else total)
-    return sizes.select("_source", F.round(F.col("_w") / F.lit(sums["w"]) * F.lit(want) / F.col("n"), 6).alias("mix_rate"))
+    rate = F.col("_w") / F.lit(sums["w"]) * F.lit(want) / F.col("n")
+    scale = F.pow(F.lit(10.0), F.greatest(F.lit(6.0), 6.0 - F.floor(F.log10(rate)).cast("double")))
+    return sizes.select("_source", F.when(rate > 0, F.round(rate * scale) / scale).otherwise(F.lit(0.0)).alias("mix_rate"))
 
 
 def distribution(rate: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 OP4 = r"""
 WITH sizes AS (SELECT coalesce(source, chr(1) || 'none') AS src, count(*) AS n FROM documents GROUP BY 1),
 sums AS (SELECT sum(pow(n, 0.5)) AS w, sum(n) AS total FROM sizes),
-rate AS (SELECT src, round(pow(n, 0.5) / w * total / n, 6) AS mix_rate FROM sizes, sums),
+exact AS (SELECT src, pow(n, 0.5) / w * total / n AS r FROM sizes, sums),
+scaled AS (SELECT src, r, pow(10.0, greatest(6.0, 6.0 - floor(log10(r)))) AS s FROM exact WHERE r > 0),
+rate AS (SELECT src, round(r * s) / s AS mix_rate FROM scaled),
 terms AS (SELECT src, mix_rate, k, exp(-mix_rate + k * ln(mix_rate)
     - sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY src ORDER BY k)) AS p
   FROM (SELECT src, mix_rate, unnest(range(0, CAST(ceil(mix_rate + 12 * sqrt(mix_rate) + 30) AS BIGINT) + 1)) AS k FROM rate WHERE mix_rate > 0)),
