@@ -126,7 +126,7 @@ def test_codes_hold_the_last_five_bytes_of_each_row():
 def test_damaged_payload_is_found():
     head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:1>\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 2\r\n\r\n"
     with pytest.raises(ValueError):
-        list(warc.parse_records(head + b"xy\r\n\r\n"))
+        list(warc.parse_records(iter([head + b"xy\r\n\r\n"])))
 
 
 def test_counters():
