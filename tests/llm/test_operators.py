@@ -396,7 +396,8 @@ def test_jaccard_edges_and_survivors(docs_of):
     got = [(r.doc_id, r.component_id) for r in jaccard.join(docs, k=5).collect()]
     assert sorted(x for x in got if x[0]) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 3), (5, 3), (9, 3)] and (None, None) in got
     kept = jaccard.survivors(docs)
-    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4]
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) == [
+        (1, ""), (2, ""), (3, text), (4, ""), (5, "z z")]  # an id and its text make a document
     again = docs_of([text, text, "q r s t u"], ids=[7, 7, 8])
     assert sorted(r.doc_id for r in jaccard.survivors(again).collect()) == [7, 8]
     assert jaccard.join(docs.limit(0)).count() == 0 and jaccard.survivors(docs.limit(0)).count() == 0

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import at_most, column, fresh, small_batches, without, written
+from vigil.llm.common import at_most, column, columns, fresh, small_batches, without, written
+from vigil.llm.covering import heavy_join
 from vigil.llm.graph import components
 from vigil.llm.shingles import shingle_sets
 
@@ -184,18 +185,28 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` of which each group of links keeps one: that with the smallest id.
+    """The rows of ``docs`` of which each group of links keeps one: that with the smallest id (NULL ids last).
 
-    Rows that repeat an id are one document, of which the first by text stays; rows with a NULL id all stay.
+    A node is an id and its text, so different texts under one id, or under no id, are documents of their own; of rows that
+    repeat both one stays.
     """
-    found = written(join(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den).select(F.col(id_col).alias("id"), "component_id"), "components")
-    kept = without(docs, found.filter("component_id <> id").select(F.col("id").alias(id_col)), [id_col])
-    repeated = found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias(id_col))
+    node, spare = fresh(docs, "_node"), fresh(docs, "_row")
+    keyed = docs.withColumn(node, F.xxhash64(column(id_col), column(text_col)))
+    found = join(keyed, id_col=node, text_col=text_col, k=k, num=num, den=den).select(column(node).alias("node"), "component_id")
+    # One row per node; the partial aggregates take rows that repeat an id and text.
+    found = found.groupBy("node").agg(F.min("component_id").alias("component"))
+    nodes = keyed.select(column(node).alias("node"), column(id_col).alias("id")).groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    nodes = written(nodes.join(found, "node"), "components")
+    first = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+    groups = first.join(nodes.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "component").select("component", F.col("first.node").alias("best"), "c")
+    lost = heavy_join(nodes, groups, ["component"], "c", "left").filter("best <> node").select(F.col("node").alias(node))
+    kept = without(keyed, lost, [node])
+    repeated = nodes.filter("rows > 1").select(F.col("node").alias(node))
     if not repeated.limit(1).count():
-        return kept
-    # Only the rows of repeated ids move.
-    single = without(kept, repeated, [id_col])
-    twin, rank = fresh(docs, "_repeated"), fresh(docs, "_rank")
-    again = kept.join(repeated.withColumnRenamed(id_col, twin), column(id_col) == F.col(twin), "left_semi")
-    first = F.row_number().over(Window.partitionBy(column(id_col)).orderBy(column(text_col)))
-    return single.unionByName(again.withColumn(rank, first).filter(F.col(rank) == 1).drop(rank))
+        return kept.drop(node)
+    # Only the rows that repeat an id and text are aggregated: the least by a hash of the whole row.
+    single = without(kept, repeated, [node]).drop(node)
+    twin = fresh(keyed, "_twin")
+    again = kept.join(repeated.withColumnRenamed(node, twin), column(node) == column(twin), "left_semi")
+    again = again.groupBy(column(node)).agg(F.min_by(F.struct(*columns(docs)), F.xxhash64(*columns(docs))).alias(spare))
+    return single.unionByName(again.select(f"{spare}.*"))
