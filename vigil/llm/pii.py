@@ -208,28 +208,41 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, rounds: int = 30, damp: float = 0.3, close: float = 1e-4) -> np.ndarray:
-    """Sum-product messages on all edges at once: (log potentials per node, (a, b) pairs, log potentials per edge) -> marginals."""
+def marginals(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, graph: np.ndarray | None = None, rounds: int | None = None,
+              damp: float = 0.3, close: float = 1e-4) -> np.ndarray:
+    """Sum-product messages on all edges at once: (log potentials per node, (a, b) pairs, log potentials per edge) -> marginals.
+
+    ``graph`` numbers the graph of each node.  A graph is finished when none of its own messages changes any more, so
+    its marginals do not depend on the others; one that swings is given up after as many rounds as evidence needs to pass
+    all its nodes, and 100 more (``rounds`` sets another bound).
+    """
     m = len(edges)
     if not m:
         return np.exp(_normal(unary))
-    source = np.concatenate([edges[:, 0], edges[:, 1]])
-    target = np.concatenate([edges[:, 1], edges[:, 0]])
-    pair = np.concatenate([tables, tables.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-    sent = np.zeros((2 * m, unary.shape[1]))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, target, sent)
-        inward = (belief[source] - sent[back])[:, :, None] + pair
+    graph = np.zeros(len(unary), np.int64) if graph is None else graph
+    belief = unary.copy()
+    source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    pair, back = np.concatenate([tables, tables.transpose(0, 2, 1)]), np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+    sent, owner = np.zeros((2 * m, unary.shape[1])), graph[source]
+    most = np.bincount(graph) + 100 if rounds is None else np.full(int(graph.max()) + 1, rounds)
+    done = 0
+    while len(source):
+        here = unary.copy()
+        np.add.at(here, target, sent)
+        inward = (here[source] - sent[back])[:, :, None] + pair
         top = inward.max(axis=1, keepdims=True)
         new = _normal((top + np.log(np.exp(inward - top).sum(axis=1, keepdims=True)))[:, 0])
-        change = np.abs(np.exp(new) - np.exp(sent)).max()
+        moved = np.zeros(len(most))
+        np.maximum.at(moved, owner, np.abs(np.exp(new) - np.exp(sent)).max(axis=1))
         sent = damp * sent + (1 - damp) * new
-        if change < close:
-            break
-    belief = unary.copy()
-    np.add.at(belief, target, sent)
+        done += 1
+        ended = ((moved < close) | (most <= done))[owner]
+        if ended.any():
+            np.add.at(belief, target[ended], sent[ended])
+            keep = np.flatnonzero(~ended)
+            place = np.zeros(len(source), np.int64)
+            place[keep] = np.arange(len(keep))
+            source, target, pair, sent, owner, back = source[keep], target[keep], pair[keep], sent[keep], owner[keep], place[back[keep]]
     return np.exp(_normal(belief))
 
 
@@ -246,7 +259,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
         chain, skip = tokens.edges()
         edges += [(a + at, b + at) for a, b in chain + skip]
         tables += [model["chain"]] * len(chain) + [model["skip"]] * len(skip)
-    found = marginals(unary, np.array(edges, int).reshape(-1, 2), np.array(tables).reshape(-1, *model["chain"].shape))
+    found = marginals(unary, np.array(edges, int).reshape(-1, 2), np.array(tables).reshape(-1, *model["chain"].shape), np.repeat(np.arange(len(sizes)), sizes))
     label = np.where(found.max(axis=1) >= sure, found.argmax(axis=1), 0)
     out = []
     for text, tokens, base, at in zip(texts, every, bases, first):
