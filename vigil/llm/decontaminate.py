@@ -31,6 +31,8 @@ from vigil.llm.common import column, small_batches, written
 
 PATTERN_CHARS = 32 << 20
 SLICE_BYTES, STRETCH, OPEN = 4 << 20, 512, 1 << 22
+#: A word of the contract, in lower-cased text.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Word bytes: 0-9, A-Z (lower-cased), a-z and every byte of a character beyond ASCII.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
