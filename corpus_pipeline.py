@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, jaccard, mixing, quality, tokens
-from vigil.llm.common import columns, fresh, new_dir, table, without, written
+from vigil.llm.common import ascii_lower, columns, fresh, new_dir, table, without, written
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -39,9 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten-word window of a benchmark item."""
+    """Documents that hold no ten-word window of a benchmark item; an item of fewer words has no such window."""
     plain = numbered(docs)
-    found = decontaminate.scan(plain, table(spark, sf_dir, "benchmark"), text_col=at(docs, "text"), window=10)
+    items = table(spark, sf_dir, "benchmark").filter(F.size(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(decontaminate.WORD), F.lit(0))) >= 10)
+    found = decontaminate.scan(plain, items, text_col=at(docs, "text"), window=10)
     return found.filter(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
@@ -52,10 +53,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*plain.columns).toDF(*docs.columns)
 
 
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` read from Parquet, and a column that ascends with file and row: the order in which the stage before wrote them."""
+    name = fresh(docs, "_order")
+    place = F.concat("_metadata.file_name", F.lit(":"), F.lpad(F.col("_metadata.row_index").cast("string"), 15, "0"))
+    return docs.select("*", place.alias(name)), name
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in wavelet-matrix shards; what the files say of each document."""
+    """Token ids in wavelet-matrix shards, in the order of mixing; what the files say of each document."""
     path = new_dir(spark, "pipeline-tokens")
-    tokens.write_tokens(docs, path, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added_tokens=True)
+    docs, order = in_file_order(docs)
+    tokens.write_tokens(docs, path, order_col=order, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added_tokens=True)
     return tokens.read_documents(spark, path)
 
 

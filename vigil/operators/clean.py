@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.features import numeric_columns
-from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, ordered_scan, time_bucket
+from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, ordered_scan, suggest_bucket_seconds, time_bucket
 
 # fixed values (must equal the reference's)
 ZSCORE_THRESHOLD = 3.0
@@ -183,10 +183,11 @@ def median_impute(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def handle_missing(df: DataFrame, method: str = "interpolate", columns: Sequence[str] | None = None,
                    by: str | None = "equipment_id", ts: str = "timestamp",
-                   tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Interpolation + back-fill, or median imputation."""
+                   tiebreak: Sequence[str] = (), bucket_seconds: int | None = None) -> DataFrame:
+    """Interpolation + back-fill, or median imputation; the bucket width follows the density unless it is given."""
     if method == "interpolate":
-        return interpolate_linear(df, columns, by=by, ts=ts, tiebreak=tiebreak)
+        width = bucket_seconds or suggest_bucket_seconds(df, by, ts)
+        return interpolate_linear(df, columns, by=by, ts=ts, tiebreak=tiebreak, bucket_seconds=width)
     return median_impute(df, columns)
 
 

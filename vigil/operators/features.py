@@ -187,10 +187,10 @@ def degradation_linear(df: DataFrame, by: str = "equipment_id", ts: str = "times
 
 
 def group_max_over(df: DataFrame, by: str, col: str, out: str) -> DataFrame:
-    """Attach max(col) of the row's group (aggregate + join, not a hot window)."""
-    from vigil.operators.ordered import join_on_keys
+    """Attach max(col) of the row's group (an aggregate joined back over salts, not a hot window)."""
+    from vigil.operators.ordered import join_salted
     m = df.groupBy(by).agg(F.max(col).alias(out))
-    return join_on_keys(df, m, [by], "left")
+    return join_salted(df, m, [by], "left")
 
 
 def _order_key(df: DataFrame, order: Sequence[str]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import join_on_keys
+from vigil.operators.ordered import join_salted
 
 # fixed values (must equal the reference's)
 AI4I_BASE = "2020-01-01 00:00:00"
@@ -141,7 +141,7 @@ def normalize_cmapss(raw: DataFrame) -> DataFrame:
     = cycle / max cycle of the unit; failing when cycle > 0.9 * max.
     """
     mx = raw.groupBy("unit").agg(F.max("cycle").alias("_max_cycle"))
-    j = join_on_keys(raw, mx, ["unit"], "left")
+    j = join_salted(raw, mx, ["unit"], "left")
     cols = [engine_id(F.col("unit")).alias("equipment_id"),
             hours_after(CMAPSS_BASE, F.col("cycle")).alias("timestamp")]
     names = set(raw.columns)

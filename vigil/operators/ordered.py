@@ -59,6 +59,22 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return out.drop(*ren.values())
 
 
+#: Copies of a per-key summary that ``join_salted`` deals a key's rows over.
+SALTS = 32
+
+
+def join_salted(left: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Equi-join of rows with a summary that has one row per key (NULL keys equal), without a hot partition.
+
+    The summary is copied to every salt and the rows are dealt over the salts by a hash of the whole row, so a key with a
+    third of all rows meets ``salts`` tasks.  A summary small enough is broadcast by the optimizer as any other side.
+    """
+    hashable = [F.col(f"`{f.name}`") for f in left.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
+    copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return join_on_keys(dealt, copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
     return df.withColumn(BUCKET, bucket)
 

@@ -107,13 +107,15 @@ def validate_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | D
         if sensor not in df.columns or lo is None or hi is None:
             continue
         v = F.col(sensor).cast("double")
-        items.append(F.when((v < lo) | (v > hi),
-                            F.concat(F.lit(f"{sensor}="), py_float_text(v),
-                                     F.lit(f" outside expected range [{lo:.2f}, {hi:.2f}]"))))
+        # The text is made below, once, and only for the values out of range.
+        items.append(F.when((v < lo) | (v > hi), F.struct(F.lit(f"{sensor}=").alias("head"), v.alias("value"),
+                                                          F.lit(f" outside expected range [{lo:.2f}, {hi:.2f}]").alias("tail"))))
     if not items:
         return df.withColumn(out, F.lit(None).cast("array<string>"))
-    arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return df.withColumn(out, F.when(F.size(arr) > 0, arr))
+    bad = F.filter(F.array(*items), lambda x: x.isNotNull())
+    text = F.transform(bad, lambda x: F.concat(x["head"], py_float_text(x["value"]), x["tail"]))
+    # One array holds the warnings of a row, so no expression names them twice.
+    return df.withColumn(out, F.get(F.filter(F.array(text), lambda w: F.size(w) > 0), F.lit(0)))
 
 
 def flatten_warnings(df: DataFrame, id_col: str = "equipment_id",

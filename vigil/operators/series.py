@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, fill_scan, join_on_keys, time_bucket
+from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS, fill_scan, join_on_keys, suggest_bucket_seconds, time_bucket
 from vigil.session import cut_lineage, ensure_checkpoint_dir
 
 # fixed values (must equal the reference's)
@@ -54,7 +54,8 @@ def cooldown_events(df: DataFrame, trigger: Column, by: str = "equipment_id",
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    bucket_seconds = bucket_seconds or max(gap_seconds, 3600)
+    # No wider than the densest equipment allows: a burst is split down to seconds.
+    bucket_seconds = bucket_seconds or min(max(gap_seconds, 3600), suggest_bucket_seconds(df.select(by, ts), by, ts))
     gap_us = gap_seconds * 1_000_000
     series = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("none"))
     row_id = F.concat(F.lit("c:"), F.col(tiebreak).cast("long").cast("string"), F.lit(":"), series)
@@ -106,21 +107,75 @@ def daily_spine(df: DataFrame, by: str = "equipment_id", ts: str = "timestamp",
     return rng.select(by, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {step}"))).alias(ts))
 
 
+def _divisors(n: int) -> list[int]:
+    out, p = [1], 2
+    while n > 1:
+        if p * p > n:
+            p = n
+        powers = [1]
+        while n % p == 0:
+            n //= p
+            powers.append(powers[-1] * p)
+        out = [a * b for a in out for b in powers]
+        p += 1
+    return sorted(out)
+
+
+def rolling_width(df: DataFrame, window_seconds: int, by: str, ts: str, sub_buckets: int, target_rows: int) -> int:
+    """Width in microseconds of the sub-buckets of ``rolling_features``: it divides the window, and no sub-bucket of an
+    equipment holds more than ``target_rows`` rows (down to single microseconds).  One number a round reaches the driver."""
+    widths = _divisors(int(window_seconds) * 1_000_000)
+    width = max(d for d in widths if d * max(1, int(sub_buckets)) <= widths[-1])
+    while True:
+        slot = F.floor(F.unix_micros(F.col(ts)) / F.lit(width)).alias("_slot")
+        densest = df.filter(F.col(ts).isNotNull()).groupBy(by, slot).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if densest <= target_rows or width == 1:
+            return width
+        width = max([d for d in widths if d * -(-densest // target_rows) <= width], default=1)
+
+
+def _before_totals(tot: DataFrame, by: str, m: int, n: int) -> DataFrame:
+    """For each sub-bucket c of ``tot``: totals (_bn, _bs, _bx, _bi) of the sub-buckets c-m+1 .. c-1.
+
+    Level l has the totals of blocks of 2**l sub-buckets; a range takes at most two blocks of each level.  A block
+    serves at most 2**(l+1) ranges, so no key of the join is hot.
+    """
+    top = m.bit_length()
+    parts = [f(f"_t{k}{i}").alias(f"_t{k}{i}") for i in range(n) for k, f in (("n", F.sum), ("s", F.sum), ("x", F.max), ("i", F.min))]
+    levels = tot.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    levels = levels.groupBy(by, "_l", F.expr("shiftright(_sb, _l)").alias("_block")).agg(*parts)
+    taken = []
+    for level in range(top + 1):
+        size = 1 << level
+        # the half-open range [a, b) in blocks of this level, from which the levels below have taken odd ends
+        a = F.shiftright(F.col("_sb") - (m - 1) + (size - 1), level)
+        b = F.shiftright(F.col("_sb"), level)
+        odd_a, odd_b = a.bitwiseAND(F.lit(1)), b.bitwiseAND(F.lit(1))
+        block = lambda at: F.struct(F.lit(level).alias("_l"), at.alias("_block"))
+        taken += [F.when((odd_a == 1) & (a < b), block(a)), F.when((odd_b == 1) & (a + odd_a < b), block(b - 1))]
+    ranges = tot.select(by, "_sb", F.inline(F.filter(F.array(*taken), lambda x: x.isNotNull())))
+    found = join_on_keys(ranges, levels, [by, "_l", "_block"], "inner")
+    out = [f(f"_t{k}{i}").alias(f"_b{k}{i}") for i in range(n) for k, f in (("n", F.sum), ("s", F.sum), ("x", F.max), ("i", F.min))]
+    return found.groupBy(by, "_sb").agg(*out)
+
+
 ROLLING_STATS = ("mean", "max", "min", "count", "sum")
 
 
 def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
                      by: str = "equipment_id", ts: str = "timestamp", tiebreak: str = "event_id",
-                     sub_buckets: int = 24, stats: Sequence[str] = ("mean", "max", "count")) -> DataFrame:
+                     sub_buckets: int = 24, stats: Sequence[str] = ("mean", "max", "count"),
+                     target_rows: int = 2_000_000) -> DataFrame:
     """Per row, stats of each column over the right-closed window (t - w, t] of its equipment.
 
     Exact and O(n log n) with no frame that slides over raw rows (Spark's
     sliding frames re-aggregate the whole frame per row).  Time is cut into
-    sub-buckets of width w / m; a window (t - w, t] whose row lies in sub-bucket
-    c is exactly
+    sub-buckets of width w / m, at least ``sub_buckets`` of them and as many more as it takes for none
+    to hold over ``target_rows`` rows of an equipment (``rolling_width``), so a burst is split over tasks.  A window
+    (t - w, t] whose row lies in sub-bucket c is exactly
 
     * A: rows of sub-bucket c up to t          (running aggregate, incremental),
-    * B: whole sub-buckets c-m+1 .. c-1        (per-sub-bucket totals, a small table),
+    * B: whole sub-buckets c-m+1 .. c-1        (totals of dyadic blocks of sub-buckets: at most 2 log2(m) of them),
     * C: rows of sub-bucket c-m after t - w    (suffix aggregate of that sub-bucket, read at
       its first row after t - w: a forward lookup through the ordered union of rows and probes).
 
@@ -131,10 +186,8 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
     if bad:
         raise ValueError(f"unsupported rolling stats {bad}; supported: {ROLLING_STATS}")
     w_us = int(window_seconds) * 1_000_000
-    m = max(1, int(sub_buckets))
-    while w_us % m:
-        m -= 1
-    d_us = w_us // m
+    d_us = rolling_width(df, window_seconds, by, ts, sub_buckets, target_rows)
+    m = w_us // d_us
     cols = list(columns)
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     base = df.withColumns({"_tu": F.unix_micros(F.col(ts)),
@@ -156,16 +209,9 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
     rows = base.withColumns(aggs("_a", lambda c: (lambda e: e.over(wa))))
     rows = rows.withColumns(aggs("_z", lambda c: (lambda e: e.over(ws))))
 
-    # B: totals per sub-bucket, then over the m-1 sub-buckets before each one (small table)
-    tot = base.groupBy(by, "_sb").agg(*[e.alias(k) for k, e in aggs("_t", lambda c: (lambda e: e)).items()])
-    wb = Window.partitionBy(by).orderBy("_sb").rangeBetween(-(m - 1), -1)
-    bcols = {}
-    for i in range(len(cols)):
-        bcols[f"_bn{i}"] = F.sum(f"_tn{i}").over(wb)
-        bcols[f"_bs{i}"] = F.sum(f"_ts{i}").over(wb)
-        bcols[f"_bx{i}"] = F.max(f"_tx{i}").over(wb)
-        bcols[f"_bi{i}"] = F.min(f"_ti{i}").over(wb)
-    btab = tot.select(by, "_sb", *[v.alias(k) for k, v in bcols.items()]) if m > 1 else None
+    # B: totals per sub-bucket, then of dyadic blocks, then of the m-1 sub-buckets before each one
+    tot = base.filter(F.col("_sb").isNotNull()).groupBy(by, "_sb").agg(*[e.alias(k) for k, e in aggs("_t", lambda c: (lambda e: e)).items()])
+    btab = _before_totals(tot, by, m, len(cols)) if m > 1 else None
 
     # C: for each row, the suffix aggregate of sub-bucket c-m at its first row with time > t - w
     zfields = [F.col(f"_z{k}{i}").alias(f"{k}{i}") for i in range(len(cols)) for k in "nsxi"]
@@ -210,32 +256,27 @@ def rolling_features(df: DataFrame, columns: Sequence[str], window_seconds: int,
 def corr_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """A17 (W10 with ``by``): Pearson matrix, pairwise-complete, long form (a, b, corr).
 
-    One aggregate holds the guarded moments of every (a <= b) column pair, so no row is
-    multiplied; its one row (per key) is then turned into long form.  A value is used only where
-    both columns are non-NULL.  A constant column gives NULL instead of a division error; values
-    are clamped to [-1, 1]; the lower triangle mirrors the upper one.
+    Each row is turned into one small (pair, x, y) record per column pair inside the scan, and one hash aggregate of the
+    guarded moments runs over them: its map-side table has one entry per pair (and key), so nothing but those entries is
+    shuffled.  A value is used only where both columns are non-NULL.  A constant column gives NULL instead of a
+    division error; values are clamped to [-1, 1]; the lower triangle mirrors the upper one.
     """
     cols = list(columns)
     keys = [by] if by else []
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-
-    def q(c: str) -> str:
-        return "`" + c.replace("`", "``") + "`"
-
-    def lit(c: str) -> str:
-        return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-    # one SQL expression per pair (single plan calls)
-    exprs = []
-    for k, (a, b) in enumerate(pairs):
-        both = f"{q(a)} IS NOT NULL AND {q(b)} IS NOT NULL"
-        x = f"CASE WHEN {both} THEN CAST({q(a)} AS DOUBLE) END"
-        y = f"CASE WHEN {both} THEN CAST({q(b)} AS DOUBLE) END"
-        exprs.append(F.expr(f"try_divide(covar_samp({x}, {y}), stddev_samp({x}) * stddev_samp({y}))").alias(f"_r{k}"))
-    wide = df.groupBy(*keys).agg(*exprs)
-    items = [f"named_struct('sensor_a', {lit(a)}, 'sensor_b', {lit(b)}, 'r', _r{k})" for k, (a, b) in enumerate(pairs)]
+    names = {c: f"_v{i}" for i, c in enumerate(cols)}
+    wide = df.select(*keys, *[F.col("`" + c.replace("`", "``") + "`").cast("double").alias(n) for c, n in names.items()])
+    both = lambda a, b, c: F.when(F.col(names[a]).isNotNull() & F.col(names[b]).isNotNull(), F.col(names[c]))
+    records = [F.struct(F.lit(k).alias("_pair"), both(a, b, a).alias("_x"), both(a, b, b).alias("_y")) for k, (a, b) in enumerate(pairs)]
+    long = wide.select(*keys, F.inline(F.array(*records)))
+    r = F.try_divide(F.covar_samp("_x", "_y"), F.stddev_samp("_x") * F.stddev_samp("_y"))
+    found = long.groupBy(*keys, "_pair").agg(r.alias("r"))
     r = F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("r"))))
-    upper = wide.select(*keys, F.expr(f"inline(array({', '.join(items)}))")).select(*keys, "sensor_a", "sensor_b", r.alias("corr"))
+    side = lambda n: F.get(F.array(*[F.lit(p[n]) for p in pairs]), F.col("_pair"))
+    upper = found.select(*keys, side(0).alias("sensor_a"), side(1).alias("sensor_b"), r.alias("corr"))
+    if not keys:  # an empty table has every pair, without a value
+        every = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("sensor_a"), F.lit(b).alias("sensor_b")) for a, b in pairs])))
+        upper = every.join(F.broadcast(upper), ["sensor_a", "sensor_b"], "left") if pairs else upper
     both_ways = F.when(
         F.col("sensor_a") == F.col("sensor_b"),
         F.array(F.struct(F.col("sensor_a").alias("a"), F.col("sensor_b").alias("b"))),

@@ -17,7 +17,7 @@ from vigil.functions import rules as R
 from vigil.operators import clean, features, fleet, ml, normalize, profile, quality, series, split
 from vigil.operators.asof import asof_join
 from vigil.operators.ordered import suggest_bucket_seconds
-from vigil.plans import more, stored, streams
+from vigil.plans import more, stored, streams, whole
 from vigil.plans.readings import (EVENT_SENSORS, LINEITEM_SENSORS, event_readings, events_base,
                                   lineitem_readings)
 from vigil.plans.util import finish
@@ -488,4 +488,4 @@ def queries() -> dict[str, Query]:
         "split_counts": q_split_counts,
         "template_align": q_template_align,
         "rf_train_score": q_rf_train_score,
-    } | more.queries() | stored.queries() | streams.queries()
+    } | more.queries() | stored.queries() | streams.queries() | whole.queries()

@@ -5,18 +5,23 @@
         --sensor s.csv --maintenance m.csv --operational o.csv --out /shared/models/run1
     spark-submit --py-files vigil.zip vigil/plans/jobs.py dataset --name ai4i2020 \
         --path path=/shared/raw/ai4i2020.csv --out /shared/runs/ai4i
+
+Further commands: ``features``, ``retrain``, ``simple``, ``fleet`` and ``profile`` (E06–E09); tables are Parquet folders, or CSV
+files with a header where the path ends in ``.csv``.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import clean, features, fleet, ml, profile, quality, series, split
+from vigil.operators.ordered import suggest_bucket_seconds
+from vigil.plans.manifest import Manifest, files_fingerprint
 from vigil.session import cut_lineage
 from vigil.sources import files
 
@@ -74,7 +79,6 @@ def train_and_validate(feats: DataFrame, labels: DataFrame, cfg: JobConfig, stra
 def train_job(spark: SparkSession, ds: files.Dataset, out: str | None, cfg: JobConfig = JobConfig(),
               stratify: bool = False) -> TrainResult:
     """Load → E02 clean → E03 features/labels → M04 train → M05 validate → S11 save."""
-    from vigil.operators.ordered import suggest_bucket_seconds
     width = cfg.bucket_seconds or suggest_bucket_seconds(
         ds.sensor, cfg.interpolate_scope or [], "timestamp", cfg.bucket_target_rows)
     cleaned = clean.clean_and_preprocess(
@@ -98,22 +102,47 @@ def train_job(spark: SparkSession, ds: files.Dataset, out: str | None, cfg: JobC
 
 
 def dataset_job(spark: SparkSession, name: str, out: str, cfg: JobConfig = JobConfig(), **paths) -> dict:
-    """Registry load → raw copies → E04 → ranges on raw sensor data → profile."""
+    """Registry load → raw copies → E04 → ranges on raw sensor data → profile, as steps of a manifest.
+
+    S04: every named file must be there.  S13: an empty maintenance or operational table is left unwritten.  A rerun skips
+    the steps whose inputs and settings have not changed (``ran`` and ``skipped`` in the result).
+    """
+    files.require_paths(spark, {k: v for k, v in paths.items() if v is not None})
+    manifest = Manifest(spark, out)
     ds = files.load_dataset(name, spark, **paths)
-    raw = ds.sensor.persist()
-    files.write_table(raw, f"{out}/raw/sensor")
-    if ds.maintenance is not None:
-        files.write_table(ds.maintenance, f"{out}/raw/maintenance", skip_empty=True)
-    if ds.operational is not None:
-        files.write_table(ds.operational, f"{out}/raw/operational", skip_empty=True)
-    res = train_job(spark, ds, out, cfg, stratify=True)
-    rng = quality.expected_ranges(raw, n_sigma=cfg.range_sigmas)
-    files.write_ranges_json(rng, f"{out}/expected_ranges")
-    prof = profile.dataset_profile(raw).first().asDict()
-    for name_, table in profile_job(raw).items():
-        files.write_table(table, f"{out}/profile/{name_}")
-    raw.unpersist()
-    return {"metrics": res.metrics, "profile": {k: str(v) for k, v in prof.items()}}
+
+    def raw() -> dict:
+        made = {"sensor": f"{out}/raw/sensor"}
+        files.write_table(ds.sensor, made["sensor"])
+        for part, table in (("maintenance", ds.maintenance), ("operational", ds.operational)):
+            wrote = table is not None and files.write_table(table, f"{out}/raw/{part}", skip_empty=True)
+            made[part] = f"{out}/raw/{part}" if wrote else None
+        return {"outputs": made}
+
+    facts = manifest.step("raw", [name, files_fingerprint(spark, {k: v for k, v in paths.items() if v is not None})], raw)
+    read = {k: spark.read.parquet(p) if p else None for k, p in facts["outputs"].items()}
+    stored = files.Dataset(read["sensor"], read["maintenance"], read["operational"])
+
+    def train() -> dict:
+        res = train_job(spark, stored, out, cfg, stratify=True)
+        return {"outputs": {k: f"{out}/{k}" for k in ("cleaned", "features", "labels", "model/meta")}, "metrics": res.metrics}
+
+    def ranges() -> dict:
+        files.write_ranges_json(quality.expected_ranges(stored.sensor, n_sigma=cfg.range_sigmas), f"{out}/expected_ranges")
+        return {"outputs": {"expected_ranges": f"{out}/expected_ranges"}}
+
+    def describe() -> dict:
+        made = {}
+        for part, table in profile_job(stored.sensor).items():
+            made[part] = f"{out}/profile/{part}"
+            files.write_table(table, made[part])
+        prof = profile.dataset_profile(stored.sensor).first().asDict()
+        return {"outputs": made, "profile": {k: str(v) for k, v in prof.items()}}
+
+    metrics = manifest.step("train", asdict(cfg), train, after=("raw",))["metrics"]
+    manifest.step("ranges", cfg.range_sigmas, ranges, after=("raw",))
+    prof = manifest.step("profile", None, describe, after=("raw",))["profile"]
+    return {"metrics": metrics, "profile": prof, "ran": manifest.ran, "skipped": manifest.skipped}
 
 
 def features_job(spark: SparkSession, sensor_path: str, out: str, order: tuple[str, ...] = ("timestamp",)) -> dict[str, DataFrame]:
@@ -126,13 +155,14 @@ def features_job(spark: SparkSession, sensor_path: str, out: str, order: tuple[s
 
 
 def simple_job(spark: SparkSession, readings: DataFrame, out: str | None = None,
-               tiebreak: tuple[str, ...] = ()) -> dict:
-    """Simple features → split → scaler → forest(50) → R² on train and test."""
-    sf = features.simple_features(readings, "equipment_id", "timestamp", list(tiebreak))
+               tiebreak: tuple[str, ...] = (), trees: int = ml.SIMPLE_FOREST_TREES, depth: int = ml.MOST_DEPTH) -> dict:
+    """Simple features → split → scaler → forest → R² on train and test."""
+    width = suggest_bucket_seconds(readings, "equipment_id", "timestamp")
+    sf = features.simple_features(readings, "equipment_id", "timestamp", list(tiebreak), width)
     data, xcols = ml.prepare_xy(sf, None, "equipment_id", "rul")
     data = split.split(data, "equipment_id").persist()
     tm = ml.train(data.filter(F.col("split") == "train"), xcols, "rul",
-                  ml.forest(ml.SIMPLE_FOREST_TREES, ml.MOST_DEPTH))
+                  ml.forest(trees, depth))
     pred = ml.predict(tm, data)
     r2 = {s: ml.regression_metrics(pred.filter(F.col("split") == s)).first()["r2"]
           for s in ("train", "test")}
@@ -189,24 +219,47 @@ def profile_job(sensor: DataFrame) -> dict[str, DataFrame]:
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="vigil")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    t = sub.add_parser("train")
-    t.add_argument("--sensor", required=True)
-    t.add_argument("--maintenance", required=True)
-    t.add_argument("--operational", required=True)
-    t.add_argument("--out", required=True)
-    d = sub.add_parser("dataset")
+
+    def command(name: str, *needed: str, **optional) -> argparse.ArgumentParser:
+        p = sub.add_parser(name)
+        for n in needed:
+            p.add_argument(f"--{n}", required=True)
+        for n, default in optional.items():
+            p.add_argument(f"--{n}", default=default)
+        return p
+
+    command("train", "sensor", "maintenance", "operational", "out")
+    d = command("dataset", "out")
     d.add_argument("--name", required=True, choices=sorted(files.list_datasets()))
     d.add_argument("--path", action="append", default=[], help="key=value loader arguments")
-    d.add_argument("--out", required=True)
+    command("features", "sensor", "out")
+    command("retrain", "features", "labels", "out")
+    command("simple", "sensor", "out")
+    command("fleet", "readings", "out")
+    command("profile", "sensor", "out")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("vigil").getOrCreate()
+
+    def readings(path: str) -> DataFrame:
+        return files.read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
+
+    result: dict = {}
     if args.cmd == "train":
-        ds = files.load_all(spark, args.sensor, args.maintenance, args.operational)
-        res = train_job(spark, ds, args.out)
-        print(json.dumps(res.metrics))
-    else:
-        kw = dict(p.split("=", 1) for p in args.path)
-        print(json.dumps(dataset_job(spark, args.name, args.out, **kw)))
+        result = train_job(spark, files.load_all(spark, args.sensor, args.maintenance, args.operational), args.out).metrics
+    elif args.cmd == "dataset":
+        result = dataset_job(spark, args.name, args.out, **dict(p.split("=", 1) for p in args.path))
+    elif args.cmd == "features":
+        features_job(spark, args.sensor, args.out)
+    elif args.cmd == "retrain":
+        result = retrain_job(spark, args.features, args.labels, args.out).metrics
+    elif args.cmd == "simple":
+        result = simple_job(spark, readings(args.sensor), args.out)
+    elif args.cmd == "fleet":
+        fleet_report(fleet.score_batch(readings(args.readings)), args.out)
+    elif args.cmd == "profile":
+        for name, table in profile_job(readings(args.sensor)).items():
+            files.write_table(table, f"{args.out}/{name}")
+    print(json.dumps(result, default=str))
 
 
 if __name__ == "__main__":

@@ -37,12 +37,11 @@ def q_warning_totals(spark, sf_dir):
     rd = _rd(spark, sf_dir)
     rng = quality.expected_ranges(rd, EVENT_SENSORS, n_sigma=1.0)
     out = quality.validate_ranges(rd, rng)
-    n = F.coalesce(F.size("data_quality_warnings"), F.lit(0))
-    totals = out.agg(F.count(F.lit(1)).alias("readings"), F.count_if(n > 0).alias("with_warnings"),
-                     F.sum(F.greatest(n, F.lit(0))).cast("long").alias("warnings"))
-    flat = quality.flatten_warnings(out.filter(F.col("data_quality_warnings").isNotNull())).agg(
-        F.count(F.lit(1)).alias("flat_rows"), F.count_distinct("flat_warning").alias("flat_distinct"))
-    return finish(totals.join(flat, how="cross"))  # one row each
+    lines = out.select("equipment_id", F.posexplode_outer("data_quality_warnings").alias("at", "warning"))
+    flat = F.concat_ws(": ", F.col("equipment_id").cast("string"), F.col("warning"))
+    return finish(lines.agg(
+        F.count_if(F.col("at").isNull() | (F.col("at") == 0)).alias("readings"), F.count_if(F.col("at") == 0).alias("with_warnings"),
+        F.count("at").alias("warnings"), F.count("warning").alias("flat_rows"), F.count_distinct(F.when(F.col("at").isNotNull(), flat)).alias("flat_distinct")))
 
 
 # --- preparation ----------------------------------------------------------------

@@ -7,7 +7,7 @@ as the Spark query of the same name in ``catalog``.
 
 from __future__ import annotations
 
-from vigil.plans import more, stored, streams
+from vigil.plans import more, stored, streams, whole
 
 
 def _ev(gaps: bool = False) -> str:
@@ -702,4 +702,4 @@ def oracle_sql() -> dict[str, str]:
         "weighted_ensemble": weighted_ensemble(),
         "split_counts": split_counts(),
         "template_align": template_align(),
-    } | more.oracle_sql() | stored.oracle_sql() | streams.oracle_sql()
+    } | more.oracle_sql() | stored.oracle_sql() | streams.oracle_sql() | whole.oracle_sql()

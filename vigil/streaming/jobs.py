@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.functions import rules as R
+from vigil.operators.ordered import DEFAULT_BUCKET_SECONDS
 from vigil.operators.quality import validate_ranges
 
 ALERT_SENSORS = ("temperature", "vibration", "tool_wear")
@@ -86,9 +87,13 @@ def append_history(predictions: DataFrame, path: str, checkpoint: str, trigger:
 
 def latest_predictions(history: DataFrame, by: str = "equipment_id", ts: str = "timestamp",
                        columns: Sequence[str] | None = None) -> DataFrame:
-    """The latest row per equipment (``max_by`` aggregate, no sort, skew-safe)."""
+    """The latest row per equipment (one aggregate, no sort, skew-safe).
+
+    All columns come from one row: of rows with the latest time, the one that is greatest in the columns' order.
+    """
     cols = list(columns) if columns is not None else [c for c in history.columns if c not in (by,)]
-    return history.groupBy(by).agg(*[F.max_by(F.col(c), F.col(ts)).alias(c) for c in cols])
+    row = F.max(F.struct(F.col(ts).alias("_at"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(cols)])).alias("_row")
+    return history.groupBy(by).agg(row).select(by, *[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(cols)])
 
 
 COOLDOWN_OUT = "equipment_id string, timestamp timestamp, event_id long, maintenance_type string"
@@ -148,7 +153,7 @@ def cooldown_stream(readings: DataFrame, threshold: float = 0.8, gap_seconds: in
 def asof_enrich_stream(readings: DataFrame, operational: DataFrame, sink_path: str, checkpoint: str,
                        on: str = "timestamp", by: str = "equipment_id",
                        left_tiebreak: Sequence[str] = (), right_tiebreak: Sequence[str] = (),
-                       trigger: dict | None = None):
+                       trigger: dict | None = None, bucket_seconds: int = DEFAULT_BUCKET_SECONDS):
     """Each micro-batch joined as-of against the static operational table.
 
     A batch is written to the sink's ``epoch=N`` partition, overwriting it: a replayed batch replaces
@@ -160,7 +165,7 @@ def asof_enrich_stream(readings: DataFrame, operational: DataFrame, sink_path: s
         here = batch.select(F.col(by).alias("_by")).distinct()
         static = operational.join(here, operational[by].eqNullSafe(F.col("_by")), "left_semi")
         enriched = asof_join(batch, static, on=on, by=[by], left_tiebreak=list(left_tiebreak),
-                             right_tiebreak=list(right_tiebreak))
+                             right_tiebreak=list(right_tiebreak), bucket_seconds=bucket_seconds)
         enriched.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
 
     w = readings.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
