@@ -29,7 +29,10 @@ from pyspark.sql import types as T
 
 from vigil.llm.common import column, small_batches, written
 
-PATTERN_CHARS = 32 << 20
+#: Characters of benchmark text searched for at once: some 25 bytes of tables for each.
+PATTERN_CHARS = 4 << 20
+#: Entries of a shift table, at most 2 to this.
+MOST_BITS = 22
 SLICE_BYTES, STRETCH, OPEN = 4 << 20, 512, 1 << 22
 #: A word of the contract, in lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,7 +50,7 @@ class Searcher:
     def __init__(self, patterns: np.ndarray):
         self.patterns, (n, self.m) = patterns, patterns.shape
         self.b = min(2, self.m)
-        self.bits = max(8, (4 * n * self.m).bit_length())
+        self.bits = min(MOST_BITS, max(8, (4 * n * self.m).bit_length()))
         shift = np.full(1 << self.bits, self.m - self.b + 1, np.int32)
         for end in range(self.b - 1, self.m):  # blocks near the pattern's end leave the smaller shift
             np.minimum.at(shift, self._hash(patterns, end), self.m - 1 - end)
@@ -101,16 +104,26 @@ class Patterns:
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple, set] = defaultdict(set)
+        self.names = sorted({i for i, _ in items if i is not None})
+        place = {name: k for k, name in enumerate(self.names)}
+        rows: dict[int, list[np.ndarray]] = defaultdict(list)  # length of the pattern -> its word numbers, rows of it
+        owners: dict[int, list[np.ndarray]] = defaultdict(list)
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text.encode())]
-            if ids:
-                for k in range(max(1, len(ids) - window + 1)):
-                    owners[tuple(ids[k:k + window])].add(item)
-        by_length = defaultdict(list)
-        for pattern in owners:
-            by_length[len(pattern)].append(pattern)
-        self.searchers = [(Searcher(np.array(p, np.int32)), [sorted(x for x in owners[q] if x is not None) for q in p]) for _, p in sorted(by_length.items())]
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text.encode())], np.int32)
+            if len(ids):
+                m = min(window, len(ids))
+                rows[m].append(np.lib.stride_tricks.sliding_window_view(ids, m))
+                owners[m].append(np.full(len(ids) - m + 1, place.get(item, -1), np.int32))
+        self.searchers = []
+        for m in sorted(rows):
+            every = np.ascontiguousarray(np.concatenate(rows.pop(m)))
+            _, first, which = np.unique(every.view(np.dtype((np.void, 4 * m))).ravel(), return_index=True, return_inverse=True)
+            owner = np.concatenate(owners.pop(m))
+            # (pattern, item) once each, by pattern: the items of pattern p are held[starts[p]:starts[p + 1]]
+            pairs = np.unique(which.astype(np.int64) << 32 | owner.astype(np.int64) & 0xFFFFFFFF)
+            pairs = pairs[(pairs & 0xFFFFFFFF) != 0xFFFFFFFF]  # an item without an id has no name
+            starts = np.searchsorted(pairs >> 32, np.arange(len(first) + 1))
+            self.searchers.append((Searcher(every[first]), starts, (pairs & 0xFFFFFFFF).astype(np.int32)))
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """(number of words, hit word intervals, items) of each text."""
@@ -121,12 +134,12 @@ class Patterns:
         total = int(sizes.sum())
         text = np.fromiter((i for r in rows for i in map(self.number.get, r, repeat(0))), np.int32, total)
         marks, items = np.zeros(total + 1, np.int32), defaultdict(set)
-        for searcher, owners in self.searchers:
+        for searcher, first, held in self.searchers:
             at, which = searcher.search(text, starts, ends)
             np.add.at(marks, at, 1)
             np.add.at(marks, at + searcher.m, -1)
             for doc, pattern in set(zip((np.searchsorted(ends, at, side="right")).tolist(), which.tolist())):
-                items[doc].update(owners[pattern])
+                items[doc].update(self.names[k] for k in held[first[pattern]:first[pattern + 1]].tolist())
         hit = np.cumsum(marks[:-1]) > 0
         out = []
         any_hit = np.flatnonzero(hit)
@@ -150,29 +163,58 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(shared, carried: list[str], text_at: int):
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _found(patterns: "Patterns", column: pa.Array) -> list[tuple[int, list, set]]:
+    """(number of words, hit word intervals, items) of each text of an Arrow column, in slices."""
+    results, held, part = [], 0, []
+    for text in column.cast(pa.binary()):
+        part.append(text.as_py() or b"")
+        held += len(part[-1])
+        if held > SLICE_BYTES:
+            results += patterns.scan(part)
+            held, part = 0, []
+    return results + patterns.scan(part)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
 
+def _listed(spans: list) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS)
+
+
+def _scan(shared, carried: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = shared.value
         for batch in batches:
-            earlier = list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()))
-            results, held, part = [], 0, []
-            for text in batch.column(text_at).cast(pa.binary()):
-                part.append(text.as_py() or b"")
-                held += len(part[-1])
-                if held > SLICE_BYTES:
-                    results += patterns.scan(part)
-                    held, part = 0, []
-            results += patterns.scan(part)
-            spans = [_merged([[s["start"], s["end"]] for s in old] + new) for (old, _), (_, new, _) in zip(earlier, results)]
-            items = [sorted({*old, *new}) for (_, old), (_, _, new) in zip(earlier, results)]
+            results = _found(shared.value, batch.column(text_at))
             columns = [*(batch.column(k) for k in range(len(carried))), pa.array([r[0] for r in results], pa.int64()),
-                       pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string()))]
+                       _listed([r[1] for r in results]), pa.array([sorted(r[2]) for r in results], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*carried, "n_words", "spans", "items"])
     return run
 
 
+def _hits(shared):
+    """(_row, spans, items) of the texts with a hit alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            results = _found(shared.value, batch.column("text"))
+            hit = [k for k, r in enumerate(results) if r[1]]
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(hit, pa.int64())), _listed([results[k][1] for k in hit]),
+                                              pa.array([sorted(results[k][2]) for k in hit], pa.list_(pa.string()))], ["_row", "spans", "items"])
+    return run
+
+
+def _merge(carried: list[str]):
+    """Joins the word intervals that the groups found in a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_merged([[x["start"], x["end"]] for part in s or [] for x in part]) for s in batch.column("spans").to_pylist()]
+            items = [sorted({x for part in s or [] for x in part}) for s in batch.column("items").to_pylist()]
+            sizes = [len(words(t.as_py() or b"")) for t in batch.column("_text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(sizes, pa.int64()), _listed(spans), pa.array(items, pa.list_(pa.string()))],
+                                             [*carried, "n_words", "spans", "items"])
+    return run
+
+
 def _groups(benchmark: DataFrame, id_col: str, text_col: str, chars: int) -> list[DataFrame]:
     """The benchmark in parts of about ``chars`` characters each, by a hash of the text."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
@@ -190,15 +232,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items") or c == text_col]
     carried = [f"c{k}" for k in range(len(kept))]
-    rows = small_batches(docs).select(*[column(c).alias(a) for c, a in zip(kept, carried)], F.lit(0).cast("long").alias("n_words"),
-                       F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
-    for k, group in enumerate(_groups(benchmark, item_id_col, item_text_col, pattern_chars)):
-        if k:
-            rows = written(rows, "decontaminate")
-        patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in group.collect()], window))
-        rows = rows.mapInArrow(_scan(patterns, carried, kept.index(text_col)), schema)
-    return rows.select(*[F.col(a).alias(c) for c, a in zip(kept, carried)], "n_words", "spans", "items")
+    rows = small_batches(docs).select(*[column(c).alias(a) for c, a in zip(kept, carried)])
+    added = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema] + list(T._parse_datatype_string(added)))
+    groups = _groups(benchmark, item_id_col, item_text_col, pattern_chars)
+    tables = lambda group: spark.sparkContext.broadcast(Patterns([tuple(r) for r in group.collect()], window))
+    if len(groups) == 1:
+        found = rows.mapInArrow(_scan(tables(groups[0]), carried, kept.index(text_col)), schema)
+    else:
+        # Rows are numbered once; a group gives back its hits alone, which are joined at the end.
+        text = carried[kept.index(text_col)]
+        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+        hits = None
+        for group in groups:
+            patterns = tables(group)
+            part = written(rows.select("_row", F.col(text).alias("text")).mapInArrow(_hits(patterns), "_row long, spans array<struct<start:long,end:long>>, items array<string>"), "hits")
+            patterns.destroy()
+            hits = part if hits is None else hits.unionByName(part)
+        hits = hits.groupBy("_row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # at most one of each group
+        found = rows.join(hits, "_row", "left").select(*carried, F.col(text).alias("_text"), "spans", "items").mapInArrow(_merge(carried), schema)
+    return found.select(*[F.col(a).alias(c) for c, a in zip(kept, carried)], "n_words", "spans", "items")
 
 
 def summary(found: DataFrame) -> DataFrame:
