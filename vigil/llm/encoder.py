@@ -14,7 +14,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-UNITS, LONG = 1_000_000, 64
+#: Bytes of distinct units and their ids that a worker keeps, counted as ``UNIT_BYTES`` and the unit's own; longer units than ``LONG`` are not kept.
+CACHE_BYTES, UNIT_BYTES, LONG = 40 << 20, 130, 64
 #: White space other than the blank and the line feed.
 _OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters up to U+00FF, as far as their class is beyond doubt, and signs that the split pattern leaves alone.
@@ -57,8 +58,12 @@ class Encoder:
         self._model, self._letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
         self._clear()
 
+    def release(self) -> None:
+        """Forgets the units that were kept."""
+        self._clear()
+
     def _clear(self) -> None:
-        self._units, self._done = _Units(), 0
+        self._units, self._done, self._held = _Units(), 0, 0
         self._starts, self._ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _piece(self, piece: str) -> list[int]:
@@ -87,7 +92,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
-        if len(self._units) > UNITS or len(self._ids) > 8 * UNITS:
+        if self._held > CACHE_BYTES:
             self._clear()
         units, waiting = self._units, self._units.waiting
         index, whole = [], {}
@@ -104,6 +109,7 @@ class Encoder:
             new = [self._unit(u[1:] if u[0] == "\r" else u if u[0] == "\n" else " " + u) for u in waiting]
             self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum([len(x) for x in new])])
             self._ids = np.concatenate([self._ids, np.array([i for x in new for i in x], np.uint32)])
+            self._held += sum(map(len, waiting)) + 4 * sum(map(len, new)) + UNIT_BYTES * len(waiting)
         at = np.concatenate(index) if index else np.zeros(0, np.int64)
         first, size = self._starts[at], self._starts[at + 1] - self._starts[at]
         ends = np.cumsum(size)

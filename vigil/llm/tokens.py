@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import small_batches
+from vigil.llm.common import column, small_batches
 from vigil.llm.encoder import encoder
 from vigil.llm.wavelet import WaveletMatrix, build
 
@@ -49,6 +49,7 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int, added_tokens: bool)
 
         def shard() -> pa.RecordBatch:
             ids = np.concatenate(held)
+            held.clear()
             alphabet, zeros, planes, ranks = build(ids)
             row = {"part": part, "seq": seq, "n_tokens": len(ids), "doc_ids": docs, "lengths": lengths, "alphabet": alphabet, "zeros": zeros, "planes": planes, "ranks": ranks}
             types = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.binary()]
@@ -68,18 +69,23 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int, added_tokens: bool)
                     total += len(ids) + 1
         if total:
             yield shard()
+        enc.release()  # the worker lives on, and serves other stages
     return make
 
 
-def write_tokens(docs: DataFrame, path: str, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-                 shard_chars: int = 16 << 20, shard_tokens: int = 4 << 20, added_tokens: bool = False) -> None:
-    """Encode and write every document; ``shard_chars`` sets how many id ranges the table is dealt over.
+def write_tokens(docs: DataFrame, path: str, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, end_id: int = 0,
+                 shard_chars: int = 16 << 20, shard_tokens: int = 2 << 20, added_tokens: bool = False) -> None:
+    """Encode and write every document, in ascending order of ``order_col`` (default: the id); ``shard_chars`` sets how many ranges the table is dealt over.
 
+    Rows that are equal in the order follow each other by id, then text; the rows of one id are split by the beginnings of their texts.
     ``added_tokens``: whether the content of a special token in a text is that token, as in an untouched tokenizer.
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = column(order_col) if order_col else F.col(id_col).cast("long")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), order.alias("rank"))
     chars = rows.agg(F.sum(F.length("text") + F.lit(100))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-int(chars) // shard_chars)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginning of the text splits the rows of one id over ranges in the same order.
+    keys = ["rank", "doc_id", F.substring("text", 1, 64)]
+    dealt = rows.repartitionByRange(max(1, -(-int(chars) // shard_chars)), *keys).sortWithinPartitions("rank", "doc_id", "text").drop("rank")
     shards = dealt.withColumn("part", F.spark_partition_id()).mapInArrow(_shards(vocabulary, end_id, shard_tokens, added_tokens), SHARD)
     shards.write.option("compression", "zstd").parquet(path)
 

@@ -22,17 +22,20 @@ def build(ids: np.ndarray) -> tuple[list[int], list[int], bytes, bytes]:
     alphabet = np.flatnonzero(seen)
     bits = max(1, (len(alphabet) - 1).bit_length())
     seq = (np.cumsum(seen) - 1).astype(np.uint16 if bits <= 16 else np.uint32)[ids]
-    zeros, planes, ranks = [], [], []
+    width, blocks = -(-len(seq) // 8), -(-len(seq) // BLOCK)
+    # One buffer for all planes and one for the partitioned ids: no copy of a level outlives it.
+    planes, ranks, zeros, spare = np.zeros((bits, width), np.uint8), np.zeros((bits, blocks + 1), "<u4"), [], np.empty_like(seq)
     for level in range(bits):
         one = (seq & seq.dtype.type(1 << (bits - 1 - level))) != 0
-        packed = np.packbits(one, bitorder="little")
-        per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
-        ranks.append(np.concatenate([[0], np.cumsum(per)]).astype("<u4").tobytes())
-        planes.append(packed.tobytes())
-        low = seq[np.flatnonzero(~one)]
-        zeros.append(len(low))
-        seq = np.concatenate([low, seq[np.flatnonzero(one)]])
-    return alphabet.tolist(), zeros, b"".join(planes), b"".join(ranks)
+        planes[level] = np.packbits(one, bitorder="little")
+        if width:
+            np.cumsum(np.add.reduceat(np.bitwise_count(planes[level]), np.arange(0, width, BLOCK // 8), dtype=np.uint32), dtype=np.uint32, out=ranks[level, 1:])
+        z = len(seq) - int(np.count_nonzero(one))
+        spare[z:] = seq[one]
+        spare[:z] = seq[np.logical_not(one, out=one)]
+        zeros.append(z)
+        seq, spare = spare, seq
+    return alphabet.tolist(), zeros, planes.tobytes(), ranks.tobytes()
 
 
 class WaveletMatrix:
