@@ -7,6 +7,7 @@ next one's ``docs``.  All but the last return the columns of ``docs``.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,15 +54,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*plain.columns).toDF(*docs.columns)
 
 
-def in_file_order(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` read from Parquet, and a column that ascends with file and row: the order in which the stage before wrote them."""
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, str | None]:
+    """``docs`` and a column that ascends with file and row, where it is read from Parquet: the order in which it was written."""
+    try:
+        docs.select("_metadata.row_index").schema
+    except AnalysisException:  # rows that come from no file have no such order
+        return docs, None
     name = fresh(docs, "_order")
     place = F.concat("_metadata.file_name", F.lit(":"), F.lpad(F.col("_metadata.row_index").cast("string"), 15, "0"))
     return docs.select("*", place.alias(name)), name
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in wavelet-matrix shards, in the order of mixing; what the files say of each document."""
+    """Token ids in wavelet-matrix shards, in the order of mixing (by id where ``docs`` comes from no file); what the files say of each document."""
     path = new_dir(spark, "pipeline-tokens")
     docs, order = in_file_order(docs)
     tokens.write_tokens(docs, path, order_col=order, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added_tokens=True)
