@@ -39,7 +39,7 @@ def build_session(master: str | None = None, app: str = "vigil",
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
-    if "spark.checkpoint.dir" not in conf:
+    if "spark.checkpoint.dir" not in conf and (master == "local" or (master or "").startswith("local[")):
         # Local runs only: a cluster names its shared folder itself.
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="vigil-ckpt-")
     for k, v in conf.items():
