@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vigil.operators import features, fleet, ml, model_store, normalize, quality, split
+from vigil.operators import features, fleet, ml, model_store, normalize, split
 from vigil.operators.asof import asof_join
 from vigil.plans import jobs
 from vigil.plans.readings import EVENT_SENSORS, event_readings
