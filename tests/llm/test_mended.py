@@ -104,8 +104,12 @@ def test_units_kept_by_an_encoder_are_bounded_in_bytes(monkeypatch):
     for t in texts:
         assert enc.encode([t])[0].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
         assert len(enc._units) < 300
-    enc.release()
-    assert not enc._units and enc.encode([texts[0]])[0].tolist() == enc.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    enc = encoder.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    common = [f"common{j}" for j in range(20)]
+    for t in texts:  # common units outlive the rare ones
+        enc.encode([" ".join(common) + " " + " ".join(common) + " " + t])
+        assert enc.encode([t + " end"])[0].tolist() == enc.tokenizer.encode(t + " end", add_special_tokens=False).ids
+    assert all(u in enc._units for u in common[1:]) and enc._held <= 2 * 20_000
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000])

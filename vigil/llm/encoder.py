@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Bytes of distinct units and their ids that a worker keeps, counted as ``UNIT_BYTES`` and the unit's own; longer units than ``LONG`` are not kept.
-CACHE_BYTES, UNIT_BYTES, LONG = 40 << 20, 130, 64
+CACHE_BYTES, UNIT_BYTES, LONG = 144 << 20, 130, 64
 #: White space other than the blank and the line feed.
 _OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters up to U+00FF, as far as their class is beyond doubt, and signs that the split pattern leaves alone.
@@ -56,15 +56,30 @@ class Encoder:
         self._whole = (*_ODD, *[t.content for t in found if added_tokens or not t.special])
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self._model, self._letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
-        self._clear()
-
-    def release(self) -> None:
-        """Forgets the units that were kept."""
+        self._blank, self._signs = self._letters[32], {}
         self._clear()
 
     def _clear(self) -> None:
         self._units, self._done, self._held = _Units(), 0, 0
         self._starts, self._ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self._uses = np.zeros(0, np.int32)
+
+    def _shrink(self) -> None:
+        """Keeps the units that were used again, at most half of the cache: the commonest first."""
+        words, at = list(self._units), np.fromiter(self._units.values(), np.int64, len(self._units))
+        uses, sizes = self._uses[at], self._starts[at + 1] - self._starts[at]
+        bytes_ = np.fromiter(map(len, words), np.int64, len(words)) + 4 * sizes + UNIT_BYTES
+        order = np.argsort(-uses, kind="stable")
+        order = np.sort(order[(uses[order] > 1) & (np.cumsum(bytes_[order]) <= CACHE_BYTES // 2)])
+        first, size = self._starts[at[order]], sizes[order]
+        ends = np.cumsum(size)
+        ids = self._ids[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._clear()
+        self._units.update((words[k], n) for n, k in enumerate(order.tolist()))
+        self._units.given = self._done = len(order)
+        self._held = int(bytes_[order].sum())
+        self._starts, self._ids = np.concatenate([np.zeros(1, np.int64), ends]), ids
+        self._uses = uses[order] // 2  # older uses count half
 
     def _piece(self, piece: str) -> list[int]:
         if piece[0] == " " and (at := self._units.get(piece[1:], self._done)) < self._done:
@@ -74,9 +89,11 @@ class Encoder:
 
     def _unit(self, unit: str) -> list[int]:
         if unit[1:].isascii() and unit[1:].isalpha() and (unit[0] == " " or "A" <= unit[0] <= "z" and unit[0].isalpha()):
-            return self._piece(unit)
+            return [t.id for t in self._model.tokenize(self._blank + unit[1:] if unit[0] == " " else unit)]
         if m := _WORD.fullmatch(unit):  # Latin letters, then one other sign or none
-            return self._piece(m[1]) + self._piece(m[2]) if m[2] else self._piece(unit)
+            if m[2] not in self._signs:
+                self._signs[m[2]] = self._piece(m[2]) if m[2] else []
+            return self._piece(m[1]) + self._signs[m[2]]
         if unit and max(unit) > "ɏ":  # beyond Latin letters the library splits
             return self.tokenizer.encode(unit, add_special_tokens=False).ids
         return [i for piece in _SPLIT.findall(unit) for i in self._piece(piece)]
@@ -93,7 +110,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
         if self._held > CACHE_BYTES:
-            self._clear()
+            self._shrink()
         units, waiting = self._units, self._units.waiting
         index, whole = [], {}
         for k, text in enumerate(texts):
@@ -111,6 +128,9 @@ class Encoder:
             self._ids = np.concatenate([self._ids, np.array([i for x in new for i in x], np.uint32)])
             self._held += sum(map(len, waiting)) + 4 * sum(map(len, new)) + UNIT_BYTES * len(waiting)
         at = np.concatenate(index) if index else np.zeros(0, np.int64)
+        uses = np.bincount(at, minlength=units.given)
+        uses[:len(self._uses)] += self._uses
+        self._uses = uses.astype(np.int32)
         first, size = self._starts[at], self._starts[at + 1] - self._starts[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

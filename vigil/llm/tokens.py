@@ -69,7 +69,6 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int, added_tokens: bool)
                     total += len(ids) + 1
         if total:
             yield shard()
-        enc.release()  # the worker lives on, and serves other stages
     return make
 
 
