@@ -110,6 +110,15 @@ def test_owners_slices_and_stretches_never_change_the_counts(monkeypatch, hot, s
     assert {(r["grp"], r["phrase"]): r["f"] for r in got} == want and len(got) == len(want)
 
 
+def test_the_bitmap_holds_the_frequent_words_alone(spark):
+    rows = [(g, f"{w} ", n) for g in ("en", "dé") for w, n in (("the", 30), ("rare", 29), ("été", 500), ("x\x01", 31), ("中文", 3))]
+    bits = phrases._frequent_words(spark.createDataFrame(rows, "grp string, phrase string, n long"), 30)
+    words = [b"", b"\n", b"the", b"rare", "été".encode(), b"x\x01", "中文".encode(), b"never"]
+    for g in ("en", "dé"):
+        assert phrases._kept(bits, g, words).tolist() == [False, False, True, False, True, True, False, False]
+    assert int(np.bitwise_count(bits).sum()) == 6 and not phrases._kept(bits, "fr", words).any()
+
+
 # --- 12 periodic runs
 
 

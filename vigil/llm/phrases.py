@@ -6,7 +6,9 @@ are the beginnings of suffixes, so the size of a partition of equal leading word
 1. Words are counted by group (here a language), and prefixes that begin more than 1/(2 ``HOT``) of the suffixes of
    a slice are summed; those whose sum is as great a share of all are hot: at most 2 ``HOT`` of each length whatever the
    input, and among them every prefix of 1/``HOT`` of all suffixes.
-2. Slices sort their suffixes and send every distinct one once, with its count, to the partition that owns
+2. Words rarer than ``least`` are in no frequent phrase and end the suffixes before them; a bitmap of ``FILTER_BITS`` hashed
+   frequent words, whatever their number, tells most of them (one that it lets pass is abandoned below).  Slices sort their
+   suffixes and send every distinct one once, with its count, to the partition that owns
    its leading words: one word, or as many as make a prefix that is not hot.  A slice sends a hot prefix itself
    once, so that its count is known too.
 3. A partition is sorted and read in stretches of ``SORT_ROWS`` suffixes or of one owner.  Multikey three-way quicksort
@@ -27,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from vigil.llm.common import column, small_batches, written
 from vigil.llm.covering import heavy_join
@@ -40,6 +43,7 @@ SLICE_VOCABULARY = 50_000
 SORT_ROWS = 1 << 20
 #: Suffixes of one partition, as long as there are no more than ``MOST_PARTITIONS``; sorting may spill beyond.
 PARTITION_ROWS, MOST_PARTITIONS = 1 << 20, 20_000
+FILTER_BITS, BITMAP = 1 << 26, 32_768
 
 
 class _Numbers(dict):
@@ -150,11 +154,33 @@ def _key(columns: list[np.ndarray], size: int) -> np.ndarray:
     return np.array([b"%d " * len(columns) % row for row in zip(*(c.tolist() for c in columns))], dtype="S")
 
 
-def _suffixes(longest: int, hot: dict[tuple[str, int], list[str]]):
+def _frequent_words(words: DataFrame, least: int) -> np.ndarray:
+    """The bitmap of the frequent words of (grp, phrase, n): at most FILTER_BITS / BITMAP rows reach the driver."""
+    place = F.pmod(F.xxhash64("grp", "phrase"), F.lit(FILTER_BITS)) + 1
+    rows = words.filter(F.col("n") >= least).select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect():
+        first = (r["b"] - 1) * BITMAP // 8
+        bits[first:first + BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _kept(bits: np.ndarray, group: str, words: list[bytes]) -> np.ndarray:
+    """Which words of a slice the bitmap holds; the hash is that of the engine's ``xxhash64`` over both columns."""
+    seed = xxh64_intdigest(group.encode(), 42)
+    place = np.array([xxh64_intdigest(w + b" ", seed) for w in words], np.uint64) & np.uint64(FILTER_BITS - 1)
+    kept = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    kept[:2] = False
+    return kept
+
+
+def _suffixes(longest: int, hot: dict[tuple[str, int], list[str]], shared=None):
     """Rows (s, c): the digit of the owner's length, the group, a tab and the words of a distinct suffix, each with a blank."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, words, t in _slices(batches):
             texts, place = _words_of(words), {w: k for k, w in enumerate(words)}
+            if shared is not None:
+                t = np.where(_kept(shared.value, group, words)[t], t, 1)
             at = np.flatnonzero(t[:-1] > 1)
             at = at[t[at + 1] > 1]  # a suffix of one word begins no phrase
             columns, alive = [t[at]], np.ones(len(at), bool)
@@ -284,7 +310,8 @@ def counts(docs: DataFrame, *, group_col: str, text_col: str, longest: int, leas
     for r in listed.filter(F.col("hot") * (2 * HOT) >= total).filter("hot > 0").select("grp", "words", "phrase").collect():  # at most 2 HOT a length
         hot.setdefault((r["grp"], r["words"]), []).append(r["phrase"][:-1])
     parts = min(MOST_PARTITIONS, max(1, int(total) // PARTITION_ROWS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sent = rows.mapInArrow(_suffixes(longest, hot), "s string, c long")
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent_words(listed.filter("words = 1"), least))
+    sent = rows.mapInArrow(_suffixes(longest, hot, shared), "s string, c long")
     owner = F.expr("substring_index(s, ' ', cast(substring(s, 1, 1) as int))")
     found = sent.repartition(parts, owner).sortWithinPartitions("s").mapInArrow(_sorted(longest, least), "grp string, phrase string, words int, f long")
     return listed.filter("words = 1").select("grp", "phrase", "n"), written(found, "phrases")
