@@ -107,6 +107,10 @@ def daily_spine(df: DataFrame, by: str = "equipment_id", ts: str = "timestamp",
     return rng.select(by, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {step}"))).alias(ts))
 
 
+#: Sub-buckets of a window that a frame sums row by row; beyond, blocks of them are summed.
+FRAME = 64
+
+
 def _divisors(n: int) -> list[int]:
     out, p = [1], 2
     while n > 1:
@@ -137,9 +141,12 @@ def rolling_width(df: DataFrame, window_seconds: int, by: str, ts: str, sub_buck
 def _before_totals(tot: DataFrame, by: str, m: int, n: int) -> DataFrame:
     """For each sub-bucket c of ``tot``: totals (_bn, _bs, _bx, _bi) of the sub-buckets c-m+1 .. c-1.
 
-    Level l has the totals of blocks of 2**l sub-buckets; a range takes at most two blocks of each level.  A block
+    Up to ``FRAME`` sub-buckets are summed by a frame over the totals, more by dyadic blocks.  Level l has the totals of blocks of 2**l sub-buckets; a range takes at most two blocks of each level.  A block
     serves at most 2**(l+1) ranges, so no key of the join is hot.
     """
+    if m <= FRAME:
+        frame = Window.partitionBy(by).orderBy("_sb").rangeBetween(-(m - 1), -1)
+        return tot.select(by, "_sb", *[f(f"_t{k}{i}").over(frame).alias(f"_b{k}{i}") for i in range(n) for k, f in (("n", F.sum), ("s", F.sum), ("x", F.max), ("i", F.min))])
     top = m.bit_length()
     parts = [f(f"_t{k}{i}").alias(f"_t{k}{i}") for i in range(n) for k, f in (("n", F.sum), ("s", F.sum), ("x", F.max), ("i", F.min))]
     levels = tot.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top))))
