@@ -504,4 +504,4 @@ def test_pipeline_stages_keep_the_columns_and_do_their_work(spark, docs_of):
 
 def test_every_operator_query_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert names == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+    assert names == list(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
