@@ -199,7 +199,7 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     nodes = written(nodes.join(found, "node"), "components")
     first = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
     groups = first.join(nodes.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "component").select("component", F.col("first.node").alias("best"), "c")
-    lost = heavy_join(nodes, groups, ["component"], "c", "left").filter("best <> node").select(F.col("node").alias(node))
+    lost = written(heavy_join(nodes, groups, ["component"], "c", "left").filter("best <> node").select(F.col("node").alias(node)), "lost")
     kept = without(keyed, lost, [node])
     repeated = nodes.filter("rows > 1").select(F.col("node").alias(node))
     if not repeated.limit(1).count():

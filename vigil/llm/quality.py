@@ -30,6 +30,8 @@ from vigil.llm.shingles import text_slices
 
 ORDER = 5
 SHARD_GRAMS = 4_000_000
+#: Distinct n-grams that a counting task holds before it hands them on.
+HELD_GRAMS = 750_000
 #: Discounts where the counts of counts cannot give any.
 DISCOUNTS = (0.5, 1.0, 1.5)
 PAD = 10  # a text begins after line feeds
@@ -83,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append((grams, n.astype(np.int64)))
                     if len(parts) >= 8:
                         held[kind] = [_merge(parts)]
-            if sum(len(g) for p in held.values() for g, _ in p) > 1_500_000:
+            if sum(len(g) for p in held.values() for g, _ in p) > HELD_GRAMS:
                 yield from flush()
     yield from flush()
 
@@ -181,12 +183,13 @@ def perplexity(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
     number = F.coalesce(*[F.when(F.col("lang") == k, F.lit(n)) for k, n in langs.items()], F.lit(0)) if langs else F.lit(0)
     shards = max(1, -(-found.count() // shard_grams))
     keyed = found.select(F.shiftleft(number.cast("long"), 8 * ORDER).bitwiseOR(F.col("gram")).alias("gram"), F.log("p").alias("log"))
-    parts = []
+    parts, broadcasts = [], []
     for k in range(shards):
         part = keyed.filter(F.pmod(F.xxhash64("gram"), F.lit(shards)) == k).toArrow()  # at most about shard_grams rows of 16 bytes
         gram, log = part.column("gram").to_numpy().astype(np.uint64), part.column("log").to_numpy()
         order = np.argsort(gram)
         shared = spark.sparkContext.broadcast((gram[order], log[order]))
+        broadcasts.append(shared)
         parts.append(rows.select("id", "key", "lang", "text").mapInArrow(_sums(shared, langs), f"id {dict(rows.dtypes)['id']}, key long, lang string, sums double, size long"))
     sums = parts[0]
     for part in parts[1:]:
@@ -197,6 +200,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
         "id", "key", "lang", F.col("b").cast("long").alias("n_bytes"), F.when(F.col("b") > 0, F.exp(-F.col("s") / F.col("b"))).alias("perplexity"),
         "trusted", (F.col("trusted") & ~trains).alias("unseen"))
     out = written(out, "quality-scores")
+    for shared in broadcasts:
+        shared.destroy()
     drop_dir(spark, path)
     return out
 
