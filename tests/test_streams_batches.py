@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import series
 from vigil.operators.asof import asof_join
+from vigil.plans import streams
 from vigil.streaming import stateful, stored_asof
 
 D = dt.datetime
@@ -113,3 +114,38 @@ def test_stored_as_of_with_many_folders_joins_them(spark, tmp_dir, monkeypatch):
     empty = os.path.join(tmp_dir, "empty")
     stored_asof.store_operational(right.limit(0), empty)
     assert stored_asof.StoredOperational(spark, empty).enrich(left).filter("rate IS NOT NULL").count() == 0
+
+
+def test_cooldown_keeps_its_state_by_bucket(spark, tmp_dir):
+    src, out, check = (os.path.join(tmp_dir, n) for n in ("in", "out", "check"))
+    rows = [(None if i % 60 == 7 else "m%d" % (i % 60), D(2024, 1, 1) + dt.timedelta(hours=i // 60), None if i % 4 == 1 else i, (i * 7 % 30) / 30.0, i % 5 == 0, None)
+            for i in range(60 * 40)]
+    for k in range(4):
+        _file(spark, src, rows[600 * k:600 * (k + 1)])
+    _file(spark, src, _far())
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    made = stateful.cooldown_reordered(stream, 0.5, 6 * 3600, watermark="12 hours", buckets=3)
+    q = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+    # a fold, a list of held rows and a few timers for each bucket, not for each of the 60 machines
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) < 40
+    got = [tuple(r) for r in spark.read.parquet(out).select("equipment_id", "timestamp", "event_id", "maintenance_type").collect()]
+    want, last = [], {}
+    for e, t, i, level, failing, _ in rows:  # in time order, one row an hour and machine
+        since = last.setdefault(e, t)
+        if level > 0.5 and t > since + dt.timedelta(hours=6):
+            last[e] = t
+            want.append((e, t, i, "corrective" if failing else "preventive"))
+    assert sorted(got, key=str) == sorted(want, key=str) and any(i is None for _, _, i, _ in want) and any(e is None for e, _, _, _ in want)
+
+
+def test_a_micro_batch_is_a_chunk_whatever_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 20)
+    times = [0, 10_000] + [7_050 + i for i in range(900)]  # seconds: most chunks are empty, one has nearly all rows
+    df = spark.createDataFrame([(i, D(2024, 1, 1) + dt.timedelta(seconds=s), "e") for i, s in enumerate(times)], "event_id long, timestamp timestamp, equipment_id string")
+    stream, _ = streams.feed(spark, df, "feed-test", late=False)
+    sizes = []
+    q = stream.writeStream.foreachBatch(lambda batch, k: sizes.append(batch.filter(F.col("equipment_id") == "e").count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    shifted = sum(i % 7 == 0 for i in range(2, 902))
+    assert sizes == [0, 1, 0, 0, 0, 0, 0, 900 - shifted, shifted, 1, 0]

@@ -21,6 +21,7 @@ from vigil.sources.tables import read_table
 from vigil.streaming import stateful, stored_asof
 
 CHUNKS, FILES = 10, 2
+FILE_ROWS = 250_000
 LATE_EVERY, LATE_CHUNKS, SHIFT_EVERY = 101, 5, 7
 END = "~end"  # an equipment whose far later readings let the watermark pass all others
 
@@ -29,26 +30,39 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _span(df: DataFrame) -> tuple[int, int]:
-    """Least and greatest time, in microseconds."""
-    return tuple(df.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first())
+def _span(df: DataFrame) -> tuple[int, int, int]:
+    """Least and greatest time, in microseconds, and the number of rows."""
+    return tuple(df.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp")), F.count(F.lit(1))).first())
+
+
+def _files(spark, path: str) -> int:
+    """Parquet files in a folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return sum(f.getPath().getName().startswith("part-") for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop))
 
 
 def feed(spark, df: DataFrame, name: str, late: bool = True) -> tuple[DataFrame, str]:
-    """(stream, delay): ``df`` as files in order of arrival, ``FILES`` a micro-batch, and a watermark delay of two chunks."""
-    low, high = _span(df)
+    """(stream, delay): ``df`` as files in order of arrival, as many a micro-batch, and a watermark delay of two chunks.
+
+    A chunk has ``FILES`` files, or more where chunks average more than ``FILE_ROWS`` rows a file; one with too few rows for
+    them gets empty files, so that a micro-batch is always one chunk.
+    """
+    low, high, n = _span(df)
+    files = max(FILES, -(-n // (CHUNKS * FILE_ROWS)))
     chunk = F.expr(f"cast((unix_micros(timestamp) - {low}) * {CHUNKS} div {high - low + 1} as int)")
     at = F.when(F.col("event_id") % SHIFT_EVERY == 0, F.least(chunk + 1, F.lit(CHUNKS - 1))).otherwise(chunk)
     if late:
         at = F.when((F.col("event_id") % LATE_EVERY == 0) & (chunk < LATE_CHUNKS), F.lit(CHUNKS - 1)).otherwise(at)
     path = _folder(spark, name)
-    for k in range(CHUNKS):
-        df.filter(at == k).repartition(FILES).write.mode("append").parquet(path)
     last = F.timestamp_micros(F.lit(high + 100 * 86400 * 1_000_000))
     types = dict(df.dtypes)
     empty = [F.lit(END).alias(c) if c == "equipment_id" else last.alias(c) if c == "timestamp" else F.lit(None).cast(types[c]).alias(c) for c in df.columns]
-    spark.range(FILES, numPartitions=FILES).select(*empty).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    for k in range(CHUNKS):
+        df.filter(at == k).repartition(files).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - _files(spark, path)):
+            spark.range(0, numPartitions=1).select(*empty).write.mode("append").parquet(path)
+    spark.range(files, numPartitions=files).select(*empty).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream, f"{-(-2 * (high - low) // (CHUNKS * 1_000_000))} seconds"
 
 
