@@ -172,3 +172,16 @@ def test_commands_run_whole_jobs(spark, tmp_dir, capsys, monkeypatch):
     assert spark.read.parquet(os.path.join(tmp_dir, "profile", "profile")).first()["record_count"] == 200
     with pytest.raises(SystemExit):
         jobs.main(["dataset", "--name", "unknown", "--out", "x"])
+
+
+def test_lines_are_parsed_once_for_both_tables(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "requests-once")
+    os.makedirs(path)
+    with open(f"{path}/a.json", "w") as f:
+        f.write("\n".join([json.dumps(ONE), json.dumps([{**ONE, "equipment_id": "b"}, 1]), "[ 1,", "[]"]) + "\n")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    parsed = plan(requests.parse_requests(spark.read.text(path)))
+    assert parsed.count("from_json(") == 2 and parsed.count("Relation") == 1  # lines and elements, in one read
+    good, bad = requests.read_requests(spark, path)
+    assert "from_json(" not in plan(good) + plan(bad)
+    assert good.count() == 2 and sorted((r.form, r.at, r.element) for r in bad.collect()) == [("batch", 0, "[ 1,"), ("batch", 1, "1")]

@@ -9,11 +9,14 @@ request or a reject.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.session import ensure_checkpoint_dir
+
 #: The sensors of a request.
 REQUEST_SENSORS = ("vibration", "temperature", "pressure", "current", "rpm", "tool_wear")
 _PERMISSIVE = {"mode": "PERMISSIVE"}
@@ -35,12 +38,9 @@ def parse_requests(lines: DataFrame, sensors: Sequence[str] = REQUEST_SENSORS, c
     text = F.trim(F.col(value), F.lit(" \t\r\n"))
     many = F.startswith(text, F.lit("["))
     rows = lines.filter(F.length(text) > 0).select(*carried, text.alias("_line"), F.when(many, "batch").otherwise("single").alias("form"))
-    elements = F.when(F.col("form") == "batch", F.from_json("_line", "array<string>", _PERMISSIVE)).otherwise(F.array("_line"))
-    rows = rows.withColumn("_elements", elements)
     # A line that is no JSON is one reject; an empty array is no request and no reject.
-    broken = rows.filter(F.col("_elements").isNull()).select(*carried, "form", F.lit(0).alias("at"), F.col("_line").alias("element"))
-    whole = rows.filter(F.col("_elements").isNotNull()).select(*carried, "form", F.posexplode("_elements").alias("at", "element"))
-    rows = whole.unionByName(broken)
+    elements = F.when(F.col("form") == "batch", F.coalesce(F.from_json("_line", "array<string>", _PERMISSIVE), F.array("_line"))).otherwise(F.array("_line"))
+    rows = rows.select(*carried, "form", F.posexplode(elements).alias("at", "element"))
     # A null among an array's elements is no object; only objects become maps.
     obj = F.when(F.startswith(F.trim("element"), F.lit("{")) & F.endswith(F.trim("element"), F.lit("}")), F.from_json("element", "map<string,string>", _PERMISSIVE))
     rows = rows.withColumn("_m", obj)
@@ -59,8 +59,15 @@ def parse_requests(lines: DataFrame, sensors: Sequence[str] = REQUEST_SENSORS, c
 
 
 def read_requests(spark: SparkSession, path: str, sensors: Sequence[str] = REQUEST_SENSORS) -> tuple[DataFrame, DataFrame]:
-    """(requests, rejects) of the JSON files below ``path``; the single form's equipment is NULL (scored as ``unknown``, R06)."""
+    """(requests, rejects) of the JSON files below ``path``; the single form's equipment is NULL (scored as ``unknown``, R06).
+
+    The lines are read and parsed once, into a Parquet folder below the shared one, which both tables read: filters on
+    parsed columns would otherwise parse every element again for each of their terms.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    rows = parse_requests(lines, sensors, carried=["file"])
+    parsed = parse_requests(lines, sensors, carried=["file"])
+    folder = f"{ensure_checkpoint_dir(spark)}/parsed-requests-{uuid.uuid4().hex}"
+    parsed.write.parquet(folder)
+    rows = spark.read.schema(parsed.schema).parquet(folder)
     return (rows.filter(F.col("reason").isNull()).drop("reason", "fields", "element"),
             rows.filter(F.col("reason").isNotNull()).select("file", "form", "at", "equipment_id", "reason", "fields", "element", "extra"))
