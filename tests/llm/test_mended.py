@@ -148,3 +148,19 @@ def test_pipeline_runs_end_to_end(spark):
     starts = sorted((r.start, r.n_tokens) for r in got)
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] != sorted(r.doc_id for r in got)
+
+
+def test_quality_counts_discounts_once(spark, monkeypatch):
+    from vigil.llm import quality
+    sides, join_side = [], quality.join_side
+
+    def seen(left, side, key, how="left"):
+        sides.append(side._jdf.queryExecution().optimizedPlan().toString())
+        return join_side(left, side, key, how)
+
+    monkeypatch.setattr(quality, "join_side", seen)
+    docs = spark.createDataFrame([(i, "ab cd ef %d" % i, "en" if i % 2 else None) for i in range(12)], "doc_id long, text string, lang string")
+    assert quality.perplexity(docs, docs.select("doc_id").filter("doc_id < 9")).count() == 12
+    assert len(sides) == quality.ORDER and not any("Aggregate" in p for p in sides)  # the joins read a written table
+    grams, logs = quality._ascending(quality.pa.table({"gram": quality.pa.array([5, 1, 3]), "log": quality.pa.array([-0.5, -0.1, -0.3])}))
+    assert grams.tolist() == [1, 3, 5] and logs.tolist() == [-0.1, -0.3, -0.5]

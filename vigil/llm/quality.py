@@ -127,7 +127,8 @@ def probabilities(grams: DataFrame, path: str) -> DataFrame:
         asked[order] = asked[order + 1].select("lang", _tail("gram", order).alias("gram")).distinct()
     p = None
     for order in range(1, ORDER + 1):
-        d = join_side(counts[order], _discounts(counts[order]), "lang", "inner")
+        # Written, as the size test and both joins would count the n-grams again.
+        d = join_side(counts[order], written(_discounts(counts[order]), "", f"{path}/d{order}"), "lang", "inner")
         n = F.col("n")
         taken = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
         context = F.shiftright("gram", 8)
@@ -144,6 +145,13 @@ def probabilities(grams: DataFrame, path: str) -> DataFrame:
     return p
 
 
+def _ascending(shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a shard in ascending order, and their logarithms."""
+    gram = shard.column("gram").to_numpy().astype(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], shard.column("log").to_numpy()[order]
+
+
 def _sums(shared, langs: dict[str, int]):
     """Per row: the sum of the logarithms of the shard's n-grams and the number of bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +193,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
     keyed = found.select(F.shiftleft(number.cast("long"), 8 * ORDER).bitwiseOR(F.col("gram")).alias("gram"), F.log("p").alias("log"))
     parts, broadcasts = [], []
     for k in range(shards):
-        part = keyed.filter(F.pmod(F.xxhash64("gram"), F.lit(shards)) == k).toArrow()  # at most about shard_grams rows of 16 bytes
-        gram, log = part.column("gram").to_numpy().astype(np.uint64), part.column("log").to_numpy()
-        order = np.argsort(gram)
-        shared = spark.sparkContext.broadcast((gram[order], log[order]))
+        # At most about shard_grams rows of 16 bytes; the driver keeps none of them while the jobs after it run.
+        shared = spark.sparkContext.broadcast(_ascending(keyed.filter(F.pmod(F.xxhash64("gram"), F.lit(shards)) == k).toArrow()))
         broadcasts.append(shared)
         parts.append(rows.select("id", "key", "lang", "text").mapInArrow(_sums(shared, langs), f"id {dict(rows.dtypes)['id']}, key long, lang string, sums double, size long"))
     sums = parts[0]
