@@ -199,6 +199,31 @@ def test_changed_blocks_find_all_within_the_radius(spark, radius):
     assert got == {(a, b) for a in set(every[:40]) for b in set(every) if (a ^ b).bit_count() <= radius}
 
 
+@pytest.mark.parametrize("radius", [3, 13])
+def test_probes_of_few_fingerprints_are_not_broadcast(spark, radius):
+    # 300 fingerprints are far below the threshold of a broadcast, their probes are up to 135 times as many.
+    df = spark.range(300).select(F.xxhash64("id").alias("f1"), F.xxhash64("id", "id").alias("f2"))
+    found = simhash.near(df.limit(40), df, radius=radius)
+    assert len(found.collect()) == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize("radius,blocks", [(0, 1), (3, None), (3, 4), (6, 8), (6, None), (13, None)])
+def test_the_search_joins_a_pair_once(spark, radius, blocks):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    every = sorted({b ^ sum(1 << i for i in rng.sample(range(128), rng.randint(0, radius + 2))) for b in base for _ in range(25)})
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v & (1 << 64) - 1), signed(v >> 64)) for v in every], "f1 long, f2 long")
+    found = simhash.near(df.limit(40), df, radius=radius, blocks=blocks)
+    got = [((r.q2 & (1 << 64) - 1) << 64 | r.q1 & (1 << 64) - 1, (r.f2 & (1 << 64) - 1) << 64 | r.f1 & (1 << 64) - 1, r.distance) for r in found.collect()]
+    assert sorted(got) == sorted((a, b, (a ^ b).bit_count()) for a in every[:40] for b in every if (a ^ b).bit_count() <= radius)
+    # The pairs leave the join as they are returned: no aggregate removes repeated ones behind it.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Join Inner")]
+
+
 def test_simhash_query_names_near_copies_of_one_changed_word(spark, docs_of):
     rng = random.Random(12)
     words = [[f"w{rng.randint(0, 5000)}" for _ in range(250)] for _ in range(10)]

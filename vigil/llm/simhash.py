@@ -7,6 +7,7 @@ task's group.  The search deals every fingerprint to permuted block tables: with
 fingerprints within r agree on B - r blocks at least, so a join on each choice of B - r blocks finds them all.
 Beyond ``FEW`` bits these choices are too many; there r < 2 B, so one block at least differs in at most one bit: a
 stored fingerprint goes to one table per block, and a query asks each with its block and all one-bit changes of it.
+A pair counts in the first table where it meets.  Neither side of this join is ever broadcast.
 
 Defined results: a NULL text is empty; a text of one word has that word as its term, one without words the
 empty term; equal texts have equal fingerprints; rows with equal ids follow each other in the order of their
@@ -95,16 +96,33 @@ def _blocks(blocks: int, changed: bool) -> Column:
         m["t"].alias("t"), F.col("f1").bitwiseAND(m["m1"]).bitwiseXOR(m["x1"]).alias("k1"), F.col("f2").bitwiseAND(m["m2"]).bitwiseXOR(m["x2"]).alias("k2")))
 
 
+def _first_met(blocks: int, chosen: int, bits: int) -> Column:
+    """Whether table ``t`` is the first in which a pair meets: its ``chosen`` blocks are the first that differ in at most ``bits`` bits."""
+    last = F.get(F.lit([c[-1] for c in combinations(range(blocks), chosen)]), F.col("t"))
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    alike = F.lit(0)
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        off = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(f)).bitwiseAND(F.lit(m).cast("long"))) for q, f, m in zip(("q1", "q2"), ("f1", "f2"), _signed(((1 << b - a) - 1) << a)) if m), F.lit(0))
+        alike = alike + ((last >= k) & (off <= bits)).cast("int")
+    return alike == chosen
+
+
 def near(queries: DataFrame, stored: DataFrame, *, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """q1, q2, f1, f2, distance for every distinct query and stored fingerprint (columns f1, f2) within ``radius`` bits."""
     if blocks is None and radius > FEW:
-        probes, tables = (F.inline(_blocks(radius // 2 + 1, changed)) for changed in (True, False))
+        blocks = radius // 2 + 1
+        probes, tables = (F.inline(_blocks(blocks, changed)) for changed in (True, False))
+        first = blocks, 1, 1
     else:
-        probes = tables = F.inline(_tables(radius, blocks or radius + 2))
+        blocks = blocks or radius + 2
+        probes = tables = F.inline(_tables(radius, blocks))
+        first = blocks, blocks - radius, 0
     asked = queries.select("f1", "f2").distinct().select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), probes)
     there = stored.select("f1", "f2").distinct().select("f1", "f2", tables)
     far = distance(*(F.col(c) for c in ("q1", "q2", "f1", "f2")))
-    return asked.join(there, ["t", "k1", "k2"]).filter(far <= radius).select("q1", "q2", "f1", "f2", far.alias("distance")).distinct()
+    # Spark takes probes and tables to be as small as the fingerprints they are made of; broadcast, they would fill the driver.
+    met = asked.hint("merge").join(there, ["t", "k1", "k2"])
+    return met.filter((far <= radius) & _first_met(*first)).select("q1", "q2", "f1", "f2", far.alias("distance"))
 
 
 def compare(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4096) -> DataFrame:
